@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from spanguard.functions.lambdas import bind
 from spanguard.operators import recognizers as R
 from spanguard.options import DEFAULT_OPTIONS, ScanOptions
 from spanguard.rules import CONTEXT_CHARS
@@ -100,14 +101,16 @@ def _any_in(text: Column, literals: Iterable[str]) -> Column:
     return out
 
 
-def _by_recognizer(active, value_of: Callable[[R.Recognizer], Column | None], default: Column) -> Column:
+def _by_recognizer(
+    number: Column, active: list[R.Recognizer], value_of: Callable[[R.Recognizer], Column | None], default: Column
+) -> Column:
     """`CASE WHEN` on the recognizer number of a hit."""
     out = None
     for i, rec in enumerate(active):
         value = value_of(rec)
         if value is None:
             continue
-        test = F.col("_r") == i
+        test = number == i
         out = F.when(test, value) if out is None else out.when(test, value)
     return default if out is None else out.otherwise(default)
 
@@ -208,18 +211,11 @@ def detect_spans(
         *keys, *base, "_r",
         F.inline(F.arrays_zip(F.col("_m").alias("_match"), F.col("_ends").alias("_stop"))),
     )
-    value = _by_recognizer(
-        active, lambda r: F.regexp_extract("_match", r.value_pattern, 1) if r.value_pattern else None,
-        F.col("_match"),
+    value, end = _value_and_end(active, F.col("_r"), F.col("_match"), F.col("_stop"))
+    located = rows.select(*keys, *base, "_r", value.alias("value"), end.alias("_e")).withColumn(
+        "_s", F.col("_e") - F.length("value")
     )
-    trailing = _by_recognizer(active, lambda r: F.lit(r.trailing) if r.trailing else None, F.lit(0))
-    valued = rows.select(*keys, *base, "_r", value.alias("value"), (F.col("_stop") - trailing).alias("_e"))
-    located = valued.withColumn("_s", F.col("_e") - F.length("value"))
-    before = F.substring(F.col("text"), F.col("_s"), F.lit(1))
-    after = F.substring(F.col("text"), F.col("_e") + 1, F.lit(1))
-    free = _by_recognizer(active, lambda r: _free(r, before, after), F.lit(True))
-    passed = _by_recognizer(active, lambda r: r.check(F.col("value")) if r.check else None, F.lit(True))
-    kept = located.where((F.col("_s") >= 0) & free).where(passed)
+    kept = located.where(_passes(active, F.col("_r"), F.col("text"), F.col("value"), F.col("_s"), F.col("_e")))
     full = F.concat("before", "text", "after")
     shift = F.length("before")
     context = kept.select(
@@ -231,15 +227,83 @@ def detect_spans(
         context_window(full, F.col("_s") + shift, F.col("_e") + shift).alias("window"),
         context_line(F.col("text"), F.col("_s"), F.col("_e")).alias("line"),
     )
-    score = _by_recognizer(active, lambda r: _score(r), F.lit(0.0))
-    entity = _by_recognizer(active, lambda r: F.lit(r.entity_type), F.lit(""))
     scored = context.select(
-        *keys, "start", "end", entity.alias("entity_type"), score.alias("score"), "value",
-        "line_number", "window", "line",
+        *keys, "start", "end",
+        _by_recognizer(F.col("_r"), active, lambda r: F.lit(r.entity_type), F.lit("")).alias("entity_type"),
+        _by_recognizer(F.col("_r"), active, lambda r: _score(r, F.col("window")), F.lit(0.0)).alias("score"),
+        "value", "line_number", "window", "line",
     )
     return filter_confidence(scored, options.min_confidence)
 
 
+def _value_and_end(active, number: Column, match: Column, stop: Column) -> tuple[Column, Column]:
+    """The value inside a match, and where in the text it ends."""
+    value = _by_recognizer(
+        number, active, lambda r: F.regexp_extract(match, r.value_pattern, 1) if r.value_pattern else None, match
+    )
+    trailing = _by_recognizer(number, active, lambda r: F.lit(r.trailing) if r.trailing else None, F.lit(0))
+    return value, stop - trailing
+
+
+def _passes(active, number: Column, text: Column, value: Column, start: Column, end: Column) -> Column:
+    """Neighbouring characters first, then the check of the recognizer."""
+    before = F.substring(text, start, F.lit(1))
+    after = F.substring(text, end + 1, F.lit(1))
+    free = _by_recognizer(number, active, lambda r: _free(r, before, after), F.lit(True))
+    checked = _by_recognizer(number, active, lambda r: r.check(value) if r.check else None, F.lit(True))
+    return F.when((start >= 0) & free, checked).otherwise(F.lit(False))
+
+
+def block_structs(blocks: Column) -> Column:
+    """ARRAY<STRUCT<text, before, after>> from a column of blocks, for work that stays in its row."""
+    return F.transform(blocks, lambda b, i: F.struct(
+        b.alias("text"),
+        F.right(F.coalesce(F.get(blocks, i - 1), F.lit("")), F.lit(CONTEXT_CHARS)).alias("before"),
+        F.left(F.coalesce(F.get(blocks, i + 1), F.lit("")), F.lit(CONTEXT_CHARS)).alias("after"),
+    ))
+
+
+def spans_in_block(options: ScanOptions, block: Column) -> Column:
+    """`detect_spans` for one block as ARRAY<STRUCT<start, end, entity_type, score, value, window, line>>.
+
+    For use in an array lambda, where the document must keep its row; offsets are those of the block.
+    """
+    active = R.active(options.recognizers, options.min_confidence)
+    text, before, after = block["text"], block["before"], block["after"]
+    flags = feature_columns(active, text)
+    tested = F.struct(F.lower(F.concat(before, text, after)).alias("low"),
+                      *[value.alias(name) for name, value in flags.items()])
+    hits = bind(tested, lambda t: candidate_hits(
+        active, text, t["low"], {name: t[name] for name in flags}, options.min_confidence))
+
+    def place(hit: Column) -> Column:
+        ends = match_ends(hit["_m"], text)
+        return F.zip_with(hit["_m"], ends, lambda m, stop: F.struct(
+            hit["_r"].alias("r"), *[c.alias(n) for c, n in zip(
+                _value_and_end(active, hit["_r"], m, stop), ("value", "end"))]
+        ))
+
+    def locate(x: Column) -> Column:
+        return F.struct(x["r"].alias("r"), x["value"].alias("value"), (x["end"] - F.length(x["value"])).alias("start"),
+                        x["end"].alias("end"))
+
+    located = F.transform(F.flatten(F.transform(hits, place)), locate)
+    kept = F.filter(located, lambda x: _passes(active, x["r"], text, x["value"], x["start"], x["end"]))
+    full, shift = F.concat(before, text, after), F.length(before)
+    with_context = F.transform(kept, lambda x: F.struct(
+        x["r"].alias("r"), x["value"].alias("value"), x["start"].alias("start"), x["end"].alias("end"),
+        context_window(full, x["start"] + shift, x["end"] + shift).alias("window"),
+        context_line(text, x["start"], x["end"]).alias("line"),
+    ))
+    scored = F.transform(with_context, lambda x: F.struct(
+        x["start"].alias("start"), x["end"].alias("end"),
+        _by_recognizer(x["r"], active, lambda r: F.lit(r.entity_type), F.lit("")).alias("entity_type"),
+        _by_recognizer(x["r"], active, lambda r: _score(r, x["window"]), F.lit(0.0)).alias("score"),
+        x["value"].alias("value"), x["window"].alias("window"), x["line"].alias("line"),
+    ))
+    return F.filter(scored, lambda x: x["score"] >= F.lit(float(options.min_confidence)))
+
+
 def _free(rec: R.Recognizer, before: Column, after: Column) -> Column | None:
     tests = []
     if rec.not_before:
@@ -251,10 +315,10 @@ def _free(rec: R.Recognizer, before: Column, after: Column) -> Column | None:
     return tests[0] if len(tests) == 1 else tests[0] & tests[1]
 
 
-def _score(rec: R.Recognizer) -> Column:
+def _score(rec: R.Recognizer, window: Column) -> Column:
     if not rec.cues:
         return F.lit(rec.score)
-    return F.when(_any_in(F.lower("window"), rec.cues), F.lit(rec.cue_score)).otherwise(F.lit(rec.score))
+    return F.when(_any_in(F.lower(window), rec.cues), F.lit(rec.cue_score)).otherwise(F.lit(rec.score))
 
 
 def filter_confidence(spans: DataFrame, minimum: float) -> DataFrame:
