@@ -8,6 +8,7 @@ character offsets of the matches need no running sum over a whole document. Noth
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -102,7 +103,7 @@ def _any_in(text: Column, literals: Iterable[str]) -> Column:
 
 
 def _by_recognizer(
-    number: Column, active: list[R.Recognizer], value_of: Callable[[R.Recognizer], Column | None], default: Column
+    number: Column, active: Sequence[R.Recognizer], value_of: Callable[[R.Recognizer], Column | None], default: Column
 ) -> Column:
     """`CASE WHEN` on the recognizer number of a hit."""
     out = None
@@ -129,7 +130,7 @@ def match_ends(matches: Column, text: Column) -> Column:
     return F.aggregate(matches, F.array().cast("array<int>"), after)
 
 
-def feature_columns(active: list[R.Recognizer], text: Column) -> dict[str, Column]:
+def feature_columns(active: Sequence[R.Recognizer], text: Column) -> dict[str, Column]:
     """One boolean per feature that is needed; a stronger test runs only where the weaker holds."""
     needed = {r.feature for r in active if r.feature}
     out: dict[str, Column] = {}
@@ -143,7 +144,7 @@ def feature_columns(active: list[R.Recognizer], text: Column) -> dict[str, Colum
     return out
 
 
-def can_match(active: list[R.Recognizer], text: Column) -> Column:
+def can_match(active: Sequence[R.Recognizer], text: Column) -> Column:
     """False for texts that no recognizer can match; true when one of them has no feature."""
     wanted = set()
     for rec in active:
@@ -161,7 +162,7 @@ def can_match(active: list[R.Recognizer], text: Column) -> Column:
 
 
 def candidate_hits(
-    active: list[R.Recognizer], text: Column, lowered: Column, features: dict[str, Column], minimum: float
+    active: Sequence[R.Recognizer], text: Column, lowered: Column, features: dict[str, Column], minimum: float
 ) -> Column:
     """ARRAY<STRUCT<_r, _m>>: the recognizers that matched in a text and what they matched."""
     hits = []
@@ -186,56 +187,62 @@ def detect_spans(
     Gives keys, start, end (0-based, end exclusive, in characters of the document), entity_type,
     score, value, line_number, window and line. The text itself goes no further.
     """
-    active = R.active(options.recognizers, options.min_confidence)
+    active = tuple(R.active(options.recognizers, options.min_confidence))
+    plan = _row_columns(active, options.min_confidence, id(docs.sparkSession.sparkContext))
     base = ("text", "before", "after", "base", "base_line")
-    blocks = with_blocks(docs.where(can_match(active, F.col("text"))), keys)
-    flags = feature_columns(active, F.col("text"))
-    names = {name: f"_f_{name}" for name in flags}
-    tested = blocks.select(
-        *keys, *base,
-        F.lower(F.concat("before", "text", "after")).alias("_low"),
-        *[value.alias(names[name]) for name, value in flags.items()],
-    )
+    blocks = with_blocks(docs.where(plan["can_match"]), keys)
+    tested = blocks.select(*keys, *base, *plan["tests"])
     hits = (
-        tested.select(*keys, *base, candidate_hits(
-            active, F.col("text"), F.col("_low"), {k: F.col(v) for k, v in names.items()},
-            options.min_confidence,
-        ).alias("_hits"))
+        tested.select(*keys, *base, plan["hits"].alias("_hits"))
         # outer: for the inner form a size test is inferred and moved below this projection, where
         # every pattern would run a second time
         .select(*keys, *base, F.inline_outer("_hits"))
         .where(F.col("_r").isNotNull())
     )
-    placed = hits.select(*keys, *base, "_r", "_m", match_ends(F.col("_m"), F.col("text")).alias("_ends"))
+    placed = hits.select(*keys, *base, "_r", "_m", plan["ends"].alias("_ends"))
     rows = placed.select(
         *keys, *base, "_r",
         F.inline(F.arrays_zip(F.col("_m").alias("_match"), F.col("_ends").alias("_stop"))),
     )
-    value, end = _value_and_end(active, F.col("_r"), F.col("_match"), F.col("_stop"))
-    located = rows.select(*keys, *base, "_r", value.alias("value"), end.alias("_e")).withColumn(
+    located = rows.select(*keys, *base, "_r", plan["value"].alias("value"), plan["end"].alias("_e")).withColumn(
         "_s", F.col("_e") - F.length("value")
     )
-    kept = located.where(_passes(active, F.col("_r"), F.col("text"), F.col("value"), F.col("_s"), F.col("_e")))
-    full = F.concat("before", "text", "after")
-    shift = F.length("before")
-    context = kept.select(
-        *keys,
-        (F.col("base") + F.col("_s")).alias("start"),
-        (F.col("base") + F.col("_e")).alias("end"),
-        "_r", "value",
-        (F.col("base_line") + line_number(F.col("text"), F.col("_s"))).alias("line_number"),
-        context_window(full, F.col("_s") + shift, F.col("_e") + shift).alias("window"),
-        context_line(F.col("text"), F.col("_s"), F.col("_e")).alias("line"),
-    )
+    context = located.where(plan["passes"]).select(*keys, "_r", "value", *plan["context"])
     scored = context.select(
-        *keys, "start", "end",
-        _by_recognizer(F.col("_r"), active, lambda r: F.lit(r.entity_type), F.lit("")).alias("entity_type"),
-        _by_recognizer(F.col("_r"), active, lambda r: _score(r, F.col("window")), F.lit(0.0)).alias("score"),
+        *keys, "start", "end", plan["entity"].alias("entity_type"), plan["score"].alias("score"),
         "value", "line_number", "window", "line",
     )
     return filter_confidence(scored, options.min_confidence)
 
 
+@lru_cache(maxsize=64)
+def _row_columns(active: tuple[R.Recognizer, ...], minimum: float, context: int) -> dict:
+    """The expressions of `detect_spans`, built once per set of recognizers (and Spark context)."""
+    text, number, start, end = F.col("text"), F.col("_r"), F.col("_s"), F.col("_e")
+    flags = feature_columns(active, text)
+    names = {name: f"_f_{name}" for name in flags}
+    value, value_end = _value_and_end(active, number, F.col("_match"), F.col("_stop"))
+    full, shift = F.concat("before", "text", "after"), F.length("before")
+    return {
+        "can_match": can_match(active, text),
+        "tests": [F.lower(full).alias("_low"), *[test.alias(names[name]) for name, test in flags.items()]],
+        "hits": candidate_hits(active, text, F.col("_low"), {k: F.col(v) for k, v in names.items()}, minimum),
+        "ends": match_ends(F.col("_m"), text),
+        "value": value,
+        "end": value_end,
+        "passes": _passes(active, number, text, F.col("value"), start, end),
+        "context": [
+            (F.col("base") + start).alias("start"),
+            (F.col("base") + end).alias("end"),
+            (F.col("base_line") + line_number(text, start)).alias("line_number"),
+            context_window(full, start + shift, end + shift).alias("window"),
+            context_line(text, start, end).alias("line"),
+        ],
+        "entity": _by_recognizer(number, active, lambda r: F.lit(r.entity_type), F.lit("")),
+        "score": _by_recognizer(number, active, lambda r: _score(r, F.col("window")), F.lit(0.0)),
+    }
+
+
 def _value_and_end(active, number: Column, match: Column, stop: Column) -> tuple[Column, Column]:
     """The value inside a match, and where in the text it ends."""
     value = _by_recognizer(
