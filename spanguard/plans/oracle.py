@@ -125,8 +125,8 @@ def spans_cte(source: str, recognizers=None, minimum: float = 0.5) -> str:
     return f"""found AS ({found}),
     numbered AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found),
     placed AS (SELECT rec, {keys}, m[i] AS mt,
-      coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0)
-      + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) + length(m[i]) AS stop FROM numbered),
+      (coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0)
+      + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) + length(m[i]))::BIGINT AS stop FROM numbered),
     valued AS (SELECT *, {value} AS value, stop - {trailing} AS e FROM placed),
     edged AS (SELECT *, e - length(value) AS s FROM valued),
     tested AS (SELECT * FROM edged WHERE {free_sql} AND {check_sql}),
@@ -484,7 +484,7 @@ def oracle_queries() -> dict[str, str]:
     out["category_union"] = _with(CATEGORY_ROWS, """, c AS (SELECT * FROM category_rows WHERE finding_count > 0)
       SELECT repo, scan_id, category, coalesce(p.finding_count, 0) AS previous_count, coalesce(c.finding_count, 0) AS current_count,
       coalesce(c.finding_count, 0) - coalesce(p.finding_count, 0) AS delta FROM (SELECT repo, scan_id + 1 AS scan_id, category,
-      finding_count FROM c) p FULL JOIN c USING (repo, scan_id, category)""").replace(") , c AS", "), c AS")
+      finding_count FROM c) p FULL JOIN c USING (repo, scan_id, category)""")
     cards = [("Previous Findings", count_text("p_total_findings")), ("Current Findings", count_text("total_findings")),
              ("Difference", count_text(findings_delta)),
              ("Trend", f"(CASE WHEN {findings_delta} > 0 THEN 'Increased' WHEN {findings_delta} < 0 THEN 'Decreased' ELSE 'Unchanged' END)"),
@@ -507,7 +507,7 @@ def oracle_queries() -> dict[str, str]:
         {_worst} AS rank FROM findings) WHERE rank <= 25 GROUP BY ALL)
       SELECT repo, scan_id, total_findings, risk_score, pipeline_status, financial_data AS financial, other,
         has_previous AS trend_available, {avail.format(findings_delta)} AS findings_delta, top_files, top_findings, critical
-      FROM lagged LEFT JOIN tf USING (repo, scan_id) LEFT JOIN tp USING (repo, scan_id)""").replace(") ,\n      tf", "),\n      tf")
+      FROM lagged LEFT JOIN tf USING (repo, scan_id) LEFT JOIN tp USING (repo, scan_id)""")
     out["chart_data"] = _with(f"{CATEGORY_ROWS}, {FILES}", """,
       tf AS (SELECT repo, scan_id, string_agg(file || ':' || finding_count, '|' ORDER BY rank) AS top_files FROM ranked_files
         WHERE rank <= 10 GROUP BY ALL),
@@ -516,7 +516,7 @@ def oracle_queries() -> dict[str, str]:
       tc AS (SELECT repo, scan_id, string_agg(category || ':' || finding_count, '|' ORDER BY rank) AS top_categories FROM rc
         WHERE rank <= 8 GROUP BY ALL)
       SELECT repo, scan_id, high, personal_information AS personal, top_categories, top_files FROM profile
-      LEFT JOIN tc USING (repo, scan_id) LEFT JOIN tf USING (repo, scan_id)""").replace(") ,\n      tf", "),\n      tf")
+      LEFT JOIN tc USING (repo, scan_id) LEFT JOIN tf USING (repo, scan_id)""")
     metrics = (("Total Findings", "total_findings"), ("Critical", "critical"), ("High", "high"), ("Medium", "medium"),
                ("Low", "low"), ("Risk Score", "risk_score"), ("Files Scanned", "files_scanned"))
     out["executive_metrics"] = _with(PROFILE, " UNION ALL ".join(
@@ -531,7 +531,7 @@ def oracle_queries() -> dict[str, str]:
         CASE WHEN pipeline_status = 'FAIL' THEN {q(rules.RELEASE_REASON['FAIL'])} ELSE {q(rules.RELEASE_REASON['WARNING'])} END,
         'Detected sensitive data types include: ' || entities || '.') END AS reason,
       CASE WHEN pipeline_status = 'PASS' THEN {q(' '.join(rules.SAFE_ACTIONS))} ELSE {q(' '.join(rules.BLOCKED_ACTIONS))} END AS actions
-      FROM profile LEFT JOIN e USING (repo, scan_id)""").replace(") , e AS", "), e AS")
+      FROM profile LEFT JOIN e USING (repo, scan_id)""")
     out["release_gate"] = _gate()
     own = (f"'The scan of ' || repo || ' gave ' || total_findings || ' finding(s), a risk score of ' || risk_score || "
            f"' and the pipeline status **' || pipeline_status || '** (warning from 20, fail from 50). ' || {_sentence}")
@@ -581,4 +581,4 @@ def _redacted_documents() -> str:
       heads AS (SELECT l.repo, l.scan_id, l.relative_path, string_agg(substr(d.text, prev_end + 1, "start" - prev_end) || mask, ''
         ORDER BY n) AS body, max("end") AS last FROM laid l JOIN docs d USING (repo, scan_id, relative_path) GROUP BY ALL)
       SELECT d.repo, d.scan_id, d.relative_path, CASE WHEN body IS NULL THEN text ELSE body || substr(text, last + 1) END AS
-      redacted_text FROM docs d LEFT JOIN heads USING (repo, scan_id, relative_path)""").replace(") ,\n      kept", "),\n      kept")
+      redacted_text FROM docs d LEFT JOIN heads USING (repo, scan_id, relative_path)""")
