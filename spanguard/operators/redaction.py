@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanguard.functions.lambdas import bind
@@ -54,22 +56,27 @@ def redact_documents(
     docs: DataFrame, options: ScanOptions = DEFAULT_OPTIONS, validator: validate.Validator = validate.should_keep
 ) -> DataFrame:
     """Detect, validate and mask, all inside the row of the document: no text is shuffled."""
+    active = tuple(S.R.active(options.recognizers, options.min_confidence))
+    tests, clean = _row_columns(active, options.min_confidence, validator, id(docs.sparkSession.sparkContext))
+    cut_up = docs.select(*docs.columns, F.when(tests, S.block_array(F.col("text"))).alias("_blocks"))
+    structs = cut_up.select(*docs.columns, S.block_structs(F.col("_blocks")).alias("_blocks"))
+    return structs.select(*docs.columns, F.coalesce(clean, F.col("text")).alias("redacted_text"))
+
+
+@lru_cache(maxsize=16)
+def _row_columns(active, minimum: float, validator: validate.Validator, context: int) -> tuple[Column, Column]:
+    """The expressions of `redact_documents`, built once per choice of rules (and Spark context)."""
     path, extension = F.col("relative_path"), F.col("extension")
 
     def clean(block: Column) -> Column:
-        kept = F.filter(S.spans_in_block(options, block), lambda x: validator(validate.Context(
+        kept = F.filter(S.spans_in_block(active, minimum, block), lambda x: validator(validate.Context(
             x["entity_type"], x["value"], x["window"], x["line"], path, extension)))
         masks = F.transform(kept, lambda x: F.struct(
             x["start"].alias("start"), x["end"].alias("end"),
             redact_value(x["entity_type"], x["value"]).alias("mask")))
         return masked(block["text"], masks)
 
-    active = S.R.active(options.recognizers, options.min_confidence)
-    blocks = F.when(S.can_match(active, F.col("text")), S.block_array(F.col("text")))
-    cut_up = docs.select(*docs.columns, blocks.alias("_blocks"))
-    structs = cut_up.select(*docs.columns, S.block_structs(F.col("_blocks")).alias("_blocks"))
-    rewritten = F.array_join(F.transform("_blocks", clean), "")
-    return structs.select(*docs.columns, F.coalesce(rewritten, F.col("text")).alias("redacted_text"))
+    return S.can_match(active, F.col("text")), F.array_join(F.transform("_blocks", clean), "")
 
 
 def mask_logs(logs: DataFrame, secrets: DataFrame, keys: list[str], column: str) -> DataFrame:

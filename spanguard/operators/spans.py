@@ -188,59 +188,28 @@ def detect_spans(
     score, value, line_number, window and line. The text itself goes no further.
     """
     active = tuple(R.active(options.recognizers, options.min_confidence))
-    plan = _row_columns(active, options.min_confidence, id(docs.sparkSession.sparkContext))
-    base = ("text", "before", "after", "base", "base_line")
-    blocks = with_blocks(docs.where(plan["can_match"]), keys)
-    tested = blocks.select(*keys, *base, *plan["tests"])
-    hits = (
-        tested.select(*keys, *base, plan["hits"].alias("_hits"))
-        # outer: for the inner form a size test is inferred and moved below this projection, where
-        # every pattern would run a second time
-        .select(*keys, *base, F.inline_outer("_hits"))
-        .where(F.col("_r").isNotNull())
+    tests, spans = _row_columns(active, options.min_confidence, id(docs.sparkSession.sparkContext))
+    blocks = with_blocks(docs.where(tests), keys)
+    # outer: for the inner form a size test is inferred and moved below this projection, where every
+    # pattern would run a second time
+    found = blocks.select(*keys, "base", "base_line", spans.alias("_spans")).select(
+        *keys, "base", "base_line", F.inline_outer("_spans")
     )
-    placed = hits.select(*keys, *base, "_r", "_m", plan["ends"].alias("_ends"))
-    rows = placed.select(
-        *keys, *base, "_r",
-        F.inline(F.arrays_zip(F.col("_m").alias("_match"), F.col("_ends").alias("_stop"))),
+    return found.where(F.col("entity_type").isNotNull()).select(
+        *keys,
+        (F.col("base") + F.col("start")).alias("start"),
+        (F.col("base") + F.col("end")).alias("end"),
+        "entity_type", "score", "value",
+        (F.col("base_line") + F.col("line_number")).alias("line_number"),
+        "window", "line",
     )
-    located = rows.select(*keys, *base, "_r", plan["value"].alias("value"), plan["end"].alias("_e")).withColumn(
-        "_s", F.col("_e") - F.length("value")
-    )
-    context = located.where(plan["passes"]).select(*keys, "_r", "value", *plan["context"])
-    scored = context.select(
-        *keys, "start", "end", plan["entity"].alias("entity_type"), plan["score"].alias("score"),
-        "value", "line_number", "window", "line",
-    )
-    return filter_confidence(scored, options.min_confidence)
 
 
 @lru_cache(maxsize=64)
-def _row_columns(active: tuple[R.Recognizer, ...], minimum: float, context: int) -> dict:
+def _row_columns(active: tuple[R.Recognizer, ...], minimum: float, context: int) -> tuple[Column, Column]:
     """The expressions of `detect_spans`, built once per set of recognizers (and Spark context)."""
-    text, number, start, end = F.col("text"), F.col("_r"), F.col("_s"), F.col("_e")
-    flags = feature_columns(active, text)
-    names = {name: f"_f_{name}" for name in flags}
-    value, value_end = _value_and_end(active, number, F.col("_match"), F.col("_stop"))
-    full, shift = F.concat("before", "text", "after"), F.length("before")
-    return {
-        "can_match": can_match(active, text),
-        "tests": [F.lower(full).alias("_low"), *[test.alias(names[name]) for name, test in flags.items()]],
-        "hits": candidate_hits(active, text, F.col("_low"), {k: F.col(v) for k, v in names.items()}, minimum),
-        "ends": match_ends(F.col("_m"), text),
-        "value": value,
-        "end": value_end,
-        "passes": _passes(active, number, text, F.col("value"), start, end),
-        "context": [
-            (F.col("base") + start).alias("start"),
-            (F.col("base") + end).alias("end"),
-            (F.col("base_line") + line_number(text, start)).alias("line_number"),
-            context_window(full, start + shift, end + shift).alias("window"),
-            context_line(text, start, end).alias("line"),
-        ],
-        "entity": _by_recognizer(number, active, lambda r: F.lit(r.entity_type), F.lit("")),
-        "score": _by_recognizer(number, active, lambda r: _score(r, F.col("window")), F.lit(0.0)),
-    }
+    block = F.struct("text", "before", "after")
+    return can_match(active, F.col("text")), bind(block, lambda b: spans_in_block(active, minimum, b))
 
 
 def _value_and_end(active, number: Column, match: Column, stop: Column) -> tuple[Column, Column]:
@@ -270,18 +239,18 @@ def block_structs(blocks: Column) -> Column:
     ))
 
 
-def spans_in_block(options: ScanOptions, block: Column) -> Column:
-    """`detect_spans` for one block as ARRAY<STRUCT<start, end, entity_type, score, value, window, line>>.
+def spans_in_block(active: Sequence[R.Recognizer], minimum: float, block: Column) -> Column:
+    """The spans of one block as ARRAY<STRUCT<start, end, entity_type, score, value, line_number, window, line>>.
 
-    For use in an array lambda, where the document must keep its row; offsets are those of the block.
+    Offsets and line numbers are those of the block. The steps are array functions, so the same
+    expression serves rows of blocks and documents that must keep their row.
     """
-    active = R.active(options.recognizers, options.min_confidence)
     text, before, after = block["text"], block["before"], block["after"]
     flags = feature_columns(active, text)
     tested = F.struct(F.lower(F.concat(before, text, after)).alias("low"),
                       *[value.alias(name) for name, value in flags.items()])
     hits = bind(tested, lambda t: candidate_hits(
-        active, text, t["low"], {name: t[name] for name in flags}, options.min_confidence))
+        active, text, t["low"], {name: t[name] for name in flags}, minimum))
 
     def place(hit: Column) -> Column:
         ends = match_ends(hit["_m"], text)
@@ -300,15 +269,17 @@ def spans_in_block(options: ScanOptions, block: Column) -> Column:
     with_context = F.transform(kept, lambda x: F.struct(
         x["r"].alias("r"), x["value"].alias("value"), x["start"].alias("start"), x["end"].alias("end"),
         context_window(full, x["start"] + shift, x["end"] + shift).alias("window"),
+        line_number(text, x["start"]).alias("line_number"),
         context_line(text, x["start"], x["end"]).alias("line"),
     ))
     scored = F.transform(with_context, lambda x: F.struct(
         x["start"].alias("start"), x["end"].alias("end"),
         _by_recognizer(x["r"], active, lambda r: F.lit(r.entity_type), F.lit("")).alias("entity_type"),
         _by_recognizer(x["r"], active, lambda r: _score(r, x["window"]), F.lit(0.0)).alias("score"),
-        x["value"].alias("value"), x["window"].alias("window"), x["line"].alias("line"),
+        x["value"].alias("value"), x["line_number"].alias("line_number"), x["window"].alias("window"),
+        x["line"].alias("line"),
     ))
-    return F.filter(scored, lambda x: x["score"] >= F.lit(float(options.min_confidence)))
+    return F.filter(scored, lambda x: x["score"] >= F.lit(float(minimum)))
 
 
 def _free(rec: R.Recognizer, before: Column, after: Column) -> Column | None:

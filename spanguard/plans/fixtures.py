@@ -56,7 +56,7 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences around a made-up name, one per customer, with the place of the name."""
-    customer = table(spark, sf_dir, "customer")
+    customer = spread_small(table(spark, sf_dir, "customer"), "c_custkey")
     case = F.col("c_custkey")
     paths = ("exports/customers.csv", "CHANGES.md", "src/app.py", "tests/data.csv", "exports/note.csv",
              "docs/guide.txt")
@@ -87,7 +87,7 @@ def sentence_spans(sentences: DataFrame) -> DataFrame:
 
 def url_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's address in one of eight settings."""
-    pages = table(spark, sf_dir, "pages")
+    pages = spread_small(table(spark, sf_dir, "pages"), "page_id")
     n = F.col("page_id")
     prefix = ("customer portal ", "see ", "patient file ", "customer docs ", "employee link ", "open ", "account ",
               "client host ")
@@ -111,7 +111,7 @@ def url_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def date_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's date in a sentence with or without a cue, some of them impossible dates."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread_small(table(spark, sf_dir, "orders"), "o_orderkey")
     n = F.col("o_orderkey")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     prefix = ("date of birth: ", "built on ", "The patient came on ", "born ", "Birthdays: ", "passport until ")
@@ -151,7 +151,7 @@ def identifier_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("password = \"pw-"), digits(13, 100000, 5), F.lit("\"")),
         F.lit("-----BEGIN RSA PRIVATE KEY-----"),
     ]
-    return table(spark, sf_dir, "customer").select(
+    return spread_small(table(spark, sf_dir, "customer"), "c_custkey").select(
         k.cast("string").alias("repo"), F.lit(0).cast("bigint").alias("scan_id"),
         F.lit("exports/ids.csv").alias("relative_path"), F.lit(".csv").alias("extension"),
         F.concat_ws("\n", *lines).alias("text"),
@@ -161,7 +161,7 @@ def identifier_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wallet_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wallet-like tokens made from customer keys around a known valid address."""
     k = F.col("c_custkey").cast("string")
-    return table(spark, sf_dir, "customer").select(
+    return spread_small(table(spark, sf_dir, "customer"), "c_custkey").select(
         k.alias("repo"), F.lit(0).cast("bigint").alias("scan_id"), F.lit("exports/w.csv").alias("relative_path"),
         F.lit(".csv").alias("extension"),
         F.concat(F.lit("a 1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa b 1A1zP1eP5QGefi2DMPTfTL5SLmv7Div"),
@@ -173,7 +173,7 @@ def overlapping_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans made from order keys, many of them inside others."""
     n = F.col("o_orderkey")
     start = (n * 7 % 60).cast("int")
-    return table(spark, sf_dir, "orders").select(
+    return spread_small(table(spark, sf_dir, "orders"), "o_orderkey").select(
         F.col("o_custkey").cast("string").alias("repo"), F.lit(0).cast("bigint").alias("scan_id"),
         F.lit("a.csv").alias("relative_path"), F.col("o_orderstatus").alias("entity_type"),
         start.alias("start"), (start + 1 + (n * 13 % 40).cast("int")).alias("end"),

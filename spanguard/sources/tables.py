@@ -20,7 +20,7 @@ def spread_small(df: DataFrame, *keys: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     except AttributeError:  # no JVM plan to ask (a remote session)
         return df
     return df.repartition(cores, *keys) if size < cores * SMALL_TASK_BYTES else df
