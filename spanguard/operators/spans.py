@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from spanguard.functions.lambdas import bind
 from spanguard.operators import recognizers as R
+from spanguard.operators.engines import engine_for
 from spanguard.options import DEFAULT_OPTIONS, ScanOptions
 from spanguard.rules import CONTEXT_CHARS
+from spanguard.session import ship_package
 
 BLOCK_CHARS = 4096
 DOC_KEYS = ("repo", "scan_id", "relative_path", "extension")
@@ -223,7 +225,7 @@ def _value_and_end(active, number: Column, match: Column, stop: Column) -> tuple
 
 def _passes(active, number: Column, text: Column, value: Column, start: Column, end: Column) -> Column:
     """Neighbouring characters first, then the check of the recognizer."""
-    before = F.substring(text, start, F.lit(1))
+    before = F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise(F.lit(""))
     after = F.substring(text, end + 1, F.lit(1))
     free = _by_recognizer(number, active, lambda r: _free(r, before, after), F.lit(True))
     checked = _by_recognizer(number, active, lambda r: r.check(value) if r.check else None, F.lit(True))
@@ -325,7 +327,6 @@ UDF_SPAN_FIELDS = (
     "start int, end int, entity_type string, score double, value string, line_number int, "
     "window string, line string, error string"
 )
-_engines: dict[str, object] = {}
 
 
 def spans_from_udf(
@@ -341,14 +342,13 @@ def spans_from_udf(
     entity_type, start, end and score. It is called once per Python worker. A failure on one
     document gives one row with `error` set and no span; use `udf_spans` / `udf_errors` to split.
     """
+    ship_package(docs.sparkSession)
     minimum = float(options.min_confidence)
     keys = [f for f in docs.select(*DOC_KEYS).schema.fields]
     schema = T.StructType(keys + T.StructType.fromDDL(UDF_SPAN_FIELDS).fields)
 
     def run(batches):
-        engine = _engines.get(name)
-        if engine is None:
-            engine = _engines[name] = factory()
+        engine = engine_for(name, factory)
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):

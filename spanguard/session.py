@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -44,3 +46,20 @@ def cut(df: DataFrame) -> DataFrame:
 def reuse(df: DataFrame) -> DataFrame:
     """Cache rows that several branches read; spills to disk, recomputed when an executor is lost."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of all executors; once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_spanguard_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spanguard-"), "spanguard.zip")
+    with zipfile.ZipFile(archive, "w") as target:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    target.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    sc._spanguard_shipped = True

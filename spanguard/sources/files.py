@@ -18,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from spanguard.functions import paths
 from spanguard.options import DEFAULT_OPTIONS, ScanOptions
+from spanguard.session import ship_package
 
 FORMAT = "repofiles"
 META_SCHEMA = "repo string, scan_id bigint, absolute_path string, relative_path string, size_bytes bigint"
@@ -105,6 +106,7 @@ def list_repo_files(
     spark: SparkSession, roots: Sequence[tuple[str, int, str]], options: ScanOptions = DEFAULT_OPTIONS
 ) -> DataFrame:
     """Metadata of the in-scope files below (repo, scan_id, directory) roots; a missing root gives none."""
+    ship_package(spark)
     spark.dataSource.register(RepoFiles)
     resolved = [(repo, scan, os.path.realpath(os.path.expanduser(root))) for repo, scan, root in roots]
     listed = (
