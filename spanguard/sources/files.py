@@ -13,7 +13,7 @@ import os
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from spanguard.functions import paths
@@ -119,23 +119,34 @@ def list_repo_files(
     return listed.withColumn("extension", paths.extension(F.col("relative_path")))
 
 
-def read_contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Add `content`, None where a file cannot be read. Batches are cut by bytes, not by rows."""
-    for batch in batches:
-        rows, held = [], 0
-        for row in batch.itertuples(index=False):
-            try:
-                with open(row.absolute_path, "rb") as handle:
-                    content = handle.read()
-            except OSError:
-                content = None
-            rows.append((*row, content))
-            held += len(content or b"")
-            if held >= BATCH_BYTES:
+def content_reader(limit: int):
+    """A batch function that adds `content`, None for files above the limit or not readable.
+
+    Batches are cut by bytes, not by rows.
+    """
+    def content_of(path: str, size) -> bytes | None:
+        if pd.isna(size) or size > limit:
+            return None
+        try:
+            with open(path, "rb") as handle:
+                return handle.read()
+        except OSError:
+            return None
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows, held = [], 0
+            for row in batch.itertuples(index=False):
+                content = content_of(row.absolute_path, row.size_bytes)
+                rows.append((*row, content))
+                held += len(content or b"")
+                if held >= BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=[*batch.columns, "content"])
+                    rows, held = [], 0
+            if rows:
                 yield pd.DataFrame(rows, columns=[*batch.columns, "content"])
-                rows, held = [], 0
-        if rows:
-            yield pd.DataFrame(rows, columns=[*batch.columns, "content"])
+
+    return read
 
 
 def decode_text(content: Column) -> Column:
@@ -154,13 +165,9 @@ def read_repo_files(
     """All candidate files with their text; `text` is NULL for skipped ones (too large, unreadable)."""
     listed = list_repo_files(spark, roots, options)
     spread = listed.repartition(tasks or spark.sparkContext.defaultParallelism, "absolute_path")
-    small = F.col("size_bytes") <= options.max_file_size_bytes
-    wanted = spread.where(small)
-    schema = wanted.schema.add("content", "binary")
-    read = wanted.mapInPandas(read_contents, schema)
-    texts = read.select(*wanted.columns, decode_text(F.col("content")).alias("text"))
-    skipped = spread.where(~F.coalesce(small, F.lit(False))).withColumn("text", F.lit(None).cast("string"))
-    return texts.unionByName(skipped)
+    schema = T.StructType([*spread.schema.fields, T.StructField("content", T.BinaryType())])
+    read = spread.mapInPandas(content_reader(options.max_file_size_bytes), schema)
+    return read.select(*spread.columns, decode_text(F.col("content")).alias("text"))
 
 
 def scan_documents_with_content(files: DataFrame) -> DataFrame:
