@@ -537,6 +537,9 @@ def oracle_queries() -> dict[str, str]:
            f"' and the pipeline status **' || pipeline_status || '** (warning from 20, fail from 50). ' || {_sentence}")
     out["narratives"] = _with(PROFILE, f"""SELECT repo, scan_id, CASE WHEN scan_id = 2 THEN 'All good.' ELSE {own} END AS
       executive_summary FROM profile""")
+    out["summary_markdown"] = _summary(own)
+    out["guidance_markdown"] = _guidance()
+    out["prompts"] = _prompts()
     out["scan_accounting"] = _with(LISTED, f"""SELECT repo, scan_id, count(*) FILTER (in_scope AND size_bytes <=
       {LIMIT.max_file_size_bytes}) AS files_scanned, count(*) FILTER (in_scope AND size_bytes > {LIMIT.max_file_size_bytes}) AS
       files_skipped FROM scoped GROUP BY ALL""")
@@ -582,3 +585,90 @@ def _redacted_documents() -> str:
         ORDER BY n) AS body, max("end") AS last FROM laid l JOIN docs d USING (repo, scan_id, relative_path) GROUP BY ALL)
       SELECT d.repo, d.scan_id, d.relative_path, CASE WHEN body IS NULL THEN text ELSE body || substr(text, last + 1) END AS
       redacted_text FROM docs d LEFT JOIN heads USING (repo, scan_id, relative_path)""")
+
+
+NEW_LINE = "chr(10)"
+
+
+def sections(title: str, parts: list[tuple[str, str]]) -> str:
+    pieces = [f"{q('# ' + title)} || {NEW_LINE}"]
+    pieces += [f"{NEW_LINE} || {q('## ' + heading)} || {NEW_LINE} || {NEW_LINE} || ({body}) || {NEW_LINE}" for heading, body in parts]
+    return " || ".join(pieces)
+
+
+def risk_lines() -> str:
+    counts = ", ".join(f"CASE WHEN {s.lower()} > 0 THEN '  - {_label(s)}: ' || {s.lower()} END" for s in rules.SEVERITIES_DESC)
+    return (f"concat_ws({NEW_LINE}, '- **Pipeline status:** ' || pipeline_status, '- **Risk score:** ' || risk_score || "
+            "' (warning >= 20, fail >= 50)', '- **Total findings:** ' || total_findings, "
+            f"CASE WHEN total_findings > 0 THEN concat_ws({NEW_LINE}, {counts}) END)")
+
+
+def and_more(limit: int) -> str:
+    return (f"CASE WHEN total_findings > {limit} THEN '- ...and ' || (total_findings - {limit}) || "
+            "' more finding(s); see the full JSON report.' END")
+
+
+def _summary(own: str) -> str:
+    found = "total_findings > 0"
+    line = "'- **[' || severity || ']** ' || entity_type || ' in ' || file || ':' || line_number"
+    body = sections("Security Summary", [
+        ("Executive Summary", own), ("Overall Risk", risk_lines()),
+        ("Key Findings", f"CASE WHEN {found} THEN concat_ws({NEW_LINE}, key_text, {and_more(15)}) ELSE {q(narrative.NO_FINDINGS)} END"),
+        ("Recommendations", f"coalesce(advice_text, {q(narrative.NO_FINDINGS)})"),
+        ("Prioritized Actions", f"CASE WHEN {found} THEN action_text || {NEW_LINE} || {NEW_LINE} || {q(narrative.PRIORITY_NOTE)} "
+                                f"ELSE {q(narrative.NO_FINDINGS)} END"),
+        ("Compliance Considerations", q(narrative.COMPLIANCE)),
+    ])
+    ranked = RANKED.replace(FINDINGS, PROFILE)
+    return _with(ranked, f""", top AS (SELECT repo, scan_id, string_agg({line}, {NEW_LINE} ORDER BY rank) AS key_text FROM
+        (SELECT *, {_worst} AS rank FROM findings) WHERE rank <= 15 GROUP BY ALL),
+      texts AS (SELECT repo, scan_id,
+        string_agg('- **' || x.entity_type || '** (' || severity || '): ' || {advised('recommendation')}, {NEW_LINE} ORDER BY rank) AS advice_text,
+        string_agg(rank || '. Deal with **' || x.entity_type || '** (severity: ' || severity || '): ' || {advised('recommendation')},
+          {NEW_LINE} ORDER BY rank) AS action_text
+        FROM ranked x LEFT JOIN advice a ON a.entity_type = x.entity_type GROUP BY ALL)
+      SELECT repo, scan_id, {body} AS summary_markdown FROM profile LEFT JOIN top USING (repo, scan_id)
+      LEFT JOIN texts USING (repo, scan_id)""")
+
+
+def _guidance() -> str:
+    found = "total_findings > 0"
+    fields = (("Location", "file || ':' || line_number"), ("Category", "category"), ("Detection confidence", "confidence_score::VARCHAR"),
+              ("Root cause", advised("root_cause")), ("Likely developer mistake", advised("likely_developer_mistake")),
+              ("Security impact", advised("security_impact")), ("Recommended fix", advised("recommendation")),
+              ("Security best practice", advised("best_practice")), ("OWASP", advised("owasp")), ("CWE", advised("cwe")),
+              ("References", f"replace({advised('refs')}, ' ', ', ')"))
+    issue = (f"'### ' || finding_id || ' - ' || x.entity_type || ' [' || severity || ']' || {NEW_LINE} || "
+             + " || ".join(f"{NEW_LINE} || '- **{name}:** ' || {value}" for name, value in fields))
+    coding = (f"'- **' || x.entity_type || '** (' || severity || '): ' || {advised('owasp')} || ' / ' || {advised('cwe')} || ': ' || "
+              f"{advised('best_practice')}")
+    intro = ("'For each issue found in ' || repo || ' this guide says why it was marked and how to fix it. Score and status are "
+             "those of the report.'")
+    body = sections("Developer Guidance Report", [
+        ("Executive Summary", intro),
+        ("Risk Score & Overall Severity",
+         f"concat_ws({NEW_LINE}, {risk_lines()}, CASE WHEN NOT {found} THEN {q('  - ' + narrative.NO_SEVERITY)} END)"),
+        ("Detected Issues, Root Cause & Recommended Fix",
+         f"CASE WHEN {found} THEN concat_ws({NEW_LINE} || {NEW_LINE}, issues, {and_more(20)}) ELSE {q(narrative.NO_FINDINGS)} END"),
+        ("Secure Coding Recommendations (by category)", f"coalesce(coding, {q(narrative.NO_FINDINGS)})"),
+    ])
+    ranked = RANKED.replace(FINDINGS, PROFILE)
+    return _with(ranked, f""", listed AS (SELECT repo, scan_id, string_agg({issue}, {NEW_LINE} || {NEW_LINE} ORDER BY rank) AS issues FROM
+        (SELECT *, {_worst} AS rank FROM findings) x LEFT JOIN advice a ON a.entity_type = x.entity_type WHERE rank <= 20 GROUP BY ALL),
+      coded AS (SELECT repo, scan_id, string_agg({coding}, {NEW_LINE} ORDER BY rank) AS coding FROM ranked x
+        LEFT JOIN advice a ON a.entity_type = x.entity_type GROUP BY ALL)
+      SELECT repo, scan_id, {body} AS guidance_markdown FROM profile LEFT JOIN listed USING (repo, scan_id)
+      LEFT JOIN coded USING (repo, scan_id)""")
+
+
+def _prompts() -> str:
+    counts = " || ',' || ".join(f"'\"{s}\":' || {s.lower()}" for s in rules.SEVERITIES)
+    item = "'{\"entity_type\":\"' || entity_type || '\",\"severity\":\"' || severity || '\",\"file\":\"' || file || '\"}'"
+    return _with(PROFILE, f""", sample AS (SELECT repo, scan_id, string_agg({item}, ',' ORDER BY finding_index) AS items FROM findings
+        WHERE finding_index < 25 GROUP BY ALL)
+      SELECT repo, scan_id, {q(narrative.PROMPT_RULES)} || chr(10) || 'Scan report data:' || chr(10)
+        || '{{"repository_identifier":"' || repo || '","total_findings":' || total_findings || ',"severity_counts":{{' || {counts}
+        || '}},"risk_score":' || risk_score || ',"pipeline_status":"' || pipeline_status
+        || '","risk_thresholds":{{"warning":20,"fail":50}},"findings_sample":[' || coalesce(items, '')
+        || '],"findings_sample_is_truncated":' || (total_findings > 25) || '}}' || chr(10) || chr(10)
+        || 'Write the executive summary paragraph now.' AS prompt FROM profile LEFT JOIN sample USING (repo, scan_id)""")
