@@ -71,7 +71,24 @@ _numbers = (f"list_transform(string_split(substr({_compact}, 5) || substr({_comp
             "lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::INTEGER ELSE ascii(c) - 55 END)")
 _group = "substr(value, 5, 2)::INTEGER"
 _slashed = "string_split(value, '/')"
+
+
+def base58() -> str:
+    """Base58Check with seven limbs of 32 bits, lowest first, each step unrolled."""
+    base, terms, carry = 2 ** 32, [], "x[1]"
+    for k in range(1, 8):
+        term = f"(a[{k}] * 58 + {carry})"
+        terms.append(f"{term} % {base}")
+        carry = f"{term} // {base}"
+    chars = (f"list_transform(string_split(value, ''), lambda c: [instr({q(checks.BASE58)}, c) - 1]::BIGINT[])")
+    limbs = f"list_reduce(list_prepend([0, 0, 0, 0, 0, 0, 0]::BIGINT[], {chars}), lambda a, x: [{', '.join(terms)}]::BIGINT[])"
+    hexed = f"array_to_string(list_transform(list_reverse({limbs}), lambda n: printf('%08x', n)), '')"
+    payload = f"unhex(substr({hexed}, 7, 42))"
+    return f"(left({hexed}, 6) = '000000' AND right({hexed}, 8) = left(sha256(unhex(sha256({payload}))), 8))"
+
+
 CHECKS = {
+    "crypto": base58(),
     "credit_card": f"(len({digits()}) BETWEEN 13 AND 19 AND {luhn()})",
     "ipv4": "(list_max(list_transform(string_split(value, '.'), lambda x: x::INTEGER)) <= 255)",
     "phone": f"(len({digits()}) BETWEEN 10 AND 15 AND regexp_matches(value, '^\\+|[ .()\\-]'))",
@@ -94,7 +111,7 @@ CHECKS = {
 def spans_cte(source: str, recognizers=None, minimum: float = 0.5) -> str:
     """CTEs that end in `spans`, from a CTE or table `source` with the document columns."""
     chosen = [r for r in R.SHIPPED if (recognizers is None or r.name in recognizers) and r.best_score >= minimum
-              and r.name != "crypto"]
+              and (recognizers is not None or r.name != "crypto")]
     keys = "repo, scan_id, relative_path, extension, text"
     found = " UNION ALL ".join(
         f"SELECT {q(r.name)} AS rec, {keys}, regexp_extract_all(text, {q(r.pattern)}) AS m, "
@@ -396,6 +413,10 @@ def oracle_queries() -> dict[str, str]:
     out["spans_in_conversations"] = _with(f"{turns}, {spans_cte('docs', ('email', 'phone', 'credit_card'))}",
                                           f"SELECT {PLACE} FROM spans")
     out["synthetic_ids"] = _with(f"{_identifiers()}, {spans_cte('docs', SYNTHETIC)}", f"SELECT {PLACE}, line_number FROM spans")
+    wallets = ("docs AS (SELECT c_custkey::VARCHAR AS repo, 0::BIGINT AS scan_id, 'exports/w.csv' AS relative_path, '.csv' AS "
+               "extension, 'a 1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa b 1A1zP1eP5QGefi2DMPTfTL5SLmv7Div' || "
+               "translate(lpad(c_custkey::VARCHAR, 4, '1'), '0', 'z') || ' c' AS text FROM customer)")
+    out["synthetic_wallets"] = _with(f"{wallets}, {spans_cte('docs', ('crypto',))}", f"SELECT {PLACE} FROM spans")
     context = _with(f"{DOCS}, {spans_cte('docs')}", f"SELECT {PLACE}, line_number, win AS \"window\", line FROM spans")
     out["context_columns"] = out["spans_from_table"] = context
     out["validated_spans"] = _with(f"{DOCS}, {spans_cte('docs')}", f"SELECT {PLACE} FROM spans WHERE {KEEP}")
