@@ -24,16 +24,21 @@ def _quoted_assignment(text: Column) -> Column:
 #: failed test costs one scan of the bytes where a pattern costs a regular-expression run.
 FEATURES: dict[str, Callable[[Column], Column]] = {
     "at": lambda t: F.contains(t, F.lit("@")),
-    "digit": lambda t: t.rlike("[0-9]"),
-    "digit4": lambda t: t.rlike("[0-9]{4}"),
-    "digit7": lambda t: t.rlike("[0-9]{7}"),
     "scheme": lambda t: F.contains(t, F.lit("://")),
     "assignment": _quoted_assignment,
     "jwt": lambda t: F.contains(t, F.lit("eyJ")),
     "pem": lambda t: F.contains(t, F.lit("PRIVATE KEY-----")),
 }
-#: a feature that implies another, weaker one
-WEAKER = {"digit4": "digit", "digit7": "digit4"}
+#: Features by the longest run of digits in a text; each implies the ones before it.
+DIGIT_RUNS = {"digit": "[0-9]", "digit4": "[0-9]{4}", "digit7": "[0-9]{7}"}
+
+
+def digit_level(text: Column) -> Column:
+    """How many of the digit features a text has; a longer run is looked for only after a shorter one."""
+    level = F.lit(len(DIGIT_RUNS))
+    for depth, pattern in reversed(list(enumerate(DIGIT_RUNS.values()))):
+        level = F.when(text.rlike(pattern), level).otherwise(F.lit(depth))
+    return level
 
 
 @dataclass(frozen=True)
@@ -76,15 +81,15 @@ SHIPPED: tuple[Recognizer, ...] = (
     Recognizer("email", "EMAIL_ADDRESS",
                r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9.\-]{1,190}\.[A-Za-z]{2,24}", 1.0, feature="at"),
     Recognizer("credit_card", "CREDIT_CARD",
-               r"[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}[ \-][0-9]{1,7}|3[0-9]{3}[ \-][0-9]{6}[ \-][0-9]{5}|[0-9]{13,}",
+               r"[0-9]{4}(?:[ \-](?:[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{1,7}|[0-9]{6}[ \-][0-9]{5})|[0-9]{9,})",
                1.0, feature="digit4", not_before="[0-9]", not_after="[0-9]", check=checks.card_ok),
     Recognizer("ipv4", "IP_ADDRESS", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", 0.95,
                feature="digit", not_before="[0-9.]", not_after="[0-9]", check=checks.octets_ok),
     Recognizer("phone", "PHONE_NUMBER",
-               r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{1,4}\)?[ .\-]?[0-9]{2,4}[ .\-]?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4})?"
+               r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{1,4}\)?[ .\-]?[0-9]{2,4}[ .\-]?[0-9]{2,4}(?:[.\-]?[0-9]{2,4})?"
                r"|\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4}",
                0.75, feature="digit", not_before="[0-9A-Za-z+.]", not_after="[0-9]", check=checks.phone_ok),
-    _assignment("api_key", "API_KEY", r"api[_\-]?key|access[_\-]?key|token|bearer", ("key", "token", "bearer"), 0.8),
+    _assignment("api_key", "API_KEY", r"api[_\-]?key|access[_\-]?key|token|bearer", ("apikey", "api_key", "api-key", "accesskey", "access_key", "access-key", "token", "bearer"), 0.8),
     _assignment("password", "PASSWORD", r"password|passwd|pwd", ("password", "passwd", "pwd"), 0.8),
     _assignment("secret", "SECRET", r"secret|credential", ("secret", "credential"), 0.8),
     Recognizer("iban", "IBAN_CODE",

@@ -132,51 +132,48 @@ def match_ends(matches: Column, text: Column) -> Column:
     return F.aggregate(matches, F.array().cast("array<int>"), after)
 
 
-def feature_columns(active: Sequence[R.Recognizer], text: Column) -> dict[str, Column]:
-    """One boolean per feature that is needed; a stronger test runs only where the weaker holds."""
-    needed = {r.feature for r in active if r.feature}
-    out: dict[str, Column] = {}
-    for name, test in R.FEATURES.items():
-        if name in needed:
-            weaker, value = name, test(text)
-            while weaker in R.WEAKER:
-                weaker = R.WEAKER[weaker]
-                value = F.when(R.FEATURES[weaker](text), value).otherwise(F.lit(False))
-            out[name] = value
-    return out
+def feature_struct(active: Sequence[R.Recognizer], text: Column, around: Column) -> Column:
+    """The cheap facts about a block that decide which patterns run."""
+    needed = {r.feature for r in active}
+    fields = [test(text).alias(name) for name, test in R.FEATURES.items() if name in needed]
+    if needed & set(R.DIGIT_RUNS):
+        fields.append(R.digit_level(text).alias("digits"))
+    return F.struct(F.lower(around).alias("low"), *fields)
+
+
+def has_feature(facts: Column, name: str) -> Column:
+    if name in R.DIGIT_RUNS:
+        return facts["digits"] > list(R.DIGIT_RUNS).index(name)
+    return facts[name]
 
 
 def can_match(active: Sequence[R.Recognizer], text: Column) -> Column:
     """False for texts that no recognizer can match; true when one of them has no feature."""
-    wanted = set()
-    for rec in active:
-        name = rec.feature
-        if name is None:
-            return F.lit(True)
-        while name in R.WEAKER:
-            name = R.WEAKER[name]
-        wanted.add(name)
+    needed = {r.feature for r in active}
+    if None in needed:
+        return F.lit(True)
+    tests = [test(text) for name, test in R.FEATURES.items() if name in needed]
+    runs = [pattern for name, pattern in R.DIGIT_RUNS.items() if name in needed]
+    if runs:
+        tests.insert(0, text.rlike(runs[0]))
     out = F.lit(False)
-    for name, test in R.FEATURES.items():
-        if name in wanted:
-            out = out | test(text)
+    for test in tests:
+        out = out | test
     return out
 
 
-def candidate_hits(
-    active: Sequence[R.Recognizer], text: Column, lowered: Column, features: dict[str, Column], minimum: float
-) -> Column:
+def candidate_hits(active: Sequence[R.Recognizer], text: Column, facts: Column, minimum: float) -> Column:
     """ARRAY<STRUCT<_r, _m>>: the recognizers that matched in a text and what they matched."""
     hits = []
     for i, rec in enumerate(active):
         found = F.regexp_extract_all(text, F.lit(rec.pattern), F.lit(0))
         if rec.words:
-            found = F.when(_any_in(lowered, rec.words), found)
+            found = F.when(_any_in(facts["low"], rec.words), found)
         if rec.cues and rec.score < minimum:
             # below the threshold unless a cue word is near: none in sight, no work
-            found = F.when(_any_in(lowered, rec.cues), found)
+            found = F.when(_any_in(facts["low"], rec.cues), found)
         if rec.feature:
-            found = F.when(features[rec.feature], found)
+            found = F.when(has_feature(facts, rec.feature), found)
         hits.append(F.struct(F.lit(i).alias("_r"), found.alias("_m")))
     return F.filter(F.array(*hits), lambda h: F.size(h["_m"]) > 0)
 
@@ -248,11 +245,8 @@ def spans_in_block(active: Sequence[R.Recognizer], minimum: float, block: Column
     expression serves rows of blocks and documents that must keep their row.
     """
     text, before, after = block["text"], block["before"], block["after"]
-    flags = feature_columns(active, text)
-    tested = F.struct(F.lower(F.concat(before, text, after)).alias("low"),
-                      *[value.alias(name) for name, value in flags.items()])
-    hits = bind(tested, lambda t: candidate_hits(
-        active, text, t["low"], {name: t[name] for name in flags}, minimum))
+    facts = feature_struct(active, text, F.concat(before, text, after))
+    hits = bind(facts, lambda f: candidate_hits(active, text, f, minimum))
 
     def place(hit: Column) -> Column:
         ends = match_ends(hit["_m"], text)

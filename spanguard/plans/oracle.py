@@ -597,12 +597,15 @@ def oracle_queries() -> dict[str, str]:
 
 
 def _redacted_documents() -> str:
-    """Spans in documents do not overlap within one entity; the text is put together from the gaps."""
+    """The text is put together from gaps and masks; what sticks out of an earlier span is starred."""
     return _with(f"{DOCS}, {spans_cte('docs')}", f""",
       kept AS (SELECT *, {MASK} AS mask FROM spans WHERE {KEEP}),
-      laid AS (SELECT *, lag("end", 1, 0) OVER w AS prev_end, row_number() OVER w AS n FROM kept
-        WINDOW w AS (PARTITION BY repo, scan_id, relative_path ORDER BY "start", "end" DESC)),
-      heads AS (SELECT l.repo, l.scan_id, l.relative_path, string_agg(substr(d.text, prev_end + 1, "start" - prev_end) || mask, ''
+      laid AS (SELECT *, coalesce(max("end") OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos,
+        row_number() OVER w AS n FROM kept
+        WINDOW w AS (PARTITION BY repo, scan_id, relative_path ORDER BY "start", "end" DESC, mask)),
+      heads AS (SELECT l.repo, l.scan_id, l.relative_path, string_agg(CASE
+        WHEN "start" >= pos THEN substr(d.text, pos + 1, "start" - pos) || mask
+        WHEN "end" > pos THEN repeat('*', "end" - pos) ELSE '' END, ''
         ORDER BY n) AS body, max("end") AS last FROM laid l JOIN docs d USING (repo, scan_id, relative_path) GROUP BY ALL)
       SELECT d.repo, d.scan_id, d.relative_path, CASE WHEN body IS NULL THEN text ELSE body || substr(text, last + 1) END AS
       redacted_text FROM docs d LEFT JOIN heads USING (repo, scan_id, relative_path)""")
