@@ -105,14 +105,17 @@ def category_rows(counts: DataFrame) -> DataFrame:
 def scan_accounting(files: DataFrame, options: ScanOptions = DEFAULT_OPTIONS) -> DataFrame:
     """files_scanned and files_skipped per scan.
 
-    `files` has extension, size_bytes, text and optionally excluded BOOLEAN. Files of another
-    extension or in an excluded directory are out of scope and count as neither.
+    `files` has extension, size_bytes and optionally text and excluded BOOLEAN. Files of another
+    extension or in an excluded directory are out of scope and count as neither. Without a text
+    column every file of a fitting size counts as readable, and no text is scanned for the count.
     """
     in_scope = F.lower("extension").isin(*options.supported_extensions)
     if "excluded" in files.columns:
         in_scope = in_scope & ~F.col("excluded")
     size, limit = F.col("size_bytes"), F.lit(options.max_file_size_bytes)
-    readable = size.isNotNull() & (size <= limit) & F.col("text").isNotNull()
+    readable = size.isNotNull() & (size <= limit)
+    if "text" in files.columns:
+        readable = readable & F.col("text").isNotNull()
     measures = [
         F.count_if(in_scope & readable).alias("files_scanned"),
         F.count_if(in_scope & ~readable).alias("files_skipped"),

@@ -473,7 +473,7 @@ LIMIT = ScanOptions(max_file_size_bytes=2000)
 
 @query
 def scan_accounting(spark, sf_dir):
-    listed = fx.files(spark, sf_dir)
+    listed = fx.files(spark, sf_dir).drop("text")
     excluded = paths.in_excluded_directory(F.col("relative_path"), LIMIT.excluded_directories)
     return risk.scan_accounting(listed.withColumn("excluded", excluded), LIMIT)
 
