@@ -46,13 +46,15 @@ def block_array(text: Column) -> Column:
 
 def with_blocks(docs: DataFrame, keys: Sequence[str] = DOC_KEYS) -> DataFrame:
     """One row per block: keys, text, before, after, base, base_line."""
-    listed = docs.where(F.length("text") > 0).select(*keys, block_array(F.col("text")).alias("_blocks"))
-    measured = listed.select(
-        *keys, "_blocks",
-        _offsets(F.transform("_blocks", lambda b: F.length(b))).alias("_bases"),
-        _offsets(F.transform("_blocks", newline_count)).alias("_lines"),
-    )
+    blocks, bases, lines, structs = _block_columns(id(docs.sparkSession.sparkContext))
+    listed = docs.where(F.length("text") > 0).select(*keys, blocks.alias("_blocks"))
+    measured = listed.select(*keys, "_blocks", bases.alias("_bases"), lines.alias("_lines"))
+    return measured.select(*keys, F.inline(structs))
+
 
+@lru_cache(maxsize=4)
+def _block_columns(context: int) -> tuple[Column, Column, Column, Column]:
+    """The expressions of `with_blocks`, built once (per Spark context)."""
     def block(text: Column, i: Column) -> Column:
         following = F.coalesce(F.get("_blocks", i + 1), F.lit(""))
         preceding = F.coalesce(F.get("_blocks", i - 1), F.lit(""))
@@ -64,7 +66,12 @@ def with_blocks(docs: DataFrame, keys: Sequence[str] = DOC_KEYS) -> DataFrame:
             F.get("_lines", i).alias("base_line"),
         )
 
-    return measured.select(*keys, F.inline(F.transform("_blocks", block)))
+    return (
+        block_array(F.col("text")),
+        _offsets(F.transform("_blocks", lambda b: F.length(b))),
+        _offsets(F.transform("_blocks", newline_count)),
+        F.transform("_blocks", block),
+    )
 
 
 # --- context columns ---------------------------------------------------------------------------

@@ -7,6 +7,7 @@ tests stand before the text searches in each `CASE WHEN`.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -155,4 +156,10 @@ Validator = Callable[[Context], Column]
 
 def validate_spans(spans: DataFrame, validator: Validator = should_keep) -> DataFrame:
     """Keep the spans the validator accepts; pass another function to replace or extend the rules."""
-    return spans.where(validator(context_of()))
+    return spans.where(_rule(validator, id(spans.sparkSession.sparkContext)))
+
+
+@lru_cache(maxsize=32)
+def _rule(validator: Validator, context: int) -> Column:
+    """The rule over the span columns, built once per validator (and Spark context)."""
+    return validator(context_of())
