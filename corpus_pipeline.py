@@ -8,11 +8,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanguard.llm import bpe, mixing, quality
+from spanguard.llm import bpe, mixing, near_dups, quality, suffixes
 from spanguard.llm.common import table
 from spanguard.session import ensure_checkpoint_dir
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -21,6 +20,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(docs).where("kept").select(*docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return near_dups.keep_one(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that earlier ones have; a character that a cut goes through goes with it."""
+    left = suffixes.remove_repeats(docs, keep=[c for c in docs.columns if c not in ("text", "n_chars")], as_text=True)
+    return left.withColumnRenamed("kept", "text").withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix, each as often as it is taken."""
     mixed = mixing.mix(docs).where(F.col("copies") > 0)
@@ -36,6 +46,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
     ("mix_sources", mix_sources),
     ("encode", encode),
 ]

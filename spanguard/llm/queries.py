@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanguard.llm import bpe, html, mixing, quality, token_counts, topk, url_lists
+from spanguard.llm import bpe, html, language_model, mixing, near_dups, quality, suffixes, token_counts, topk, url_lists
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        topk.op1_top_k, quality.op2_quality_divergence, url_lists.op3_url_lists, html.op6_html_line_blocks, mixing.op7_pareto_mix,
-        token_counts.op8_token_lengths, bpe.op10_prefix_bpe)
+        topk.op1_top_k, quality.op2_quality_divergence, url_lists.op3_url_lists, suffixes.op4_suffix_dedup,
+        language_model.op5_deleted_interpolation, html.op6_html_line_blocks, mixing.op7_pareto_mix, token_counts.op8_token_lengths,
+        near_dups.op9_order_minhash, bpe.op10_prefix_bpe)
 }
 
 _OP1 = """
@@ -105,4 +106,21 @@ c AS (
 SELECT doc_id, size, source_size, target,
   CAST(CASE WHEN size > 0 THEN (whole + CASE WHEN missing > 0 AND before + size / 2 < missing THEN 1 ELSE 0 END) * size ELSE 0 END AS BIGINT) AS taken FROM c"""
 
-SQL = {"op1_top_k": _OP1, "op2_quality_divergence": _OP2, "op3_url_lists": url_lists.OP3_SQL, "op7_pareto_mix": _OP7}
+_OP4 = """
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(doc_id, 9223372036854775807) AS i, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT k, i, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT k, i, h, unnest(range(0, strlen(h) // 2 - 49)) AS p FROM d)),
+m AS (SELECT s, min(i) AS first FROM w GROUP BY s),
+g AS (SELECT k, p, p - lag(p) OVER (PARTITION BY k ORDER BY p) AS gap FROM w JOIN m USING (s) WHERE i > first),
+n AS (SELECT k, p, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY p) AS run FROM g),
+r AS (SELECT k, run, min(p) AS a, max(p) + 50 AS b FROM n GROUP BY k, run),
+x AS (SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS before FROM r),
+y AS (
+  SELECT k, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+  FROM x JOIN d USING (k) GROUP BY k)
+SELECT doc_id, strlen(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN y USING (k)"""
+
+SQL = {"op1_top_k": _OP1, "op2_quality_divergence": _OP2, "op3_url_lists": url_lists.OP3_SQL,
+       "op4_suffix_dedup": _OP4, "op7_pareto_mix": _OP7}
