@@ -52,9 +52,9 @@ class PrefixBPE:
         lengths: dict[int, set[int]] = {}
         for token in ranks:
             lengths.setdefault(token[-1], set()).add(len(token))
-        self.lengths = {last: sorted(x) for last, x in lengths.items()}
+        self.lengths = {last: sorted(x, reverse=True) for last, x in lengths.items()}
         self.alone: dict[int, bool] = {}
-        self.beside: dict[tuple[int, int], bool] = {}
+        self.beside: dict[int, bool] = {}  # by left << 32 | right
         self.packed = _Pieces(lambda piece: np.array(self.encode_bytes(piece.encode("utf-8", "replace")), "<u4").tobytes())
 
     @classmethod
@@ -79,21 +79,19 @@ class PrefixBPE:
             if known is None:
                 known = self.alone[right] = self.merge(self.bytes_of[right]) == [right]
             return known
-        known = self.beside.get((left, right))
+        known = self.beside.get(left << 32 | right)
         if known is None:
             if len(self.beside) > 4 * _REMEMBER:
                 self.beside.clear()
             known = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            self.beside[(left, right)] = known
+            self.beside[left << 32 | right] = known
         return known
 
     def extend(self, data: bytes, last: list[int | None], end: int) -> None:
         """Find the last token of data[:end], given those of all shorter prefixes; last[0] is None."""
         ranks, fits = self.ranks, self.fits
         for size in self.lengths.get(data[end - 1], ()):
-            if size > end:
-                break
-            token = ranks.get(data[end - size:end])
+            token = ranks.get(data[end - size:end]) if size <= end else None
             if token is not None and fits(last[end - size], token):
                 last.append(token)
                 return
@@ -102,8 +100,17 @@ class PrefixBPE:
     def prefixes(self, data: bytes, last: list[int | None] | None = None) -> list[int | None]:
         """The last token of each prefix of data; `last` holds those of a prefix of data already, and is appended to."""
         last = [None] if last is None else last
+        ranks, beside, fits, lengths = self.ranks.get, self.beside.get, self.fits, self.lengths
         for end in range(len(last), len(data) + 1):
-            self.extend(data, last, end)
+            for size in lengths.get(data[end - 1], ()):
+                if size <= end and (token := ranks(data[end - size:end])) is not None:
+                    left = last[end - size]
+                    known = None if left is None else beside(left << 32 | token)
+                    if fits(left, token) if known is None else known:
+                        last.append(token)
+                        break
+            else:
+                raise ValueError("the rank table has no token for a byte")
         return last
 
     def edited(self, old: bytes, last: list[int | None], start: int, stop: int, new: bytes) -> tuple[bytes, list[int | None]]:
@@ -112,7 +119,7 @@ class PrefixBPE:
         Behind the edit the tokens are the earlier ones as soon as they agree at as many places in a row as the longest token has bytes.
         """
         data = old[:start] + new + old[stop:]
-        shift, longest = len(data) - len(old), max(x[-1] for x in self.lengths.values())
+        shift, longest = len(data) - len(old), max(x[0] for x in self.lengths.values())
         out, same = last[:start + 1], 0
         for end in range(start + 1, len(data) + 1):
             self.extend(data, out, end)

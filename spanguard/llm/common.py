@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spanguard.session import cut, ship_package
+from spanguard.session import cut, ensure_checkpoint_dir, ship_package
 
 #: White space of the word rule: blank, tab, line feed, vertical tab, form feed, carriage return (fixed value).
 SPACE = r"[\x20\x09-\x0D]"
@@ -119,5 +120,17 @@ def unpack(ids: bytes, sizes: bytes, data: bytes) -> tuple[np.ndarray, np.ndarra
     return np.frombuffer(ids, np.int64), np.concatenate([[0], np.cumsum(lengths)]), expand(data)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write rows to the shared folder and read them again: no lineage, and sizes as they are.
+
+    A checkpoint keeps the planner's estimate of sizes, which a loop of joins multiplies without end; a table has its own.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

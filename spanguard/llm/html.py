@@ -126,9 +126,9 @@ def main_text(page: str | None, window: int = 3) -> str:
     best, start, total = (0, 0, 0), None, 0
     for i in range(len(lines) + 1):
         busy = i < len(lines) and sums[i] > 0
-        if busy and start is None:
-            start, total = i, 0  # a surge
-        if busy:
+        if busy and start is None and sizes[i]:
+            start, total = i, 0  # a surge, from its first line with text
+        if busy and start is not None:
             total += sizes[i]
         elif start is not None:  # a dive
             best = max(best, (total, -start, i), key=lambda x: (x[0], x[1]))

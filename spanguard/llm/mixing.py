@@ -49,7 +49,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     outputs = ("size", "source_size", "target", "copies")
     columns = [c for c in (docs.columns if keep is None else keep) if c not in outputs]
     size = F.size(words_of(F.col(text).cast("string"))).cast("bigint")
-    rows = docs.select(*columns, F.col(key).alias("_key"), F.col(source).cast("string").alias("_source"), size.alias("_size"))
+    rows = docs.select(F.struct(*columns).alias("_row"), F.col(key).alias("_key"), F.col(source).cast("string").alias("_source"), size.alias("_size"))
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("_key").cast("string"), F.lit("null")), F.col("_size").cast("string")))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     rows = cut(rows.withColumn("_u", u).withColumn("_g", F.floor(F.sqrt(F.sqrt(F.col("_size"))) * 1000)))
@@ -83,7 +83,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     near = near.withColumn("_run", run).withColumn("_more", (F.col("_run") < F.col("_missing")).cast("int")).drop("_run")
     copies = F.when(F.col("_size") > 0, F.col("_whole") + F.col("_more")).otherwise(0).cast("int")
     return clear.unionByName(near).select(
-        *columns, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"))
+        "_row.*", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"))
 
 
 def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

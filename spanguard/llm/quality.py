@@ -128,16 +128,17 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", options: Qual
     Two passes over the texts: one for the common words, one for all measures. The second is written to the shared
     folder without what is not kept, and the class reference and the verdict are made from that.
     """
-    common = common_words(docs, text, lang, options)
-    df = docs.withColumn("_key", F.col(lang).cast("string"))
-    df = df.join(small(common), df["_key"].eqNullSafe(common["_lang"]), "left").drop("_lang")
-    df = measure(df, text)
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    outputs = [*base, "class_distance", "word_distance", "base_failed", "kept"]
+    columns = [c for c in (docs.columns if keep is None else keep) if c not in outputs]
+    rows = docs.select(F.struct(*columns).alias("_row"), F.col(text).cast("string").alias("_in"), F.col(lang).cast("string").alias("_key"))
+    common = common_words(rows, "_in", "_key", options)
+    df = rows.join(small(common), rows["_key"].eqNullSafe(common["_lang"]), "left").drop("_lang")
+    df = measure(df, "_in")
     short = df.withColumn("_short", F.filter("_words", lambda w: F.octet_length(w) <= options.common_chars))
     hits = short.withColumn("_hits", F.transform("_common", lambda w: (
         F.size("_short") - F.size(F.array_remove(F.col("_short"), w))).cast("bigint")))
-    columns = docs.columns if keep is None else keep
-    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    measured = cut(hits.select(*columns, *base, "_key", "_class", "_hits", "_counts"))
+    measured = cut(hits.select("_row", *base, "_key", "_class", "_hits", "_counts"))
     refs = class_reference(measured, "_key", options)
     df = measured.join(small(refs), measured["_key"].eqNullSafe(refs["_lang"]), "left")
     n, total = F.col("n_words"), F.col("_total")
@@ -156,7 +157,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", options: Qual
     odd = (total >= options.min_reference) & (
         (F.col("class_distance") > limit) | (F.col("word_distance") > options.word_limit))
     df = df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False)))
-    return df.select(*columns, *base, "class_distance", "word_distance", "base_failed", "kept")
+    return df.select("_row.*", *outputs)
 
 
 def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from spanguard.llm.common import table
+from spanguard.llm.common import settle, table
 from spanguard.session import cut, ship_package
 
 _BLOCK = "block bigint, dim int, n int, ids binary, vectors binary, norm double"
@@ -150,7 +150,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, block_rows: int
         narrower = max(1, math.ceil(width / bins))
         joined = state.join(kth, "block", "left")
         lo = F.transform("lo", lambda x, i: x + F.coalesce(F.greatest(F.try_element_at("bins", i), F.lit(0)), F.lit(0)) * width)
-        state = cut(joined.select("block", lo.alias("lo"), F.transform("width", lambda x: F.lit(narrower).cast("bigint")).alias("width")))
+        state = settle(joined.select("block", lo.alias("lo"), F.transform("width", lambda x: F.lit(narrower).cast("bigint")).alias("width")))
         if width == 1:
             break
         width = narrower

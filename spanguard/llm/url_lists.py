@@ -53,8 +53,9 @@ def list_join(captures: DataFrame, entries: DataFrame, url: str = "url", fetched
     `entries` holds entry_id (long), list, pattern, added (true: on the list from `since` on, false: off it) and since, of the type of `fetched` (long).
     """
     ship_package(captures.sparkSession)
-    held = cut(captures.drop("lists").withColumn("_row", F.monotonically_increasing_id()))
-    asks = held.select(F.explode(patterns_of(F.col(url))).alias("pattern"), F.col(fetched).cast("bigint").alias("at"), F.lit(1).alias("kind"),
+    columns = [c for c in captures.columns if c != "lists"]
+    held = cut(captures.select(F.struct(*columns).alias("_capture"), F.monotonically_increasing_id().alias("_row")))
+    asks = held.select(F.explode(patterns_of(F.col("_capture")[url])).alias("pattern"), F.col("_capture")[fetched].cast("bigint").alias("at"), F.lit(1).alias("kind"),
                        F.col("_row").alias("id"), F.lit(None).cast("string").alias("list"), F.lit(None).cast("boolean").alias("added"))
     asks = asks.where(F.col("at").isNotNull() & (F.col("pattern") != ""))
     says = entries.select("pattern", F.col("since").cast("bigint").alias("at"), F.lit(0).alias("kind"), F.col("entry_id").cast("bigint").alias("id"), "list", "added")
@@ -109,7 +110,7 @@ def list_join(captures: DataFrame, entries: DataFrame, url: str = "url", fetched
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, pa.string())], names=["_hit", "list"])
 
     hits = placed.mapInArrow(walk, "_hit bigint, list string").groupBy("_hit").agg(F.sort_array(F.collect_set("list")).alias("lists"))
-    return held.join(hits, held["_row"] == hits["_hit"], "left").drop("_row", "_hit").withColumn("lists", F.coalesce("lists", F.array().cast("array<string>")))
+    return held.join(hits, held["_row"] == hits["_hit"], "left").select("_capture.*", F.coalesce("lists", F.array().cast("array<string>")).alias("lists"))
 
 
 def dated_captures(pages: DataFrame) -> DataFrame:
