@@ -10,19 +10,15 @@ from spanguard import rules
 def parsed_report(text: Column) -> Column:
     """The report as a VARIANT, NULL unless the text is exactly one JSON value.
 
-    The parser stops after the first value, so the text is wrapped in an object whose last member
-    must come out again; text after the value then makes the whole invalid.
+    The parser stops after the first value, so the text becomes the first of two array elements, the second a mark made from
+    the text. Only an array of exactly two elements that ends with the mark is taken: further values change the number,
+    further members are no array syntax, and a text that closes the array itself loses the mark.
     """
     mark = F.sha2(text, 256)
-    wrapped = F.try_parse_json(F.concat(F.lit('{"report":'), text, F.lit(',"mark":"'), mark, F.lit('"}')))
-    intact = F.try_variant_get(wrapped, "$.mark", "string") == mark
-    return F.when(intact, F.try_variant_get(wrapped, "$.report", "variant"))
-
-
-def reported_status(text: Column) -> Column:
-    """`summary.pipeline_status` if it is one of the three known values, else NULL."""
-    status = F.try_variant_get(parsed_report(text), "$.summary.pipeline_status", "string")
-    return F.when(status.isin(*rules.STATUSES), status)
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    size = F.size(F.try_variant_get(wrapped, "$", "array<variant>"))
+    intact = (size == 2) & (F.try_variant_get(wrapped, "$[1]", "string") == mark)
+    return F.when(intact, F.try_variant_get(wrapped, "$[0]", "variant"))
 
 
 def gate_reason(text: Column, report: Column, status: Column) -> Column:

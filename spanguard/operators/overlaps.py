@@ -18,11 +18,10 @@ def resolve_overlaps(spans: DataFrame) -> DataFrame:
     """
     keys = [*JOIN_KEYS, "entity_type"]
     extra = [c for c in spans.columns if c not in (*keys, "start", "end", "score")]
-    # one row per range, before any pairing; the other columns follow the best score
+    # one row per range, before any pairing: the best by score, then by its other columns
     unique = spans.groupBy(*keys, "start", "end").agg(
-        F.max("score").alias("score"),
-        *[F.max_by(c, "score").alias(c) for c in extra],
-    )
+        F.max(F.struct("score", *extra)).alias("_best")
+    ).select(*keys, "start", "end", "_best.*")
     slim = unique.select(*keys, "start", "end", "score")
 
     def cell(offset):

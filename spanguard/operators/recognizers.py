@@ -68,7 +68,7 @@ class Recognizer:
         return max(self.score, self.cue_score)
 
 
-_ASSIGN = r"[A-Za-z0-9_\-]{0,40}[\"']?[ \t]*(?::=|=>|=|:)[ \t]*[\"'][^\"' \t\r\n]{6,}[\"']"
+_ASSIGN = r"[A-Za-z0-9_\-]*[\"']?[ \t]*(?::=|=>|=|:)[ \t]*[\"'][^\"' \t\r\n]{6,}[\"']"
 _QUOTED = r"[\"']([^\"']+)[\"']$"
 
 
@@ -79,7 +79,7 @@ def _assignment(name: str, entity: str, cue: str, words: tuple[str, ...], score:
 
 SHIPPED: tuple[Recognizer, ...] = (
     Recognizer("email", "EMAIL_ADDRESS",
-               r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9.\-]{1,190}\.[A-Za-z]{2,24}", 1.0, feature="at"),
+               r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", 1.0, feature="at"),
     Recognizer("credit_card", "CREDIT_CARD",
                r"[0-9]{4}(?:[ \-](?:[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{1,7}|[0-9]{6}[ \-][0-9]{5})|[0-9]{9,})",
                1.0, feature="digit4", not_before="[0-9]", not_after="[0-9]", check=checks.card_ok),
@@ -130,7 +130,7 @@ SHIPPED: tuple[Recognizer, ...] = (
                check=checks.calendar_ok),
     Recognizer("jwt", "JWT", r"eyJ[A-Za-z0-9_\-]{5,}\.[A-Za-z0-9_\-]{5,}\.[A-Za-z0-9_\-]{5,}", 0.95,
                feature="jwt"),
-    Recognizer("private_key", "PRIVATE_KEY", r"-----BEGIN (?:[A-Z0-9]{1,20} ){0,3}PRIVATE KEY-----", 1.0,
+    Recognizer("private_key", "PRIVATE_KEY", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----", 1.0,
                feature="pem"),
 )
 BY_NAME = {r.name: r for r in SHIPPED}

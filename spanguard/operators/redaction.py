@@ -80,8 +80,13 @@ def _row_columns(active, minimum: float, validator: validate.Validator, context:
 
 
 def mask_logs(logs: DataFrame, secrets: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Mask, in each log text, the secret that belongs to its key; texts without one stay as they are."""
-    joined = logs.join(secrets.select(*keys, "secret"), keys, "left")
-    return joined.select(
-        *logs.columns, sanitize_text(F.col(column), F.col("secret")).alias(f"masked_{column}")
-    )
+    """Mask, in each log text, all secrets that belong to its key; texts without one stay as they are.
+
+    The secrets of a key become one array first, so the number of logs stays. Longer secrets go first, as a shorter one may be part of them.
+    """
+    longest_first = F.transform(
+        F.array_sort(F.transform(F.collect_set("secret"), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("s")))), lambda x: x["s"])
+    held = secrets.groupBy(*keys).agg(longest_first.alias("_secrets"))
+    joined = logs.join(held, keys, "left")
+    masked_text = F.aggregate(F.coalesce("_secrets", F.array().cast("array<string>")), F.col(column), lambda text, secret: sanitize_text(text, secret))
+    return joined.select(*logs.columns, masked_text.alias(f"masked_{column}"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from spanguard.functions.lambdas import bind
 from spanguard.operators import recognizers as R
-from spanguard.operators.engines import engine_for
+from spanguard.operators.engines import engine_for, identity_of
 from spanguard.options import DEFAULT_OPTIONS, ScanOptions
 from spanguard.rules import CONTEXT_CHARS
 from spanguard.session import ship_package
@@ -330,6 +330,10 @@ UDF_SPAN_FIELDS = (
 )
 
 
+#: Spans handed over at once.
+UDF_ROWS = 5_000
+
+
 def spans_from_udf(
     docs: DataFrame,
     factory: Callable[[], object],
@@ -341,15 +345,17 @@ def spans_from_udf(
 
     `factory` builds an object with `analyze(text=, language=, score_threshold=)` giving items with
     entity_type, start, end and score. It is called once per Python worker. A failure on one
-    document gives one row with `error` set and no span; use `udf_spans` / `udf_errors` to split.
+    document, or on one item of it, gives one row with `error` set and no span; use `udf_spans` / `udf_errors` to split.
     """
     ship_package(docs.sparkSession)
     minimum = float(options.min_confidence)
     keys = [f for f in docs.select(*DOC_KEYS).schema.fields]
     schema = T.StructType(keys + T.StructType.fromDDL(UDF_SPAN_FIELDS).fields)
 
+    identity = identity_of(factory)
+
     def run(batches):
-        engine = engine_for(name, factory)
+        engine = engine_for(name, identity, factory)
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
@@ -363,17 +369,25 @@ def spans_from_udf(
                     out.append(key + (None,) * 8 + (f"{type(exc).__name__}: {exc}",))
                     continue
                 for item in found:
-                    if item.score < minimum:
+                    try:
+                        score, s, e = float(item.score), int(item.start), int(item.end)
+                        entity = str(item.entity_type)
+                    except Exception as exc:  # nor may one odd item
+                        out.append(key + (None,) * 8 + (f"{type(exc).__name__}: {exc}",))
+                        continue
+                    if score < minimum:
                         continue
-                    s, e = item.start, item.end
                     line_from = text.rfind("\n", 0, s) + 1
                     line_to = text.find("\n", e)
                     out.append(key + (
-                        s, e, item.entity_type, float(item.score), text[s:e],
+                        s, e, entity, score, text[s:e],
                         text.count("\n", 0, s) + 1 if 0 <= s <= len(text) else None,
                         text[max(0, s - CONTEXT_CHARS):e + CONTEXT_CHARS],
                         text[line_from:len(text) if line_to < 0 else line_to], None,
                     ))
+                    if len(out) >= UDF_ROWS:
+                        yield pd.DataFrame(out, columns=schema.fieldNames())
+                        out = []
             yield pd.DataFrame(out, columns=schema.fieldNames())
 
     return docs.select(*DOC_KEYS, "text").mapInPandas(run, schema)

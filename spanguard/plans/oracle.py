@@ -657,13 +657,13 @@ def _summary(own: str) -> str:
 
 def _guidance() -> str:
     found = "total_findings > 0"
-    fields = (("Location", "file || ':' || line_number"), ("Category", "category"), ("Detection confidence", "confidence_score::VARCHAR"),
-              ("Root cause", advised("root_cause")), ("Likely developer mistake", advised("likely_developer_mistake")),
-              ("Security impact", advised("security_impact")), ("Recommended fix", advised("recommendation")),
-              ("Security best practice", advised("best_practice")), ("OWASP", advised("owasp")), ("CWE", advised("cwe")),
-              ("References", f"replace({advised('refs')}, ' ', ', ')"))
-    issue = (f"'### ' || finding_id || ' - ' || x.entity_type || ' [' || severity || ']' || {NEW_LINE} || "
-             + " || ".join(f"{NEW_LINE} || '- **{name}:** ' || {value}" for name, value in fields))
+    fields = (("1. Recommended fix: ", advised("recommendation")), ("2. From now on: ", advised("best_practice")),
+              ("3. Root cause: ", f"{advised('root_cause')} || ' ' || {advised('likely_developer_mistake')}"),
+              ("4. What can come of it: ", advised("security_impact")), ("5. Read on: ", advised("refs")))
+    issue = (f"'### ' || finding_id || ': ' || x.entity_type || ' in `' || file || ':' || line_number || '`' || {NEW_LINE} || {NEW_LINE} || "
+             f"severity || ' severity, group ' || category || ', found with score ' || confidence_score::VARCHAR || '; see ' || "
+             f"{advised('owasp')} || ' and ' || {advised('cwe')} || '.' || {NEW_LINE} || "
+             + " || ".join(f"{NEW_LINE} || '{name}' || {value}" for name, value in fields))
     coding = (f"'- **' || x.entity_type || '** (' || severity || '): ' || {advised('owasp')} || ' / ' || {advised('cwe')} || ': ' || "
               f"{advised('best_practice')}")
     intro = ("'For each issue found in ' || repo || ' this guide says why it was marked and how to fix it. Score and status are "

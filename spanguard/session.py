@@ -6,7 +6,6 @@ import os
 import tempfile
 import zipfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,11 +42,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def reuse(df: DataFrame) -> DataFrame:
-    """Cache rows that several branches read; spills to disk, recomputed when an executor is lost."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of all executors; once per context."""
     sc = spark.sparkContext

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from spanguard import rules
@@ -59,11 +60,13 @@ def next_numbers(new: DataFrame, history: DataFrame) -> DataFrame:
 def append_history(reports: DataFrame, path: str, moment: Column | None = None) -> DataFrame:
     """Append the reports that are new, with number and time stamp; gives the rows written.
 
-    Running it again with the same reports appends nothing.
+    Running it again with the same reports appends nothing, and of equal reports of a repository in one call the first is stored.
     """
     spark = reports.sparkSession
     history = read_history(spark, path)
-    fresh = content_anti_join(report_hashes(reports), history)
+    hashes = report_hashes(reports)
+    first = hashes.groupBy("repo", "content_hash").agg(F.min("scan_id").alias("scan_id"))  # of equal reports in one batch
+    fresh = content_anti_join(first.select(*hashes.columns), history)
     numbered = next_numbers(fresh, history)
     stamp = F.current_timestamp() if moment is None else moment
     rows = reports.join(numbered, KEYS).select(
@@ -84,10 +87,12 @@ HISTORY_SCHEMA = (
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """The history table; empty when nothing was stored yet."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    try:
+        return spark.read.schema(HISTORY_SCHEMA).parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], HISTORY_SCHEMA)
-    return spark.read.schema(HISTORY_SCHEMA).parquet(path)
 
 
 def parse_reports(history: DataFrame) -> DataFrame:

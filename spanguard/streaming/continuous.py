@@ -25,7 +25,7 @@ def append_findings(
     def store(batch: DataFrame, batch_id: int) -> None:
         tagged = batch.withColumn("batch_id", F.lit(batch_id))
         _replace(tagged, findings_path)
-        stored = batch.sparkSession.read.parquet(findings_path).where(F.col("batch_id") == batch_id)
+        stored = batch.sparkSession.read.schema(tagged.schema).parquet(findings_path).where(F.col("batch_id") == batch_id)
         _replace(stored.groupBy(*SCAN_KEYS, "batch_id").agg(*severity_aggregates()), counts_path)
 
     return (

@@ -135,6 +135,46 @@ def brute_force(rows):
     return sorted(s for s in spans if not any(beats(o, s) for o in spans))
 
 
+def engine_giving(entity, **odd):
+    Item = namedtuple("Item", "entity_type start end score")
+
+    class Engine:
+        def analyze(self, text, language, score_threshold):
+            good = Item(entity, 0, 2, 0.9)
+            return [Item(**{**good._asdict(), **odd}), good] if odd else [good]
+
+    return Engine
+
+
+def test_two_engines_in_one_session_do_not_mix(make_docs):
+    docs = make_docs({"a.txt": "hello"})
+    for entity in ("AAA", "BBB"):
+        assert {r.entity_type for r in S.udf_spans(S.spans_from_udf(docs, engine_giving(entity))).collect()} == {entity}
+
+
+@pytest.mark.parametrize("odd", [{"score": None}, {"start": "x"}, {"end": None}])
+def test_an_odd_item_stays_alone(make_docs, odd):
+    out = S.spans_from_udf(make_docs({"a.txt": "hello"}), engine_giving("AAA", **odd))
+    assert [(r.entity_type, r.value) for r in S.udf_spans(out).collect()] == [("AAA", "he")]
+    assert S.udf_errors(out).count() == 1
+
+
+def test_long_addresses_are_found_whole(make_docs):
+    mail = "a" * 70 + "@" + "b." * 110 + "example.com"
+    assert ("EMAIL_ADDRESS", mail) in found(S.detect_spans(make_docs({"a.txt": f"to {mail} now"})))
+
+
+def test_all_secrets_of_a_key_go_and_rows_stay(spark):
+    from spanguard.operators.redaction import mask_logs
+    logs = spark.createDataFrame([(1, "x abc y abcdef z"), (1, "none"), (2, "abc"), (3, None)], "k int, log string")
+    secrets = spark.createDataFrame([(1, "abc"), (1, "abcdef"), (1, "abc"), (1, None), (1, ""), (4, "q")], "k int, secret string")
+    rows = mask_logs(logs, secrets, ["k"], "log").collect()
+    assert len(rows) == 4
+    got = {r.log: r.masked_log for r in rows}
+    assert "abc" not in got["x abc y abcdef z"] and "def" not in got["x abc y abcdef z"]
+    assert got["none"] == "none" and got["abc"] == "abc" and got[None] is None
+
+
 def test_overlaps_against_brute_force(spark):
     rows = [(f"d{i % 3}", "XY"[i % 2], i * 37 % 900, i * 37 % 900 + 1 + i * 53 % 600, (i % 4) / 4) for i in range(300)]
     df = spark.createDataFrame(rows, "relative_path string, entity_type string, start int, end int, score double").select(

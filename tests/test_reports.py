@@ -302,6 +302,11 @@ def test_prompts_hold_no_values(sample):
     ('{"summary":{"pipeline_status":"PASS"}} x', None, 1, "not valid JSON"),
     ("{'summary':{'pipeline_status':'PASS'}}", None, 1, "not valid JSON"),
     ('{"summary":{"pipeline_status":"PASS"}},"mark":"x"', None, 1, "not valid JSON"),
+    ('{"summary":{"pipeline_status":"PASS"}},"x":1', None, 1, "not valid JSON"),
+    ('{"summary":{"pipeline_status":"PASS"}},1', None, 1, "not valid JSON"),
+    ('{"summary":{"pipeline_status":"PASS"}}{"a":1}', None, 1, "not valid JSON"),
+    ('{"summary":{"pipeline_status":"PASS"}},"', None, 1, "not valid JSON"),
+    ('{"summary":{"pipeline_status":"PASS"}}],["a"', None, 1, "not valid JSON"),
 ])
 def test_gate(spark, text, status, code, reason):
     row = one(gate.evaluate_gate(spark.createDataFrame([(text,)], "report_json string")))
