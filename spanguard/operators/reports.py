@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from spanguard import rules
 from spanguard.functions import text
-from spanguard.operators import ranking, risk
+from spanguard.operators import gate, ranking, risk
 from spanguard.operators.findings import SCAN_KEYS
 from spanguard.options import DEFAULT_OPTIONS, ScanOptions
 
@@ -107,6 +107,15 @@ def report_json(report: Column) -> Column:
     return F.to_json(report, {"ignoreNullFields": "false"})
 
 
+def is_valid_report_text(text: Column) -> Column:
+    """The text is one JSON object with a summary that has any member and an array of findings; other fields may be anything."""
+    parsed = gate.parsed_report(text)
+    summary = F.schema_of_variant(F.try_variant_get(parsed, "$.summary", "variant"))
+    listed = F.schema_of_variant(F.try_variant_get(parsed, "$.findings", "variant"))
+    shaped = summary.startswith("OBJECT<") & (summary != "OBJECT<>") & listed.startswith("ARRAY<")
+    return F.coalesce(shaped, F.lit(False))
+
+
 def is_valid_report(report: Column) -> Column:
     """The row has a summary with content and an array of findings."""
     summary = report["summary"]

@@ -134,6 +134,24 @@ def test_report_files_good_and_corrupt(spark, tmp_path):
     assert rows["good.json"].report.summary.total_findings == 3
 
 
+@pytest.mark.parametrize("text, valid", [
+    ('{"summary":{"x":1},"findings":[]}', True), ('{"summary":{"severity_counts":{}},"findings":[1],"files_scanned":"many"}', True),
+    ('{"summary":{},"findings":[]}', False), ('{"summary":{"x":1}}', False), ('{"summary":{"x":1},"findings":{}}', False),
+    ('{"summary":[1],"findings":[]}', False), ("[]", False), ("", False), (None, False), ("{bad", False),
+    ('{"summary":{"x":1},"findings":[]} x', False), ('{"summary":{"x":1},"findings":[]},"y":1', False)])
+def test_valid_report_texts(spark, text, valid):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(reports.is_valid_report_text(F.col("t"))).first()[0] is valid
+
+
+def test_equal_reports_of_one_batch_are_stored_once(spark, make_docs, tmp_path):
+    path = str(tmp_path / "history")
+    one = report_rows(make_docs, {"a.py": "a@example.org"}, 1)
+    both = one.unionByName(one.withColumn("scan_id", F.lit(7).cast("bigint")))
+    assert [(r.scan_id, r.scan_no) for r in history.append_history(both, path).collect()] == [(1, 1)]
+    assert history.append_history(both, path).count() == 0
+
+
 # --- masking -------------------------------------------------------------------------------------
 
 def test_redact_documents_agrees_with_join(make_docs):
