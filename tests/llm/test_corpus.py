@@ -204,7 +204,7 @@ def brute_classes(rows, share=0.8):
     return near, far
 
 
-@pytest.mark.parametrize("rounds", [1, 3])
+@pytest.mark.parametrize("rounds", [1, 2])
 def test_near_classes(spark, docs, rounds):
     df = docs.withColumn("class_id", F.lit("clash"))
     rows = near_classes(df, options=NearOptions(single_rounds=rounds)).collect()
