@@ -49,10 +49,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     outputs = ("size", "source_size", "target", "copies")
     columns = [c for c in (docs.columns if keep is None else keep) if c not in outputs]
     size = F.size(words_of(F.col(text).cast("string"))).cast("bigint")
-    rows = docs.select(F.struct(*columns).alias("_row"), F.col(key).alias("_key"), F.col(source).cast("string").alias("_source"), size.alias("_size"))
-    digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("_key").cast("string"), F.lit("null")), F.col("_size").cast("string")))
-    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    rows = cut(rows.withColumn("_u", u).withColumn("_g", F.floor(F.sqrt(F.sqrt(F.col("_size"))) * 1000)))
+
+    def measured(*more: str) -> DataFrame:
+        rows = docs.select(*([F.struct(*more).alias("_row")] if more else []), F.col(key).alias("_key"),
+                           F.col(source).cast("string").alias("_source"), size.alias("_size"))
+        digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("_key").cast("string"), F.lit("null")), F.col("_size").cast("string")))
+        u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+        return rows.withColumn("_u", u).withColumn("_g", F.floor(F.sqrt(F.sqrt(F.col("_size"))) * 1000))
+
+    rows = cut(measured())
     sums = rows.groupBy("_source").agg(
         F.sum("_size").alias("_source_size"), F.sum(F.col("_size") * F.col("_g")).alias("_mass"), F.count(F.lit(1)).alias("_n"))
     sums = cut(sums)
@@ -62,17 +67,24 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     whole = F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(F.lit(0)).cast("bigint")
     plan = plan.withColumn("_whole", whole).withColumn("_missing", F.col("_target") - F.col("_whole") * F.col("_source_size"))
     plan = cut(plan.withColumnRenamed("_source", "_s"))
-    sized = rows.join(small(plan), rows["_source"].eqNullSafe(plan["_s"])).drop("_s")
-    raw = F.when(F.col("_mass") > 0, F.col("_missing") * F.col("_g") / F.col("_mass")).otherwise(F.lit(0.0))
-    sized = sized.withColumn("_p", F.least(F.greatest(raw, F.lit(1e-6)), F.lit(1 - 1e-6)))
-    sized = sized.withColumn("_q", (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p"))))
-    sized = sized.withColumn("_slice", F.floor(F.col("_q") / (1 + F.col("_q")) * slices))
+
+    def placed(frame: DataFrame) -> DataFrame:
+        """Each document with its place in the Pareto order of its source."""
+        df = frame.join(small(plan), frame["_source"].eqNullSafe(plan["_s"])).drop("_s")
+        raw = F.when(F.col("_mass") > 0, F.col("_missing") * F.col("_g") / F.col("_mass")).otherwise(F.lit(0.0))
+        df = df.withColumn("_p", F.least(F.greatest(raw, F.lit(1e-6)), F.lit(1 - 1e-6)))
+        df = df.withColumn("_q", (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p"))))
+        return df.withColumn("_slice", F.floor(F.col("_q") / (1 + F.col("_q")) * slices))
+
+    sized = placed(rows)
     by_slice = sized.groupBy("_source", "_slice").agg(F.sum("_size").alias("_words"), F.first("_missing").alias("_need"))
     order = Window.partitionBy("_source").orderBy("_slice")
     by_slice = by_slice.withColumn("_through", F.sum("_words").over(order))
     edge = cut(by_slice.where((F.col("_through") > F.col("_need")) & (F.col("_through") - F.col("_words") <= F.col("_need")) & (F.col("_need") > 0))
                .select(F.col("_source").alias("_s"), F.col("_slice").alias("_edge"), (F.col("_through") - F.col("_words")).alias("_before"))
                .groupBy("_s").agg(F.min_by(F.struct("_edge", "_before"), "_edge").alias("_e")).select("_s", "_e.*"))
+    # The documents themselves are read again here; only numbers were written before.
+    sized = placed(measured(*columns))
     sized = sized.join(small(edge), sized["_source"].eqNullSafe(edge["_s"]), "left").drop("_s")
     # No edge: the target is reached by all rows, or nothing is missing.
     clear = sized.where(F.col("_edge").isNull() | (F.col("_slice") != F.col("_edge"))).withColumn(

@@ -62,13 +62,16 @@ def common_words(docs: DataFrame, text: str, lang: str, options: QualityOptions)
                           F.transform("_top", lambda x: x["_n"]).alias("_counts")))
 
 
-def class_reference(measured: DataFrame, lang: str, options: QualityOptions) -> DataFrame:
+def class_reference(docs: DataFrame, text: str, lang: str, options: QualityOptions) -> DataFrame:
     """One row per language: _total, its words, and _class_share, over all documents that are long enough."""
     n = len(CLASSES) + 2
-    sums = measured.where(F.col("n_words") >= options.min_words).groupBy(F.col(lang).alias("_lang")).agg(
-        F.sum("n_words").alias("_total"), *[F.sum(F.col("_class")[i]).alias(f"_c{i}") for i in range(n)])
+    rows = docs.select(F.col(lang).alias("_lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    rows = _reduced(rows.withColumn("_words", words_of(F.col("_text")))).withColumn("_n", F.size("_words").cast("bigint"))
+    enough = F.col("_n") >= options.min_words  # inside the sums, as a filter would split the texts once more
+    sums = rows.groupBy("_lang").agg(
+        F.sum(F.when(enough, F.col("_n"))).alias("_total"), *[F.sum(F.when(enough, F.col("_class")[i])).alias(f"_c{i}") for i in range(n)])
     chars = sum((F.col(f"_c{i}") for i in range(n)), F.lit(0))
-    return cut(sums.select("_lang", "_total", F.array(*[F.col(f"_c{i}") / chars for i in range(n)]).alias("_class_share")))
+    return cut(sums.where(F.col("_total") > 0).select("_lang", "_total", F.array(*[F.col(f"_c{i}") / chars for i in range(n)]).alias("_class_share")))
 
 
 def _half(p: Column, q: Column) -> Column:
@@ -125,22 +128,22 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", options: Qual
           keep: list[str] | None = None) -> DataFrame:
     """Base measures, class_distance, word_distance, base_failed and kept of every document, beside the columns `keep` (all).
 
-    Two passes over the texts: one for the common words, one for all measures. The second is written to the shared
-    folder without what is not kept, and the class reference and the verdict are made from that.
+    Two passes over the texts make the references, a row per language each; a third measures and judges. No text is shuffled or written.
     """
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     outputs = [*base, "class_distance", "word_distance", "base_failed", "kept"]
     columns = [c for c in (docs.columns if keep is None else keep) if c not in outputs]
     rows = docs.select(F.struct(*columns).alias("_row"), F.col(text).cast("string").alias("_in"), F.col(lang).cast("string").alias("_key"))
     common = common_words(rows, "_in", "_key", options)
-    df = rows.join(small(common), rows["_key"].eqNullSafe(common["_lang"]), "left").drop("_lang")
+    shares = class_reference(rows, "_in", "_key", options)
+    refs = cut(shares.join(common, shares["_lang"].eqNullSafe(common["_lang"]), "left").select(
+        shares["_lang"], "_total", "_class_share", "_common", "_counts"))
+    df = rows.join(small(refs), rows["_key"].eqNullSafe(refs["_lang"]), "left").drop("_lang")
     df = measure(df, "_in")
     short = df.withColumn("_short", F.filter("_words", lambda w: F.octet_length(w) <= options.common_chars))
     hits = short.withColumn("_hits", F.transform("_common", lambda w: (
         F.size("_short") - F.size(F.array_remove(F.col("_short"), w))).cast("bigint")))
-    measured = cut(hits.select("_row", *base, "_key", "_class", "_hits", "_counts"))
-    refs = class_reference(measured, "_key", options)
-    df = measured.join(small(refs), measured["_key"].eqNullSafe(refs["_lang"]), "left")
+    df = hits.select("_row", *base, "_class", "_class_share", "_hits", "_counts", "_total")
     n, total = F.col("n_words"), F.col("_total")
 
     def with_rest(counts: Column, whole: Column) -> Column:
