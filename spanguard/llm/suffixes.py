@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from spanguard.llm.common import expand, pack_blocks, rest_of, squeeze, table, unpack
-from spanguard.session import cut, ship_package
+from spanguard.session import ship_package
 
 _CHUNK = 1 << 17
 _RUN = 64
@@ -167,6 +167,16 @@ def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
     return [np.frombuffer(raw[e - s:e], kind) for e, s, kind in zip(ends, sizes, kinds)]
 
 
+def _pack_segments(counts: np.ndarray, ids: np.ndarray, at: np.ndarray, data: np.ndarray) -> bytes:
+    """Segments: numbers of strings, document ids, places in the block, bytes; ids and places as differences, which are small."""
+    return _pack(counts.astype(np.uint8), np.diff(ids.astype(np.int64), prepend=0), np.diff(at, prepend=0).astype(np.int32), data)
+
+
+def _unpack_segments(packed: bytes) -> list[np.ndarray]:
+    counts, ids, at, data = _unpack(packed, np.uint8, np.int64, np.int32, np.uint8)
+    return [counts, np.cumsum(ids), np.cumsum(at, dtype=np.int64), data]
+
+
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All numbers of the ranges, one after the other."""
     size = size.astype(np.int64)
@@ -199,7 +209,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "bucket", "block", "data"])
 
 
-def removed_strings(blocks: DataFrame, length: int = 50, k: int = 24, per_bucket: int = 1 << 20, fan_in: int = 4096) -> DataFrame:
+def removed_strings(blocks: DataFrame, length: int = 50, k: int = 24, per_bucket: int = 1 << 18, fan_in: int = 4096) -> DataFrame:
     """block and data: packed starts and numbers of strings in the block that a document with a smaller id has, too."""
     total, n_blocks = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count(F.lit(1))).first()
     bits = min(30, max(0, (int(total) // 14 // per_bucket).bit_length()))
@@ -292,20 +302,23 @@ def removed_strings(blocks: DataFrame, length: int = 50, k: int = 24, per_bucket
                     groups, b2, s2, doc_of = bucket_of(k2)[order], b2[order], s2[order], doc_of[order]
                     edges = np.flatnonzero(np.diff(groups, prepend=-1))
                     for a, b in zip(edges, np.append(edges[1:], len(groups))):
-                        rows.append((2, groups[a], row.block, _pack(
-                            s2[a:b].astype(np.uint8), doc_of[a:b], b2[a:b].astype(np.int64), data[_ranges(b2[a:b], s2[a:b] + length - 1)])))
+                        rows.append((2, groups[a], row.block, _pack_segments(
+                            s2[a:b], doc_of[a:b], b2[a:b], data[_ranges(b2[a:b], s2[a:b] + length - 1)])))
                 yield _frame(rows)
 
     def across(frame: pd.DataFrame) -> pd.DataFrame:
-        """Strings of one key from several blocks: those removed by block, and those that go on to the next round."""
-        parts = [_unpack(x, np.uint8, np.int64, np.int64, np.uint8) for x in frame["data"]]
+        """Strings of one key from several blocks: those removed by block, and those that go on to the next round; what is removed already passes."""
+        passed, frame = frame[frame["kind"] == 3], frame[frame["kind"] == 2]
+        if not len(frame):
+            return passed[["kind", "bucket", "block", "data"]]
+        parts = [_unpack_segments(x) for x in frame["data"]]
         text, starts = _strings([(body, counts) for counts, _, _, body in parts], length)
         counts = np.concatenate([p[0] for p in parts]).astype(np.int64)
         ids = np.repeat(np.concatenate([p[1] for p in parts]), counts)
         places = _ranges(np.concatenate([p[2] for p in parts]), counts)
         gone = smaller_elsewhere(text, starts, ids, length)
         ends = np.cumsum([int(p[0].sum()) for p in parts])
-        rows = []
+        rows = list(passed[["kind", "bucket", "block", "data"]].itertuples(index=False, name=None))
         for block, bucket, part, b in zip(frame["block"], frame["bucket"], parts, ends):
             a = b - int(part[0].sum())
             mine = gone[a:b]
@@ -319,23 +332,21 @@ def removed_strings(blocks: DataFrame, length: int = 50, k: int = 24, per_bucket
                 left, own = _ranges(np.zeros(len(part[0]), np.int64), part[0])[~mine], segment[~mine]
                 cuts = np.flatnonzero((np.diff(left, prepend=-2) != 1) | (np.diff(own, prepend=-1) != 0))
                 n, one, at = np.diff(cuts, append=len(left)), own[cuts], left[cuts]
-                rows.append((2, bucket, block, _pack(n.astype(np.uint8), part[1][one], part[2][one] + at, part[3][_ranges(offset[one] + at, n + length - 1)])))
+                rows.append((2, bucket, block, _pack_segments(n, part[1][one], part[2][one] + at, part[3][_ranges(offset[one] + at, n + length - 1)])))
         return _frame(rows)
 
-    held = cut(blocks.join(answers, "block").mapInPandas(within, _PART))
-    spans = held.where("kind = 3")
+    held = blocks.join(answers, "block").mapInPandas(within, _PART)
     groups = max(1, int(n_blocks))
     while True:
         groups = max(1, -(-groups // fan_in))
-        found = held.where("kind = 2").groupBy("bucket", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("_g")).applyInPandas(across, _PART)
+        # What is removed travels with the strings, so that a round is computed once.
+        held = held.groupBy("bucket", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("_g")).applyInPandas(across, _PART)
         if groups == 1:
-            return spans.unionByName(found.where("kind = 3")).select("block", "data")
-        held = cut(found)
-        spans = spans.unionByName(held.where("kind = 3"))
+            return held.where("kind = 3").select("block", "data")
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, block_bytes: int = 3 << 20,
-                   per_bucket: int = 1 << 20, fan_in: int = 4096, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, block_bytes: int = 2 << 20,
+                   per_bucket: int = 1 << 18, fan_in: int = 4096, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """n_bytes, n_removed, n_spans and kept of every document, behind the columns `keep` (the key alone).
 
     `kept` holds the remaining bytes or, `as_text`, what they spell, without characters that a cut goes through.
