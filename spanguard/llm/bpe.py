@@ -49,11 +49,15 @@ class PrefixBPE:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.split = regex.compile(pattern).findall
-        lengths: dict[int, set[int]] = {}
+        # Lengths of the tokens that end in given three bytes, the longest first; shorter tokens may end anywhere.
+        lengths: dict[bytes, set[int]] = {}
         for token in ranks:
-            lengths.setdefault(token[-1], set()).add(len(token))
-        self.lengths = {last: sorted(x, reverse=True) for last, x in lengths.items()}
+            if len(token) > 2:
+                lengths.setdefault(token[-3:], set()).add(len(token))
+        self.lengths = {last: (*sorted(x, reverse=True), 2, 1) for last, x in lengths.items()}
+        self.longest = max(map(len, ranks))
         self.alone: dict[int, bool] = {}
+        self.joined: dict[int, tuple[int, int] | None] = {}
         self.beside: dict[int, bool] = {}  # by left << 32 | right
         self.packed = _Pieces(lambda piece: np.array(self.encode_bytes(piece.encode("utf-8", "replace")), "<u4").tobytes())
 
@@ -62,16 +66,44 @@ class PrefixBPE:
         with open(path, "rb") as rows:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, rows)}, pattern)
 
-    def merge(self, data: bytes) -> list[int]:
-        """The encoding by merging the pair of lowest rank, leftmost first; used on one or two tokens only."""
+    def merge(self, data: bytes, stop: int = 1) -> list[int]:
+        """The encoding by merging the pair of lowest rank, leftmost first, down to `stop` tokens; used on single tokens only."""
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > stop:
             best = min(((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))))
             if best[0] == 1 << 60:
                 break
             parts[best[1]:best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
         return [self.ranks[p] for p in parts]
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that the last merge of a token joins; none for a single byte."""
+        if token not in self.joined:
+            parts = self.merge(self.bytes_of[token], 2)
+            self.joined[token] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return self.joined[token]
+
+    def stay_apart(self, left: int, right: int) -> bool:
+        """Whether the encoding of both tokens' bytes is just these two.
+
+        Merges come in the order of rank. Going back in time, the token of higher rank comes apart first, the right one
+        of two equal ones, as merges go from left to right. A pair across the seam that joins with a lower
+        rank than what has come apart would have been joined before that.
+        """
+        ranks, names = self.ranks, self.bytes_of
+        undone = 1 << 60
+        while True:
+            both = ranks.get(names[left] + names[right])
+            if both is not None and both < undone:
+                return False
+            a, b = self.halves(left), self.halves(right)
+            if a is None and b is None:
+                return True
+            if b is None or a is not None and left > right:
+                undone, left = left, a[1]
+            else:
+                undone, right = right + 1, b[0]
+
     def fits(self, left: int | None, right: int) -> bool:
         """Whether `right` may follow `left`, or begin a piece if there is none."""
         if left is None:
@@ -83,26 +115,15 @@ class PrefixBPE:
         if known is None:
             if len(self.beside) > 4 * _REMEMBER:
                 self.beside.clear()
-            known = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            self.beside[left << 32 | right] = known
+            known = self.beside[left << 32 | right] = self.stay_apart(left, right)
         return known
 
-    def extend(self, data: bytes, last: list[int | None], end: int) -> None:
-        """Find the last token of data[:end], given those of all shorter prefixes; last[0] is None."""
-        ranks, fits = self.ranks, self.fits
-        for size in self.lengths.get(data[end - 1], ()):
-            token = ranks.get(data[end - size:end]) if size <= end else None
-            if token is not None and fits(last[end - size], token):
-                last.append(token)
-                return
-        raise ValueError("the rank table has no token for a byte")
-
-    def prefixes(self, data: bytes, last: list[int | None] | None = None) -> list[int | None]:
-        """The last token of each prefix of data; `last` holds those of a prefix of data already, and is appended to."""
+    def prefixes(self, data: bytes, last: list[int | None] | None = None, stop: int | None = None) -> list[int | None]:
+        """The last token of each prefix of data[:stop]; `last` holds those of its first prefixes already, and is appended to."""
         last = [None] if last is None else last
-        ranks, beside, fits, lengths = self.ranks.get, self.beside.get, self.fits, self.lengths
-        for end in range(len(last), len(data) + 1):
-            for size in lengths.get(data[end - 1], ()):
+        ranks, beside, fits, lengths = self.ranks.get, self.beside.get, self.fits, self.lengths.get
+        for end in range(len(last), (len(data) if stop is None else stop) + 1):
+            for size in lengths(data[end - 3:end], (2, 1)) if end > 2 else (2, 1):
                 if size <= end and (token := ranks(data[end - size:end])) is not None:
                     left = last[end - size]
                     known = None if left is None else beside(left << 32 | token)
@@ -119,13 +140,13 @@ class PrefixBPE:
         Behind the edit the tokens are the earlier ones as soon as they agree at as many places in a row as the longest token has bytes.
         """
         data = old[:start] + new + old[stop:]
-        shift, longest = len(data) - len(old), max(x[0] for x in self.lengths.values())
+        shift = len(data) - len(old)
         out, same = last[:start + 1], 0
         for end in range(start + 1, len(data) + 1):
-            self.extend(data, out, end)
+            self.prefixes(data, out, end)
             behind = end - start - len(new)
             same = same + 1 if behind > 0 and out[end] == last[end - shift] and behind >= len(self.bytes_of[out[end]]) else 0
-            if same >= longest:
+            if same >= self.longest:
                 return data, out + last[end - shift + 1:]
         return data, out
 
