@@ -98,6 +98,14 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         "_row.*", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"))
 
 
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The documents of the mix with their columns, each row as often as it is taken."""
+    mixed = mix(docs.select(F.struct(*docs.columns).alias("_doc"), F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(source).alias("_o")),
+                "_k", "_t", "_o", keep=["_doc"], **options)
+    taken = mixed.select(F.explode_outer(F.when(F.col("copies") > 0, F.array_repeat("_doc", F.col("copies")))).alias("_doc"))
+    return taken.where(F.col("_doc").isNotNull()).select("_doc.*")
+
+
 def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents: words taken of each, repeats counted."""
     mixed = mix(table(spark, sf_dir, "documents"), keep=["doc_id"])

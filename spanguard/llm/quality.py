@@ -163,6 +163,16 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", options: Qual
     return df.select("_row.*", *outputs)
 
 
+def kept_only(docs: DataFrame, text: str = "text", lang: str = "lang", options: QualityOptions = QualityOptions()) -> DataFrame:
+    """The documents that pass, with their columns.
+
+    The verdict stays out of a filter, into which the optimizer would copy all measures, each several times.
+    """
+    judged = judge(docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_t"), F.col(lang).alias("_l")), "_t", "_l", options, ["_doc"])
+    passed = judged.select(F.explode_outer(F.when(F.col("kept"), F.array("_doc"))).alias("_doc"))
+    return passed.where(F.col("_doc").isNotNull()).select("_doc.*")
+
+
 def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its base measures and the verdict."""
     judged = judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
