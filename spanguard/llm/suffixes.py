@@ -209,7 +209,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "bucket", "block", "data"])
 
 
-def removed_strings(blocks: DataFrame, length: int = 50, k: int = 24, per_bucket: int = 1 << 18, fan_in: int = 4096) -> DataFrame:
+def removed_strings(blocks: DataFrame, length: int = 50, k: int = 24, per_bucket: int = 1 << 17, fan_in: int = 4096) -> DataFrame:
     """block and data: packed starts and numbers of strings in the block that a document with a smaller id has, too."""
     total, n_blocks = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count(F.lit(1))).first()
     bits = min(30, max(0, (int(total) // 14 // per_bucket).bit_length()))
@@ -346,7 +346,7 @@ def removed_strings(blocks: DataFrame, length: int = 50, k: int = 24, per_bucket
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, block_bytes: int = 2 << 20,
-                   per_bucket: int = 1 << 18, fan_in: int = 4096, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
+                   per_bucket: int = 1 << 17, fan_in: int = 4096, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """n_bytes, n_removed, n_spans and kept of every document, behind the columns `keep` (the key alone).
 
     `kept` holds the remaining bytes or, `as_text`, what they spell, without characters that a cut goes through.
