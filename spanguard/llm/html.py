@@ -3,7 +3,8 @@
 Markup is stripped so that each block of the page is one line; a part that can hold no article text (menu, header, footer, form,
 script, advert, comments and the like) leaves an empty line. The lengths of `window` lines from each line on are
 summed: text begins where the sum surges from nothing and ends where it dives back to nothing. The
-stretch with most text is the article; a page that marks its article has the stretches inside the mark only.
+stretch with most text is the article. A page that marks its article has only the lines inside the mark summed, and keeps each
+of their stretches; so links of `window` or more lines in a row, without other text, are left out there, too.
 
 Defined results: null or empty html gives the empty text; unclosed and stray tags are allowed; nothing is cut off.
 """
@@ -25,6 +26,7 @@ _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math"}
 _ASIDE = {"nav", "footer", "aside", "form", "select", "button", "menu", "dialog", "head"}
 _MAIN = {"article", "main"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins",
            "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "td", "th", "time", "tt", "u", "var", "wbr"}
@@ -36,10 +38,10 @@ _ODD = re.compile(
 
 
 def _lines(page: str) -> list[tuple[str, int, bool]]:
-    """Lines of a page: text, characters outside links, and whether it lies in a marked article; an empty text for a left-out part."""
+    """Lines of a page: text, characters outside links (in a mark also those of linked headings), and whether it lies in a marked article; an empty text for a left-out part."""
     lines: list[tuple[str, int, bool]] = []
     words: list[str] = []
-    plain = depth = links = inside = 0
+    plain = depth = links = inside = heading = 0
     skipped = ""
     at, end = 0, len(page)
 
@@ -56,7 +58,7 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
         if piece and not skipped:
             piece = entities.unescape(piece)
             words.append(piece)
-            if not links:
+            if not links or heading and inside:
                 plain += len("".join(piece.split()))
 
     while at < end:
@@ -104,6 +106,8 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
                 continue
         if name == "a":
             links = 0 if closing else 1
+        if name in _HEADINGS:
+            heading = 0 if closing else 1
         if name in _INLINE:
             if name in ("br", "td", "th"):
                 words.append(" ")
@@ -118,22 +122,22 @@ def main_text(page: str | None, window: int = 3) -> str:
     if not page:
         return ""
     lines = _lines(page)
-    if any(size and within for _, size, within in lines):
-        lines = [x if x[2] or not x[0] else ("", 0, False) for x in lines]
-        return "\n\n".join(text for text, _, _ in lines if text)
+    marked = any(size and within for _, size, within in lines)
+    if marked:
+        lines = [x if x[2] else ("", 0, False) for x in lines]
     sizes = [size for _, size, _ in lines] + [0] * window
     sums = [sum(sizes[i:i + window]) for i in range(len(lines))]
-    best, start, total = (0, 0, 0), None, 0
+    stretches, start = [], None
     for i in range(len(lines) + 1):
         busy = i < len(lines) and sums[i] > 0
         if busy and start is None and sizes[i]:
-            start, total = i, 0  # a surge, from its first line with text
-        if busy and start is not None:
-            total += sizes[i]
-        elif start is not None:  # a dive
-            best = max(best, (total, -start, i), key=lambda x: (x[0], x[1]))
+            start = i  # a surge, from its first line with text
+        elif not busy and start is not None:  # a dive
+            stretches.append((start, i))
             start = None
-    return "\n\n".join(text for text, _, _ in lines[-best[1]:best[2]] if text)
+    if not marked and stretches:
+        stretches = [max(stretches, key=lambda x: (sum(sizes[x[0]:x[1]]), -x[0]))]
+    return "\n\n".join(text for a, b in stretches for text, _, _ in lines[a:b] if text)
 
 
 def extract(pages: DataFrame, html: str = "html", output: str = "text") -> DataFrame:

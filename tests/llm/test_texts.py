@@ -129,6 +129,12 @@ def test_main_text_without_a_mark_takes_the_stretch_with_most_text():
     assert "Title" in lines and "Short." in lines and "Imprint" not in lines and "News" not in lines
 
 
+def test_the_line_windows_decide_inside_a_mark():
+    links = "".join(f"<div><a href={i}>Link {i}</a></div>" for i in range(5))
+    page = f"<p>Outside.</p><article><h2><a href=x>Linked head</a></h2><p>First part.</p>{links}<p>Last.</p></article><p>After.</p>"
+    assert main_text(page) == "Linked head\n\nFirst part.\n\nLast."
+
+
 @pytest.mark.parametrize("page, text", [
     (None, ""), ("", ""), ("plain words", "plain words"), ("<p>a<p>b", "a\n\nb"), ("<nav>x<article><p>y</p></article>", "y"),
     ("<p>1 < 2 & 3 > 2</p>", "1 < 2 & 3 > 2"), ("<script>x", ""), ("<p title='a>b'>c</p>", "c"), ("<p title=it's>c</p>", "c"),
