@@ -233,6 +233,19 @@ def test_a_large_group_and_a_shared_passage(spark):
     assert {got[i] for i in range(120)} == {0} and all(got[i] == i for i in range(200, 320))
 
 
+def test_a_star_whose_hub_has_the_largest_id(spark):
+    rnd = random.Random(5)
+    parts = [[f"p{i}w{j}" for j in range(10)] for i in range(60)]
+    rows = []
+    for i in range(60):  # each lacks 8 other paragraphs and is near the whole article only
+        lacking = set(rnd.sample(range(60), 8))
+        rows.append((i, " ".join(w for k, p in enumerate(parts) if k not in lacking for w in p)))
+    rows.append((900, " ".join(w for p in parts for w in p)))
+    got = {r["doc_id"]: r["class_id"] for r in near_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    _, far = brute_classes(rows)
+    assert all(len(members) == 61 for members in far.values()) and set(got.values()) == {0}
+
+
 def test_keep_one(spark):
     long = " ".join(f"w{i}" for i in range(100))
     rows = [(3, long, "a", "s", 1), (2, long + " more", "b", "s", 2), (2, long + " more", "b", "s", 2), (9, "other", "c", "s", 3), (None, long, "d", "s", 4),
