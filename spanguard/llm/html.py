@@ -3,7 +3,8 @@
 Markup is stripped so that each block of the page is one line; a part that can hold no article text (menu, header, footer, form,
 script, advert, comments and the like) leaves an empty line. The lengths of `window` lines from each line on are
 summed: text begins where the sum surges from nothing and ends where it dives back to nothing. The
-stretch with most text is the article. A page that marks its article has only the lines inside the mark summed, and keeps each
+article is every stretch whose sums reach `surge` characters, or half of the highest sum of a page of less text, and of which at most half
+lies in links; if there is none, the stretch with most text. A page that marks its article has only the lines inside the mark summed, and keeps each
 of their stretches; so links of `window` or more lines in a row, without other text, are left out there, too.
 
 Defined results: null or empty html gives the empty text; unclosed and stray tags are allowed; nothing is cut off.
@@ -117,8 +118,8 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
     return lines
 
 
-def main_text(page: str | None, window: int = 3) -> str:
-    """Blocks of the article, joined by two line feeds."""
+def main_text(page: str | None, window: int = 3, surge: int = 40) -> str:
+    """Blocks of the article, joined by two line feeds; `surge` counts characters other than white space and links."""
     if not page:
         return ""
     lines = _lines(page)
@@ -136,7 +137,10 @@ def main_text(page: str | None, window: int = 3) -> str:
             stretches.append((start, i))
             start = None
     if not marked and stretches:
-        stretches = [max(stretches, key=lambda x: (sum(sizes[x[0]:x[1]]), -x[0]))]
+        peaks = [max(sums[a:b]) for a, b in stretches]
+        least = min(surge, max(peaks) / 2)
+        stretches = [(a, b) for (a, b), peak in zip(stretches, peaks) if peak >= least and 2 * sum(sizes[a:b]) >= sum(
+            len("".join(text.split())) for text, _, _ in lines[a:b])] or [max(stretches, key=lambda x: (sum(sizes[x[0]:x[1]]), -x[0]))]
     return "\n\n".join(text for a, b in stretches for text, _, _ in lines[a:b] if text)
 
 

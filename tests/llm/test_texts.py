@@ -129,6 +129,16 @@ def test_main_text_without_a_mark_takes_the_stretch_with_most_text():
     assert "Title" in lines and "Short." in lines and "Imprint" not in lines and "News" not in lines
 
 
+def test_an_article_without_a_mark_may_be_interrupted():
+    parts = ["Some words here. " * n + "The end." for n in (9, 20, 4)]
+    adverts, links = "<div class=ad>Buy</div>" * 3, "".join(f"<div><a href={i}>Link {i}</a></div>" for i in range(4))
+    page = f"<p>{parts[0]}</p>{adverts}<p>{parts[1]}</p>{links}<p>{parts[2]}</p>{links}<p>Imprint</p>"
+    assert main_text(page) == "\n\n".join(parts)
+    page = f"<p>{parts[0]}</p>{links}<div>More: {'<a href=x>another page of this site</a>' * 9} and so on, and so on, and so on, and on.</div>"
+    assert main_text(page) == parts[0]
+    assert main_text(f"<p>One short.</p>{adverts}<p>Two short.</p>") == "One short.\n\nTwo short."
+
+
 def test_the_line_windows_decide_inside_a_mark():
     links = "".join(f"<div><a href={i}>Link {i}</a></div>" for i in range(5))
     page = f"<p>Outside.</p><article><h2><a href=x>Linked head</a></h2><p>First part.</p>{links}<p>Last.</p></article><p>After.</p>"
