@@ -1,7 +1,9 @@
 """Main text of web pages by the line-block distribution.
 
 Markup is stripped so that each block of the page is one line; a part that can hold no article text (menu, header, footer, form,
-script, advert, comments and the like) leaves an empty line. The lengths of `window` lines from each line on are
+script, advert, comments and the like) leaves an empty line. A class, id, role or label names such a part only as a whole, and ids of headings
+and paragraphs do not; a part named so stays if it holds long text of few links (see `_without`). Of a part whose end is missing only the first line is
+left out. The lengths of `window` lines from each line on are
 summed: text begins where the sum surges from nothing and ends where it dives back to nothing. The
 article is every stretch whose sums reach `surge` characters, or half of the highest sum of a page of less text, and of which at most half
 lies in links; if there is none, the stretch with most text. A page that marks its article has only the lines inside the mark summed, and keeps each
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +26,7 @@ from spanguard.llm.common import table
 from spanguard.session import ship_package
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_NAMES = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math"}
 _ASIDE = {"nav", "footer", "aside", "form", "select", "button", "menu", "dialog", "head"}
 _MAIN = {"article", "main"}
@@ -31,37 +34,93 @@ _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins",
            "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "td", "th", "time", "tt", "u", "var", "wbr"}
-#: Words in class, id or role that mark a part as no article text.
-_ODD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|subscription|signup|"
-    r"share|sharing|social|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget|related|recommended|comments?|commentlist|reply|replies|respond|disqus|"
-    r"footer|header|masthead|search|login|pagination|pager|tags|skip|toolbar|complementary|contentinfo)(?:$|[\s_-])", re.I)
+#: Elements that the start of another one ends, so that they need no end tag.
+_OPEN = {"p", "li", "dt", "dd", "tr", "td", "th", "option", "optgroup", "thead", "tbody", "tfoot", "colgroup", "caption"}
+_SURE_WORDS = r"ads?|advert[^\W_]*|banner|sponsor[^\W_]*|promo[^\W_]*|cookies?|consent|popup|modal|newsletter|subscribe|subscription|signup|sharing|social|nav|navbar|navigation|" \
+    r"menu|breadcrumbs?|sidebar|footer|header|masthead|login|pagination|pager|skip|toolbar|complementary|contentinfo"
+_TALK_WORDS = r"comments?|commentlist|replies|respond|disqus"
+#: Words that an article may be about, or put a part of it under.
+_WEAK_WORDS = r"notice|alert|share|side|widget|related|recommended|reply|search|tags"
+#: Words that only say what kind of box it is.
+_BOX_WORDS = r"area|bar|block|bottom|box|buttons?|container|form|global|group|icons?|inner|items?|left|links?|list|main|outer|panel|posts|primary|right|secondary|section|site|top|wrap|wrapper"
+#: A class, id, role or label is odd as a whole: each of its parts is one of these words, and not all are boxes.
+_ODD = re.compile(rf"(?=.*(?:^|[_-])(?:{_SURE_WORDS}|{_TALK_WORDS}|{_WEAK_WORDS})(?:$|[_-]))(?:(?:{_SURE_WORDS}|{_TALK_WORDS}|{_WEAK_WORDS}|{_BOX_WORDS})(?:$|[_-]+(?=.)))+", re.I)
+_IS_TALK, _IS_SURE = (re.compile(rf"(?:^|[_-])(?:{x})(?:$|[_-])", re.I) for x in (_TALK_WORDS, f"{_SURE_WORDS}|{_TALK_WORDS}"))
+#: How a part is judged: left out whatever it holds, unless the rest of the page holds nothing, by its share of the page, or by its own length.
+ASIDE, TALK, SURE, WEAK = range(4)
+#: From so many characters outside links on, a part may hold text in spite of its name.
+_LONG, _MUCH = 80, 200
+
+
+def _kind(name: str, attributes: str, inside: bool) -> int | None:
+    """What kind of left-out part an element may open, if any."""
+    if name in _ASIDE or name == "header" and not inside or "hidden" in attributes.lower() and re.search(
+            r"\bhidden\b(?!\s*=\s*[\"']?false)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)):
+        return ASIDE
+    if not attributes:
+        return None
+    found = []
+    for key, value in _NAMES.findall(attributes):
+        tokens = value.strip("\"'").split()
+        if key.lower() == "aria-label":
+            tokens = ["-".join(tokens)]
+        elif key.lower() == "id" and (name == "p" or name in _HEADINGS):
+            continue
+        found += [TALK if _IS_TALK.search(x) else SURE if _IS_SURE.search(x) else WEAK for x in tokens
+                  if _ODD.fullmatch(x) and not (inside and x.lower() == "header")]
+    return min(found, default=None)
+
+
+class _Part:
+    """A part of the page that may be left out: where it lies, and its characters outside links and in all."""
+
+    def __init__(self, kind: int, parent: _Part | None, line: int):
+        self.kind, self.parent, self.line = kind, parent, line
+        self.up = parent
+        self.plain = self.all = 0
+        self.ended = True
+        self.first: int | None = None  # of a part that nothing ends, only the first line with text belongs to it
+        self.out = False
 
 
 def _lines(page: str) -> list[tuple[str, int, bool]]:
     """Lines of a page: text, characters outside links (in a mark also those of linked headings), and whether it lies in a marked article; an empty text for a left-out part."""
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[tuple[str, int, bool, _Part | None]] = []
     words: list[str] = []
-    plain = depth = links = inside = heading = 0
-    skipped = ""
+    plain = links = inside = heading = 0
+    parts: list[_Part] = []
+    stack: list[tuple[str, _Part | None, int]] = []  # open elements: name, the part one opens, links before
+    names: Counter[str] = Counter()
+    part: _Part | None = None
     at, end = 0, len(page)
 
     def close() -> None:
         nonlocal plain
         text = " ".join("".join(words).split())
         if text:
-            lines.append((text, plain, inside > 0))
+            lines.append((text, plain, inside > 0, part))
         words.clear()
         plain = 0
 
     def add(piece: str) -> None:
         nonlocal plain
-        if piece and not skipped:
+        if piece:
             piece = entities.unescape(piece)
             words.append(piece)
             if not links or heading and inside:
                 plain += len("".join(piece.split()))
 
+    def pop(ended: bool) -> None:
+        """Leave the last open element; `ended` if its end is known."""
+        nonlocal part, links
+        name, mine, before = stack.pop()
+        names[name] -= 1
+        if mine is not None:
+            close()
+            if not ended:
+                mine.ended = False
+            part, links = mine.parent, before
+
     while at < end:
         match = _TAG.search(page, at)
         if match is None:
@@ -78,33 +137,43 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
             if attributes.rstrip().endswith("/"):
                 continue
             at = stop.end() if stop else end
-            if not skipped and name != "title":
+            if name != "title":
                 words.append(" ")
             continue
-        if name in _MAIN and not closing:
+        if name in ("body", *_MAIN) and not closing:
             close()
-            skipped, depth = "", 0  # an article ends whatever was left open
-            inside += 1
+            while part is not None:
+                pop(True)  # an article ends whatever was left open
+            links = 0
+            if name != "body":
+                inside += 1
+                stack.append((name, None, 0))
+                names[name] += 1
             continue
-        if skipped:
-            if name == skipped and name not in _VOID:
-                depth += -1 if closing else 1
-                if depth == 0:
-                    skipped = ""
-            continue
-        if name in _MAIN:
-            close()
-            inside = max(0, inside - 1)
-            if not inside:
-                lines.append(("", 0, False))
-            continue
-        if not closing and name not in _VOID and name not in ("html", "body"):
-            marks = " ".join(x.strip("\"'") for x in _NAMES.findall(attributes))
-            if name in _ASIDE or name == "header" and not inside or marks and _ODD.search(marks) or re.search(r"\bhidden\b(?!\s*=\s*[\"']?false)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)):
+        if closing:
+            if names[name]:
+                while stack[-1][0] != name:
+                    pop(stack[-1][0] in _OPEN)
+                pop(True)
+            if name in _MAIN:
                 close()
-                lines.append(("", 0, inside > 0))
-                skipped, depth = name, 1
+                inside = max(0, inside - 1)
+                if not inside:
+                    lines.append(("", 0, False, part))
                 continue
+        if not closing and name not in _VOID and name != "html":
+            if stack and stack[-1][0] in _OPEN and (stack[-1][0] == name or stack[-1][0] == "p" and name not in _INLINE):
+                pop(True)
+            kind = _kind(name, attributes, inside > 0)
+            opened = None
+            if kind is not None:
+                close()
+                lines.append(("", 0, inside > 0, part))
+                opened = part = _Part(kind, part, len(lines))
+                parts.append(part)
+            if opened or names[name] or name not in _INLINE and name not in _OPEN:
+                stack.append((name, opened, links))
+                names[name] += 1
         if name == "a":
             links = 0 if closing else 1
         if name in _HEADINGS:
@@ -115,7 +184,48 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
         else:
             close()
     close()
-    return lines
+    while stack:
+        pop(stack[-1][0] in _OPEN)
+    return _without(lines, parts) if parts else [x[:3] for x in lines]
+
+
+def _without(lines: list[tuple[str, int, bool, _Part | None]], parts: list[_Part]) -> list[tuple[str, int, bool]]:
+    """Lines without those of the parts that hold no article text by their names, lengths and link shares."""
+    texts_from, at = [0] * (len(lines) + 1), len(lines)  # the next line with text
+    for i in range(len(lines), -1, -1):
+        texts_from[i] = at = i if i < len(lines) and lines[i][0] else at
+    for part in parts:
+        part.first = None if part.ended else texts_from[part.line]
+    owners = []
+    for i, (text, plain, inside, part) in enumerate(lines):
+        while part is not None and part.first is not None and i > part.first:
+            if part.up is not None and part.up.first is not None and i > part.up.first:
+                part.up = part.up.up  # it has ended for good
+            else:
+                part = part.up
+        owners.append(part)
+        if part is not None and text:
+            part.plain += plain
+            part.all += len("".join(text.split()))
+    for part in parts:
+        while part.parent is not None and part.parent.first is not None and part.line > part.parent.first:
+            part.parent = part.parent.parent
+    for part in reversed(parts):  # inner ones come after outer ones
+        if part.parent is not None:
+            part.parent.plain += part.plain if part.kind != ASIDE else 0
+            part.parent.all += part.all if part.kind != ASIDE else 0
+    marked = any(plain and inside and (owner is None or owner.kind != ASIDE) for (_, plain, inside, _), owner in zip(lines, owners))
+    whole = sum(plain for (_, plain, inside, _), owner in zip(lines, owners) if (inside or not marked) and (owner is None or owner.kind != ASIDE))
+    for part in parts:  # outer ones first
+        texts = 2 * part.plain >= part.all
+        if part.kind == WEAK:
+            stays = part.plain >= _LONG and texts
+        elif part.kind == SURE:
+            stays = part.plain >= _MUCH and texts and 2 * part.plain >= whole
+        else:
+            stays = part.kind == TALK and part.plain >= _MUCH and texts and part.plain == whole
+        part.out = not stays or part.parent is not None and part.parent.out
+    return [x[:3] for x, owner in zip(lines, owners) if owner is None or not owner.out]
 
 
 def main_text(page: str | None, window: int = 3, surge: int = 40) -> str:

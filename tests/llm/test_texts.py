@@ -129,6 +129,27 @@ def test_main_text_without_a_mark_takes_the_stretch_with_most_text():
     assert "Title" in lines and "Short." in lines and "Imprint" not in lines and "News" not in lines
 
 
+BODY = "Some words here that go on for a while. " * 10
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<article><h2 id='side-effects'>Side effects</h2><p id=search>Found.</p><section id='search-methods'><p>Methods.</p></section></article>", "Side effects\n\nFound.\n\nMethods."),
+    (f"<div class='content has-sidebar'><h1>Head</h1><p>{BODY}</p></div>", "Head\n\n" + BODY.strip()),
+    (f"<div class='sidebar-right'><p>{BODY}</p><div class='sidebar'><p>About us.</p></div></div>", BODY.strip()),
+    (f"<p>{BODY}</p><section class=search><p>{BODY}</p></section><div class=search>Find it</div>", BODY.strip() + "\n\n" + BODY.strip()),
+    (f"<p>{BODY}</p><div class=related><p><a href=x>{BODY}</a></p></div>", BODY.strip()),
+    (f"<p>{BODY}</p><section class='comments-area'><p>{BODY * 3}</p></section>", BODY.strip()),
+    (f"<p>{BODY}</p><div class=ad>Buy this now.<p>{BODY}</p>", BODY.strip() + "\n\n" + BODY.strip()),
+    (f"<article><p>{BODY}</p><section class=ad>Buy this now.<p>One.</p></article><p>After.</p>", BODY.strip() + "\n\nOne."),
+    (f"<p>{BODY}</p><div class=ad><div>Buy</div><div>this</div></div><p>Now.</p>", BODY.strip() + "\n\nNow."),
+    (f"<p>{BODY}</p><ul class=tags><li>a<ul><li>b</ul></li>c</ul><p>Text <span class=ad>Buy <span>it</span> now</span></p>", BODY.strip() + "\n\nText"),
+    (f"<article><article>In.</article><div class=ad>Buy</article><p>{BODY}</p>", "In."),
+    (f"<div class='ad'><p>Buy.</p><div class=widget><p>{BODY}</p></div>", BODY.strip()),
+    (f"<head><title>t</title><meta name=x><body><p>{BODY}</p>", BODY.strip()), (f"<div class=menu>M<div>x</div></div><p>{BODY}<p class=share>Share<p>Go on.", BODY.strip() + "\n\nGo on.")])
+def test_names_of_parts_are_taken_as_a_whole(page, text):
+    assert main_text(page) == text
+
+
 def test_an_article_without_a_mark_may_be_interrupted():
     parts = ["Some words here. " * n + "The end." for n in (9, 20, 4)]
     adverts, links = "<div class=ad>Buy</div>" * 3, "".join(f"<div><a href={i}>Link {i}</a></div>" for i in range(4))
