@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanguard.llm import bpe, html, language_model, mixing, near_dups, quality, suffixes, token_counts, topk, url_lists
+from spanguard.llm import bpe, html, language_model, lexical, mixing, near_dups, quality, sharding, suffixes, token_counts, topk, url_lists, whitening
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         topk.op1_top_k, quality.op2_quality_divergence, url_lists.op3_url_lists, suffixes.op4_suffix_dedup,
         language_model.op5_deleted_interpolation, html.op6_html_line_blocks, mixing.op7_pareto_mix, token_counts.op8_token_lengths,
-        near_dups.op9_order_minhash, bpe.op10_prefix_bpe)
+        near_dups.op9_order_minhash, bpe.op10_prefix_bpe, lexical.op11_blocked_lexical, sharding.op12_rendezvous_shards,
+        whitening.op13_incremental_whitening)
 }
 
 _OP1 = """
@@ -123,4 +124,4 @@ SELECT doc_id, strlen(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT)
 FROM d LEFT JOIN y USING (k)"""
 
 SQL = {"op1_top_k": _OP1, "op2_quality_divergence": _OP2, "op3_url_lists": url_lists.OP3_SQL,
-       "op4_suffix_dedup": _OP4, "op7_pareto_mix": _OP7}
+       "op4_suffix_dedup": _OP4, "op7_pareto_mix": _OP7, "op11_blocked_lexical": lexical.OP11_SQL, "op12_rendezvous_shards": sharding.OP12_SQL}
