@@ -236,19 +236,23 @@ def _meet(items: DataFrame, docs: DataFrame, numbers: list[int], shares: int) ->
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-           block_bytes: int = 2 << 20, block_rows: int = 2048, item_rows: int = 1024, width: int = 512, shares: int | None = None) -> DataFrame:
+           block_bytes: int = 2 << 20, block_rows: int = 2048, item_bytes: int = 1 << 20, item_rows: int = 1024, width: int = 512, shares: int | None = None) -> DataFrame:
     """item, rank (from 1), key, score of the k documents with the highest scores above 0 for each item."""
     spark = docs.sparkSession
     index = index_blocks(docs, key, text, block_bytes, block_rows)
     one = items.select(F.col(item).cast("bigint").alias("_item"), F.col(item_text).cast("string").alias("_text")).where(F.col("_text").isNotNull())
-    asked = index_blocks(one.groupBy("_item").agg(F.min("_text").alias("_text")), "_item", "_text", 1 << 20, item_rows)
+    distinct = settle(one.groupBy("_item").agg(F.min("_text").alias("_text")))
+    wanted = distinct.agg(F.count(F.lit(1)).alias("items"), F.sum(F.octet_length("_text")).alias("bytes")).first()
+    # As few blocks as the sizes allow, however the items are dealt over tasks: each one copies the index.
+    full = math.ceil(max(wanted["items"] / item_rows, (wanted["bytes"] or 0) / item_bytes, 1))
+    asked = index_blocks(distinct.coalesce(full), "_item", "_text", item_bytes, item_rows)
     totals = index.agg(F.sum("n_found").alias("docs"), F.sum("n_terms").alias("terms"), F.count(F.lit(1)).alias("blocks")).first()
     schema = f"{item} bigint, rank int, {key} bigint, score bigint"
     numbers = [r["block"] for r in asked.select("block").orderBy("block").collect()]  # a number per thousand items
     if not totals["blocks"] or not numbers:
         return spark.createDataFrame([], schema)
     n_found, n_terms = totals["docs"], totals["terms"]
-    shares = shares or min(totals["blocks"], max(2 * spark.sparkContext.defaultParallelism, math.ceil(totals["blocks"] / 512)))
+    shares = shares or min(totals["blocks"], max(2 * spark.sparkContext.defaultParallelism, math.ceil(totals["blocks"] / 128)))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, total = None, None
