@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from spanguard.functions import positions
+from spanguard.functions.lambdas import bind
+
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 BECH32 = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
 # Bech32 generator and the two accepted final constants (BIP 173, BIP 350)
@@ -50,6 +53,67 @@ def card_ok(value: Column) -> Column:
     return digit_count(value).between(13, 19) & luhn_ok(value)
 
 
+#: Digits of the groups of a card number, where it is written in groups (fixed values): a pattern of lengths.
+CARD_SHAPES = ("^4,4,4,[1-7]$", "^4,6,5$", "^1[3-9]$")
+
+
+def cards_in(run: Column) -> Column:
+    """The card numbers in a run of digit groups, as ARRAY<STRUCT<at, value>>.
+
+    Other groups may stand before and behind a number. From the left, each group that begins a valid number takes the groups of it; the next
+    number begins after them. How many groups begin a number at each place is one character each, so one pattern over these
+    characters makes the choice in one pass.
+    """
+    def windows(groups: Column) -> Column:
+        def taken(group: Column, i: Column) -> Column:
+            out = None
+            for n, shape in zip((4, 3, 1), CARD_SHAPES):
+                some = F.slice(groups, i + 1, n)
+                lengths = F.concat_ws(",", F.transform(some, lambda g: F.length(g).cast("string")))
+                test = lengths.rlike(shape) & luhn_ok(F.array_join(some, ""))
+                out = F.when(test, F.lit(str(n))) if out is None else out.when(test, F.lit(str(n)))
+            return out.otherwise(F.lit("0"))
+
+        # Most groups can begin no number: their length alone says so.
+        return F.array_join(F.transform(groups, lambda g, i: F.when(
+            (F.length(g) == 4) | F.length(g).between(13, 19), taken(g, i)).otherwise(F.lit("0"))), "")
+
+    def chosen(groups: Column, marks: Column) -> Column:
+        steps = F.regexp_extract_all(marks, F.lit("(?s)4...|3..|1|0"), F.lit(0))
+        firsts = bind(positions.sums_before(F.transform(steps, lambda x: F.length(x))), lambda at: F.zip_with(
+            F.slice(at, 1, F.size(steps)), steps, lambda i, x: F.struct(i.alias("i"), F.substring(x, 1, 1).cast("int").alias("n"))))
+        starts = positions.sums_before(F.transform(groups, lambda g: F.length(g) + 1))
+        return bind(starts, lambda at: bind(positions.text_index(run), lambda index: F.transform(
+            F.filter(firsts, lambda f: f["n"] > 0),
+            lambda f: bind(F.get(at, f["i"]), lambda a: F.struct(
+                a.alias("at"), positions.between(index, a, F.get(at, f["i"] + f["n"]) - 1).alias("value"))))))
+
+    return bind(F.split(run, "[ \\-]"), lambda g: bind(windows(g), lambda marks: F.when(
+        marks.rlike("[134]"), chosen(g, marks)).otherwise(F.array().cast("array<struct<at:int,value:string>>"))))
+
+
+def information(value: Column) -> Column:
+    """How many bits it takes to write a value, given how often each of its characters occurs in it."""
+    n = F.length(value)
+    used = F.transform(F.array_distinct(characters(value)), lambda c: n - F.length(F.replace(value, c, F.lit(""))))
+    spent = F.aggregate(used, F.lit(0.0), lambda acc, k: acc + k * F.log2(k.cast("double")))
+    return F.when(n > 0, n * F.log2(n.cast("double")) - spent).otherwise(0.0)
+
+
+#: Least information of a secret in quotes and of a bare one, in bits: above that of words like `the` or `none`, and of repeated marks.
+QUOTED_BITS, BARE_BITS = 10.0, 24.0
+#: Names and calls of programs, references to variables and addresses are no secrets.
+REFERENCE = r"^[$%]|://|^[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+$"
+
+
+def secret_ok(value: Column, before: Column, after: Column) -> Column:
+    """A quoted value of some information, or a bare one of more, with letters and digits, that refers to nothing else."""
+    quoted = before.isin('"', "'") & (after == before)
+    bare = (value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(REFERENCE) & ~after.isin("(", "[", "{", "<", "`", '"', "'")
+            & (information(value) >= BARE_BITS))
+    return F.when(quoted, information(value) >= QUOTED_BITS).otherwise(bare)
+
+
 def octets_ok(value: Column) -> Column:
     return F.forall(F.split(value, r"\."), lambda x: x.cast("int") <= 255)
 

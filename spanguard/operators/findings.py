@@ -37,7 +37,7 @@ def find(
     docs: DataFrame, options: ScanOptions = DEFAULT_OPTIONS, validator: validate.Validator = validate.should_keep
 ) -> DataFrame:
     """Documents to findings in one pass: no shuffle, the text is dropped inside the scan stage."""
-    return to_findings(validate.validate_spans(detect_spans(docs, options), validator), options)
+    return to_findings(detect_spans(docs, options, lines=False, validator=validator), options)
 
 
 def order_columns() -> list[Column]:

@@ -1,8 +1,9 @@
 """Recognizers: a pattern, tests on what it matched, and a score.
 
-Patterns stay within the common ground of Java and RE2 regular expressions: no look-around, no
-back references, no word boundaries. What may not stand next to a match is a separate test on the
-neighbouring characters. No pattern can cross a line break.
+No pattern reads a character more often than a fixed number of times, whatever the text: a run of characters
+is entered only at its beginning (or where the match before ended) and never given back, and nothing
+repeats a group in a way that needs the stack. What may not stand next to a match is a separate test on the
+neighbouring characters. A pattern must not match the empty text. Only the private key crosses line breaks.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ from pyspark.sql import Column, functions as F
 from spanguard.functions import checks
 
 
-def _quoted_assignment(text: Column) -> Column:
-    quote = F.contains(text, F.lit('"')) | F.contains(text, F.lit("'"))
-    return quote & (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")))
+#: A text with this mark may hold a private key, which is found whole.
+KEY_MARK = "PRIVATE KEY-----"
+
+
+def _assigns(text: Column) -> Column:
+    return F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
 
 
 #: Cheap tests that decide whether a pattern can match at all. Most texts fail most of them, and a
@@ -25,9 +29,9 @@ def _quoted_assignment(text: Column) -> Column:
 FEATURES: dict[str, Callable[[Column], Column]] = {
     "at": lambda t: F.contains(t, F.lit("@")),
     "scheme": lambda t: F.contains(t, F.lit("://")),
-    "assignment": _quoted_assignment,
+    "assignment": _assigns,
     "jwt": lambda t: F.contains(t, F.lit("eyJ")),
-    "pem": lambda t: F.contains(t, F.lit("PRIVATE KEY-----")),
+    "pem": lambda t: F.contains(t, F.lit(KEY_MARK)),
 }
 #: Features by the longest run of digits in a text; each implies the ones before it.
 DIGIT_RUNS = {"digit": "[0-9]", "digit4": "[0-9]{4}", "digit7": "[0-9]{7}"}
@@ -58,31 +62,47 @@ class Recognizer:
     #: lowercase words; one of them near the value lifts the score to `cue_score`
     cues: tuple[str, ...] = ()
     cue_score: float = 0.0
+    #: a check on the value and the characters before and after it
+    edge_check: Callable[[Column, Column, Column], Column] | None = None
     #: pattern with one group that gives the value inside the match, and how many characters of
     #: the match follow that value
     value_pattern: str | None = None
-    trailing: int = 0
+    trailing: Callable[[Column], Column] | None = None
+    #: the values inside a match, as ARRAY<STRUCT<at INT, value STRING>>, instead of one
+    parts: Callable[[Column], Column] | None = None
 
     @property
     def best_score(self) -> float:
         return max(self.score, self.cue_score)
 
 
-_ASSIGN = r"[A-Za-z0-9_\-]*[\"']?[ \t]*(?::=|=>|=|:)[ \t]*[\"'][^\"' \t\r\n]{6,}[\"']"
-_QUOTED = r"[\"']([^\"']+)[\"']$"
+def _fresh(characters: str) -> str:
+    """Where a run of such characters begins, or the match before ended."""
+    return rf"(?:\G|(?<![{characters}]))"
+
+
+_NAME = r"A-Za-z0-9_\-"
+_MAIL = r"A-Za-z0-9._%+\-"
+#: Quoted values may hold blanks; bare ones end at white space, quotes, separators and brackets.
+_VALUE = r"""(?:"[^"\r\n]++"|'[^'\r\n]++'|[^\s"'`,;(){}\[\]<>=:][^\s"'`,;(){}\[\]<>]*+)"""
+_ASSIGNED = r"""^[^:=]*(?::=|=>|=|:)[ \t]*["']?(.*?)["']?$"""
+#: Body of a private key up to its footer, or lines of its encoding where there is none.
+_KEY = (r"-----BEGIN [A-Z0-9 ]*+(?<=PRIVATE KEY)-----"
+        r"(?:[^\-]*+(?:-(?!----)[^\-]*+)*+-----END [A-Z0-9 ]*+(?<=PRIVATE KEY)-----"
+        r"|(?:(?:[ \t\r\n]|\\[nr])*+[A-Za-z0-9+/]{20,}+={0,2}+)*+)")
 
 
 def _assignment(name: str, entity: str, cue: str, words: tuple[str, ...], score: float) -> Recognizer:
-    return Recognizer(name, entity, f"(?i)(?:{cue}){_ASSIGN}", score, feature="assignment", words=words,
-                      value_pattern=_QUOTED, trailing=1)
+    pattern = rf"""(?i){_fresh(_NAME)}(?>[{_NAME}]*?(?:{cue}))[{_NAME}]*+["']?[ \t]*+(?::=|=>|=|:)[ \t]*+{_VALUE}"""
+    return Recognizer(name, entity, pattern, score, feature="assignment", words=words, value_pattern=_ASSIGNED,
+                      trailing=lambda match: F.when(match.rlike("[\"']$"), 1).otherwise(0), edge_check=checks.secret_ok)
 
 
 SHIPPED: tuple[Recognizer, ...] = (
     Recognizer("email", "EMAIL_ADDRESS",
-               r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", 1.0, feature="at"),
+               rf"{_fresh(_MAIL)}[{_MAIL}]++@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}", 1.0, feature="at"),
     Recognizer("credit_card", "CREDIT_CARD",
-               r"[0-9]{4}(?:[ \-](?:[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{1,7}|[0-9]{6}[ \-][0-9]{5})|[0-9]{9,})",
-               1.0, feature="digit4", not_before="[0-9]", not_after="[0-9]", check=checks.card_ok),
+               r"(?<![0-9])(?=[0-9 \-]{13})[0-9]++(?:[ \-][0-9]++)*+", 1.0, feature="digit4", parts=checks.cards_in),
     Recognizer("ipv4", "IP_ADDRESS", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", 0.95,
                feature="digit", not_before="[0-9.]", not_after="[0-9]", check=checks.octets_ok),
     Recognizer("phone", "PHONE_NUMBER",
@@ -128,10 +148,10 @@ SHIPPED: tuple[Recognizer, ...] = (
                r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2})?)?|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}",
                0.6, feature="digit4", not_before="[0-9A-Za-z]", not_after="[0-9A-Za-z]",
                check=checks.calendar_ok),
-    Recognizer("jwt", "JWT", r"eyJ[A-Za-z0-9_\-]{5,}\.[A-Za-z0-9_\-]{5,}\.[A-Za-z0-9_\-]{5,}", 0.95,
-               feature="jwt"),
-    Recognizer("private_key", "PRIVATE_KEY", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----", 1.0,
-               feature="pem"),
+    Recognizer("jwt", "JWT",
+               rf"{_fresh(_NAME)}(?>[{_NAME}]*?eyJ)[{_NAME}]{{5,}}+\.[{_NAME}]{{5,}}+\.[{_NAME}]{{5,}}", 0.95,
+               feature="jwt", value_pattern="(eyJ.*)$"),
+    Recognizer("private_key", "PRIVATE_KEY", _KEY, 1.0, feature="pem"),
 )
 BY_NAME = {r.name: r for r in SHIPPED}
 _custom: dict[str, Recognizer] = {}

@@ -57,26 +57,30 @@ def redact_documents(
 ) -> DataFrame:
     """Detect, validate and mask, all inside the row of the document: no text is shuffled."""
     active = tuple(S.R.active(options.recognizers, options.min_confidence))
-    tests, clean = _row_columns(active, options.min_confidence, validator, id(docs.sparkSession.sparkContext))
-    cut_up = docs.select(*docs.columns, F.when(tests, S.block_array(F.col("text"))).alias("_blocks"))
-    structs = cut_up.select(*docs.columns, S.block_structs(F.col("_blocks")).alias("_blocks"))
-    return structs.select(*docs.columns, F.coalesce(clean, F.col("text")).alias("redacted_text"))
+    tests, steps, clean = _row_columns(active, options.min_confidence, validator, id(docs.sparkSession.sparkContext))
+    out = docs.select(*docs.columns, F.when(tests, S.block_array(F.col("text"))).alias("_blocks"))
+    out = out.select(*docs.columns, "_blocks", S.block_structs(F.col("_blocks")).alias("_found"))
+    for step in steps:
+        out = out.select(*docs.columns, "_blocks", step.alias("_found"))
+    return out.select(*docs.columns, F.coalesce(clean, F.col("text")).alias("redacted_text"))
 
 
 @lru_cache(maxsize=16)
-def _row_columns(active, minimum: float, validator: validate.Validator, context: int) -> tuple[Column, Column]:
+def _row_columns(active, minimum: float, validator: validate.Validator, context: int) -> tuple[Column, list[Column], Column]:
     """The expressions of `redact_documents`, built once per choice of rules (and Spark context)."""
     path, extension = F.col("relative_path"), F.col("extension")
 
-    def clean(block: Column) -> Column:
-        kept = F.filter(S.spans_in_block(active, minimum, block), lambda x: validator(validate.Context(
-            x["entity_type"], x["value"], x["window"], x["line"], path, extension)))
-        masks = F.transform(kept, lambda x: F.struct(
+    def rule(entity: Column, value: Column, window: Column, line: Column) -> Column:
+        return validator(validate.Context(entity, value, window, line, path, extension))
+
+    def clean(block: Column, found: Column) -> Column:
+        masks = F.transform(found, lambda x: F.struct(
             x["start"].alias("start"), x["end"].alias("end"),
             redact_value(x["entity_type"], x["value"]).alias("mask")))
-        return masked(block["text"], masks)
+        return F.when(F.size(found) > 0, masked(block, masks)).otherwise(block)
 
-    return S.can_match(active, F.col("text")), F.array_join(F.transform("_blocks", clean), "")
+    steps = [F.transform("_found", step) for step in S.span_steps(active, minimum, rule=rule)]
+    return S.can_match(active, F.col("text")), steps, F.array_join(F.zip_with("_blocks", "_found", clean), "")
 
 
 def mask_logs(logs: DataFrame, secrets: DataFrame, keys: list[str], column: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Detection: documents to scored spans with their context.
 
-Each document is cut, inside its own row, into blocks of whole lines. Patterns run on blocks, so
-the work per row is bounded by the block (or by the longest line) and not by the document, and the
-character offsets of the matches need no running sum over a whole document. Nothing is shuffled.
+Each document is cut, inside its own row, into blocks of whole lines, and patterns run on blocks. A line
+of any length is one block: offsets come from running sums over the pieces between the matches, and what
+stands around a match is looked up in an index of the block, so the work grows with the text and not
+with its length times its matches. A document with the mark of a private key is one block, as a key has
+many lines. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -13,9 +15,12 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from spanguard.functions import positions as P
 from spanguard.functions.lambdas import bind
+from spanguard.functions.positions import newline_count
 from spanguard.operators import recognizers as R
 from spanguard.operators.engines import engine_for, identity_of
+from spanguard.operators.validate import Context, Validator
 from spanguard.options import DEFAULT_OPTIONS, ScanOptions
 from spanguard.rules import CONTEXT_CHARS
 from spanguard.session import ship_package
@@ -26,22 +31,10 @@ JOIN_KEYS = ("repo", "scan_id", "relative_path")
 _BLOCKS = rf"(?s).{{1,{BLOCK_CHARS}}}[^\n]*\n?"
 
 
-def newline_count(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-
-
-def _offsets(counts: Column) -> Column:
-    """[0, n0, n0+n1, …] for an array of counts."""
-    return F.aggregate(
-        counts, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
-    )
-
-
 def block_array(text: Column) -> Column:
     """The text in blocks of whole lines; joined they give the text again."""
-    return F.when(F.length(text) <= BLOCK_CHARS, F.array(text)).otherwise(
-        F.regexp_extract_all(text, F.lit(_BLOCKS), F.lit(0))
-    )
+    whole = (F.length(text) <= BLOCK_CHARS) | F.contains(text, F.lit(R.KEY_MARK))
+    return F.when(whole, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(_BLOCKS), F.lit(0)))
 
 
 def with_blocks(docs: DataFrame, keys: Sequence[str] = DOC_KEYS) -> DataFrame:
@@ -68,8 +61,8 @@ def _block_columns(context: int) -> tuple[Column, Column, Column, Column]:
 
     return (
         block_array(F.col("text")),
-        _offsets(F.transform("_blocks", lambda b: F.length(b))),
-        _offsets(F.transform("_blocks", newline_count)),
+        P.sums_before(F.transform("_blocks", lambda b: F.length(b))),
+        P.sums_before(F.transform("_blocks", newline_count)),
         F.transform("_blocks", block),
     )
 
@@ -125,18 +118,10 @@ def _by_recognizer(
     return default if out is None else out.otherwise(default)
 
 
-def match_ends(matches: Column, text: Column) -> Column:
-    """End offset of every match, in order.
-
-    A pattern without context tests matches at the first place at or after the previous end where
-    the matched text occurs, so a plain search from there finds the match again.
-    """
-    def after(acc: Column, match: Column) -> Column:
-        previous = F.when(F.size(acc) == 0, 0).otherwise(F.element_at(acc, -1))
-        found = F.call_function("locate", match, text, previous + 1)
-        return F.concat(acc, F.array(found - 1 + F.length(match)))
-
-    return F.aggregate(matches, F.array().cast("array<int>"), after)
+def match_ends(matches: Column, text: Column, pattern: str) -> Column:
+    """End offset of every match, in order: what stands between matches and the matches, summed up."""
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
+    return P.running_sums(F.zip_with(gaps, matches, lambda g, m: F.length(g) + F.length(m)))
 
 
 def feature_struct(active: Sequence[R.Recognizer], text: Column, around: Column) -> Column:
@@ -169,8 +154,13 @@ def can_match(active: Sequence[R.Recognizer], text: Column) -> Column:
     return out
 
 
+def _hit(number: int, pattern: str, text: Column) -> Callable[[Column], Column]:
+    return lambda m: F.when(F.size(m) > 0, F.struct(
+        F.lit(number).alias("_r"), m.alias("_m"), match_ends(m, text, pattern).alias("_e")))
+
+
 def candidate_hits(active: Sequence[R.Recognizer], text: Column, facts: Column, minimum: float) -> Column:
-    """ARRAY<STRUCT<_r, _m>>: the recognizers that matched in a text and what they matched."""
+    """ARRAY<STRUCT<_r, _m, _e>>: the recognizers that matched in a text, what they matched and where it ends."""
     hits = []
     for i, rec in enumerate(active):
         found = F.regexp_extract_all(text, F.lit(rec.pattern), F.lit(0))
@@ -181,59 +171,78 @@ def candidate_hits(active: Sequence[R.Recognizer], text: Column, facts: Column,
             found = F.when(_any_in(facts["low"], rec.cues), found)
         if rec.feature:
             found = F.when(has_feature(facts, rec.feature), found)
-        hits.append(F.struct(F.lit(i).alias("_r"), found.alias("_m")))
-    return F.filter(F.array(*hits), lambda h: F.size(h["_m"]) > 0)
+        hits.append(bind(found, _hit(i, rec.pattern, text)))
+    return F.filter(F.array(*hits), lambda h: h.isNotNull())
 
 
 def detect_spans(
-    docs: DataFrame, options: ScanOptions = DEFAULT_OPTIONS, keys: Sequence[str] = DOC_KEYS
+    docs: DataFrame, options: ScanOptions = DEFAULT_OPTIONS, keys: Sequence[str] = DOC_KEYS, lines: bool = True,
+    validator: Validator | None = None,
 ) -> DataFrame:
     """Run the recognizers over whole texts.
 
     Gives keys, start, end (0-based, end exclusive, in characters of the document), entity_type,
-    score, value, line_number, window and line. The text itself goes no further.
+    score, value, line_number, window and, with `lines`, line. The text itself goes no further. The line
+    is repeated for every match in it; a validator that is given here sees it without that, and reads `relative_path` and `extension` among the keys.
     """
     active = tuple(R.active(options.recognizers, options.min_confidence))
-    tests, spans = _row_columns(active, options.min_confidence, id(docs.sparkSession.sparkContext))
-    blocks = with_blocks(docs.where(tests), keys)
+    tests, steps = _row_columns(active, options.min_confidence, lines, validator, id(docs.sparkSession.sparkContext))
+    found = with_blocks(docs.where(tests), keys).select(
+        *keys, "base", "base_line", F.struct("text", "before", "after").alias("_b"))
+    for step in steps:
+        found = found.select(*(c for c in found.columns if c != "_b"), step.alias("_b"))
     # outer: for the inner form a size test is inferred and moved below this projection, where every
     # pattern would run a second time
-    found = blocks.select(*keys, "base", "base_line", spans.alias("_spans")).select(
-        *keys, "base", "base_line", F.inline_outer("_spans")
-    )
+    found = found.select(*keys, "base", "base_line", F.inline_outer("_b"))
     return found.where(F.col("entity_type").isNotNull()).select(
         *keys,
         (F.col("base") + F.col("start")).alias("start"),
         (F.col("base") + F.col("end")).alias("end"),
         "entity_type", "score", "value",
         (F.col("base_line") + F.col("line_number")).alias("line_number"),
-        "window", "line",
+        "window", *(["line"] if lines else []),
     )
 
 
+#: A rule on (entity type, value, window, line) of a span.
+Rule = Callable[[Column, Column, Column, Column], Column]
+
+
 @lru_cache(maxsize=64)
-def _row_columns(active: tuple[R.Recognizer, ...], minimum: float, context: int) -> tuple[Column, Column]:
+def _row_columns(
+    active: tuple[R.Recognizer, ...], minimum: float, lines: bool, validator: Validator | None, context: int
+) -> tuple[Column, list[Column]]:
     """The expressions of `detect_spans`, built once per set of recognizers (and Spark context)."""
-    block = F.struct("text", "before", "after")
-    return can_match(active, F.col("text")), bind(block, lambda b: spans_in_block(active, minimum, b))
+    rule = None if validator is None else lambda entity, value, window, line: validator(
+        Context(entity, value, window, line, F.col("relative_path"), F.col("extension")))
+    return can_match(active, F.col("text")), [step(F.col("_b")) for step in span_steps(active, minimum, lines, rule)]
 
 
-def _value_and_end(active, number: Column, match: Column, stop: Column) -> tuple[Column, Column]:
-    """The value inside a match, and where in the text it ends."""
+def _values(active, number: Column, match: Column, stop: Column) -> Column:
+    """ARRAY<STRUCT<r, value, start, end>>: the values inside a match that ends at `stop`."""
     value = _by_recognizer(
         number, active, lambda r: F.regexp_extract(match, r.value_pattern, 1) if r.value_pattern else None, match
     )
-    trailing = _by_recognizer(number, active, lambda r: F.lit(r.trailing) if r.trailing else None, F.lit(0))
-    return value, stop - trailing
+    trailing = _by_recognizer(number, active, lambda r: r.trailing(match) if r.trailing else None, F.lit(0))
 
+    def placed(value: Column, start: Column) -> Column:
+        return F.struct(number.alias("r"), value.alias("value"), start.alias("start"), (start + F.length(value)).alias("end"))
 
-def _passes(active, number: Column, text: Column, value: Column, start: Column, end: Column) -> Column:
+    one = bind(value, lambda v: F.array(placed(v, stop - trailing - F.length(v))))
+    several = _by_recognizer(number, active, lambda r: r.parts(match) if r.parts else None, F.lit(None))
+    if not any(r.parts for r in active):
+        return one
+    base = stop - F.length(match)
+    return bind(several, lambda found: F.when(found.isNotNull(), F.transform(
+        found, lambda p: placed(p["value"], base + p["at"]))).otherwise(one))
+
+
+def _passes(active, number: Column, value: Column, before: Column, after: Column) -> Column:
     """Neighbouring characters first, then the check of the recognizer."""
-    before = F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise(F.lit(""))
-    after = F.substring(text, end + 1, F.lit(1))
     free = _by_recognizer(number, active, lambda r: _free(r, before, after), F.lit(True))
     checked = _by_recognizer(number, active, lambda r: r.check(value) if r.check else None, F.lit(True))
-    return F.when((start >= 0) & free, checked).otherwise(F.lit(False))
+    edged = _by_recognizer(number, active, lambda r: r.edge_check(value, before, after) if r.edge_check else None, checked)
+    return F.when(free, edged).otherwise(F.lit(False))
 
 
 def block_structs(blocks: Column) -> Column:
@@ -245,44 +254,69 @@ def block_structs(blocks: Column) -> Column:
     ))
 
 
-def spans_in_block(active: Sequence[R.Recognizer], minimum: float, block: Column) -> Column:
-    """The spans of one block as ARRAY<STRUCT<start, end, entity_type, score, value, line_number, window, line>>.
+def span_steps(
+    active: Sequence[R.Recognizer], minimum: float, lines: bool = False, rule: Rule | None = None
+) -> list[Callable[[Column], Column]]:
+    """Functions of a block, STRUCT<text, before, after>, that one after the other give its spans.
 
-    Offsets and line numbers are those of the block. The steps are array functions, so the same
-    expression serves rows of blocks and documents that must keep their row.
+    The spans are ARRAY<STRUCT<start, end, entity_type, score, value, line_number, window[, line]>>, null where there are none; offsets and
+    line numbers are those of the block. The steps are array functions, so they serve rows of blocks and
+    documents that must keep their row. `rule` keeps the spans it accepts. Each step is a projection of its
+    own: lambdas are resolved level by level, and one expression for all would have too many levels.
     """
-    text, before, after = block["text"], block["before"], block["after"]
-    facts = feature_struct(active, text, F.concat(before, text, after))
-    hits = bind(facts, lambda f: candidate_hits(active, text, f, minimum))
-
-    def place(hit: Column) -> Column:
-        ends = match_ends(hit["_m"], text)
-        return F.zip_with(hit["_m"], ends, lambda m, stop: F.struct(
-            hit["_r"].alias("r"), *[c.alias(n) for c, n in zip(
-                _value_and_end(active, hit["_r"], m, stop), ("value", "end"))]
-        ))
-
-    def locate(x: Column) -> Column:
-        return F.struct(x["r"].alias("r"), x["value"].alias("value"), (x["end"] - F.length(x["value"])).alias("start"),
-                        x["end"].alias("end"))
-
-    located = F.transform(F.flatten(F.transform(hits, place)), locate)
-    kept = F.filter(located, lambda x: _passes(active, x["r"], text, x["value"], x["start"], x["end"]))
-    full, shift = F.concat(before, text, after), F.length(before)
-    with_context = F.transform(kept, lambda x: F.struct(
-        x["r"].alias("r"), x["value"].alias("value"), x["start"].alias("start"), x["end"].alias("end"),
-        context_window(full, x["start"] + shift, x["end"] + shift).alias("window"),
-        line_number(text, x["start"]).alias("line_number"),
-        context_line(text, x["start"], x["end"]).alias("line"),
-    ))
-    scored = F.transform(with_context, lambda x: F.struct(
-        x["start"].alias("start"), x["end"].alias("end"),
-        _by_recognizer(x["r"], active, lambda r: F.lit(r.entity_type), F.lit("")).alias("entity_type"),
-        _by_recognizer(x["r"], active, lambda r: _score(r, x["window"]), F.lit(0.0)).alias("score"),
-        x["value"].alias("value"), x["line_number"].alias("line_number"), x["window"].alias("window"),
-        x["line"].alias("line"),
-    ))
-    return F.filter(scored, lambda x: x["score"] >= F.lit(float(minimum)))
+    with_lines = lines or rule is not None
+
+    def hits(b: Column) -> Column:
+        facts = feature_struct(active, b["text"], F.concat(b["before"], b["text"], b["after"]))
+        return F.struct(b["text"].alias("text"), b["before"].alias("before"), b["after"].alias("after"),
+                        bind(facts, lambda f: candidate_hits(active, b["text"], f, minimum)).alias("hits"))
+
+    def values(b: Column) -> Column:
+        placed = F.flatten(F.transform(b["hits"], lambda h: F.flatten(F.zip_with(
+            h["_m"], h["_e"], lambda m, stop: _values(active, h["_r"], m, stop)))))
+        fields = [P.text_index(F.concat(b["before"], b["text"], b["after"])).alias("index"), F.length(b["before"]).alias("shift"),
+                  newline_count(b["before"]).alias("skipped"), placed.alias("placed")]
+        if with_lines:
+            fields.append(F.split(b["text"], "\n").alias("lines"))
+        return F.when(F.size(b["hits"]) > 0, F.struct(*fields))
+
+    def seen(b: Column) -> Column:
+        index, shift = b["index"], b["shift"]
+        kept = F.filter(b["placed"], lambda x: _passes(
+            active, x["r"], x["value"], P.char_at(index, x["start"] + shift - 1), P.char_at(index, x["end"] + shift)))
+
+        def around(x: Column) -> Column:
+            start, end = x["start"] + shift, x["end"] + shift
+            fields = [
+                x["start"].alias("start"), x["end"].alias("end"), x["r"].alias("r"), x["value"].alias("value"),
+                _by_recognizer(x["r"], active, lambda r: F.lit(r.entity_type), F.lit("")).alias("entity_type"),
+                (P.breaks_before(index, start) - b["skipped"] + 1).alias("line_number"),
+                P.between(index, F.greatest(start - CONTEXT_CHARS, F.lit(0)), end + CONTEXT_CHARS).alias("window"),
+            ]
+            if with_lines:
+                fields.append((P.breaks_before(index, end) - b["skipped"]).alias("last_line"))
+            return F.struct(*fields)
+
+        return F.struct(F.transform(kept, around).alias("seen"), *([b["lines"].alias("lines")] if with_lines else []))
+
+    def line_of(b: Column, x: Column) -> Column:
+        return P.whole_lines(b["lines"], x["line_number"] - 1, x["last_line"])
+
+    def spans(b: Column) -> Column:
+        kept = b["seen"]
+        if rule is not None:
+            kept = F.filter(kept, lambda x: rule(x["entity_type"], x["value"], x["window"], line_of(b, x)))
+
+        def scored(x: Column) -> Column:
+            return F.struct(
+                x["start"].alias("start"), x["end"].alias("end"), x["entity_type"].alias("entity_type"),
+                _by_recognizer(x["r"], active, lambda r: _score(r, x["window"]), F.lit(0.0)).alias("score"),
+                x["value"].alias("value"), x["line_number"].alias("line_number"), x["window"].alias("window"),
+                *([line_of(b, x).alias("line")] if lines else []))
+
+        return F.filter(F.transform(kept, scored), lambda x: x["score"] >= F.lit(float(minimum)))
+
+    return [hits, values, seen, spans]
 
 
 def _free(rec: R.Recognizer, before: Column, after: Column) -> Column | None:

@@ -158,6 +158,47 @@ def identifier_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Copies of a text that make one long line of it.
+LONG_COPIES = 6
+#: Lines around four digits of a customer key, which stand at each `#`.
+SECRET_LINES = (
+    "API_KEY=abc#def9x", "export DB_PASSWORD=Xy-#-kk29;", 'password = "two words #"', "token: the next #", "secret: '#aaaa'",
+    'client_secret := "s3cr3t-#"', "credential=config.api.key_#", "access-key => 'q8w7#e6r5'", "bearer: https://example.org/a#b2",
+    "pwd='********'", "token = get_token#()",
+)
+KEY_LINES = (
+    "-----BEGIN RSA PRIVATE KEY-----", "MIIEowIBAAKCAQEA#abcdefghijklmnop", "Zm9vYmFyYmF6#0123456789abcdef==", "-----END RSA PRIVATE KEY-----",
+    r'x = "-----BEGIN PRIVATE KEY-----\nMIIEowIBAAKCAQEA#abcd\n-----END PRIVATE KEY-----"', "-----BEGIN PUBLIC KEY----- MIIB#",
+    "-----BEGIN EC PRIVATE KEY-----", "MIIEowIBAAKCAQEA#abcdefghijklmnop", "the words # go on",
+)
+CARD_LINES = (
+    "ref # 4111 1111 1111 1111 x", "year 2024 5500-0000-0000-0004, # end", "3782 822463 10005 # 6011000990139424", "# # # # # # # #",
+    "# 4111 1111 1111 1112 5105 1051 0510 5100 #",
+)
+IBAN_LINES = ("to GB82WEST12345698765432 #", "DE89 3704 0044 0532 0130 00, #", "GB82WEST1234569876#", "FR14 2004 1010 0505 0001 3M02 606 x#")
+
+
+def made_documents(spark: SparkSession, sf_dir: str, lines: tuple[str, ...]) -> DataFrame:
+    """One text per customer from the given lines, with four digits of its key in them."""
+    k = F.col("c_custkey")
+    digits = F.lpad((k % 10_000).cast("string"), 4, "0")
+    return spread_small(table(spark, sf_dir, "customer"), "c_custkey").select(
+        k.cast("string").alias("repo"), F.lit(0).cast("bigint").alias("scan_id"),
+        F.lit("exports/made.csv").alias("relative_path"), F.lit(".csv").alias("extension"),
+        F.concat_ws("\n", *[F.replace(F.lit(line), F.lit("#"), digits) for line in lines]).alias("text"),
+    )
+
+
+def long_line_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document several times over as one line."""
+    docs = spread_small(table(spark, sf_dir, "documents"), "doc_id")
+    return docs.select(
+        F.col("doc_id").cast("string").alias("repo"), F.lit(0).cast("bigint").alias("scan_id"),
+        F.lit("exports/long.csv").alias("relative_path"), F.lit(".csv").alias("extension"),
+        F.repeat(F.concat(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(" ")), F.lit(LONG_COPIES)).alias("text"),
+    )
+
+
 def wallet_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wallet-like tokens made from customer keys around a known valid address."""
     k = F.col("c_custkey").cast("string")

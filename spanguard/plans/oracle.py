@@ -6,10 +6,11 @@ the matches of a whole text, positions from window functions, deltas from `lag`.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from spanguard import advice, rules
 from spanguard.functions import checks
 from spanguard.operators import narrative
-from spanguard.operators import recognizers as R
 from spanguard.plans import fixtures as fx
 from spanguard.plans.queries import BROKEN_REPORTS, LIMIT, SYNTHETIC
 
@@ -40,6 +41,61 @@ SCANS = f"""scans AS (SELECT source AS repo, {SCAN} AS scan_id, count(*) AS file
 
 # --- recognizers ---------------------------------------------------------------------------------
 
+
+class Known(NamedTuple):
+    """What the second engine knows of a recognizer: its own pattern, without look-around, and tests."""
+
+    name: str
+    entity: str
+    score: float
+    pattern: str
+    alone: str = ""  # characters that may not stand before, or after if `after` is empty
+    after: str = ""
+    cues: tuple[str, ...] = ()
+    cue_score: float = 0.0
+
+
+_ALNUM = "[0-9A-Za-z]"
+_KEY_VALUE = (r"""[A-Za-z0-9_\-]*["']?[ \t]*(?::=|=>|=|:)[ \t]*(?:"[^"\r\n]+"|'[^'\r\n]+'|"""
+              r"""[^\s\x0B"'`,;(){}\[\]<>=:][^\s\x0B"'`,;(){}\[\]<>]*)""")
+
+
+def _assigned(words: str) -> str:
+    return rf"(?i)[A-Za-z0-9_\-]*(?:{words}){_KEY_VALUE}"
+
+
+KNOWN = (
+    Known("email", "EMAIL_ADDRESS", 1.0, r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"),
+    Known("credit_card", "CREDIT_CARD", 1.0, r"[0-9]+(?:[ \-][0-9]+)*"),
+    Known("ipv4", "IP_ADDRESS", 0.95, r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", "[0-9.]", "[0-9]"),
+    Known("phone", "PHONE_NUMBER", 0.75,
+          r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{1,4}\)?[ .\-]?[0-9]{2,4}[ .\-]?[0-9]{2,4}(?:[.\-]?[0-9]{2,4})?"
+          r"|\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4}", "[0-9A-Za-z+.]", "[0-9]"),
+    Known("api_key", "API_KEY", 0.8, _assigned(r"api[_\-]?key|access[_\-]?key|token|bearer")),
+    Known("password", "PASSWORD", 0.8, _assigned("password|passwd|pwd")),
+    Known("secret", "SECRET", 0.8, _assigned("secret|credential")),
+    Known("iban", "IBAN_CODE", 1.0, r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", _ALNUM),
+    Known("url", "URL", 0.6, r"(?:https?|ftp)://[^ \t\r\n\"'<>`()\[\]{}|\\^]*[^ \t\r\n\"'<>`()\[\]{}|\\^.,;:!?]"),
+    Known("ssn", "US_SSN", 0.85, r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9A-Za-z\-]", _ALNUM),
+    Known("itin", "US_ITIN", 0.85, r"9[0-9]{2}-[0-9]{2}-[0-9]{4}", r"[0-9A-Za-z\-]", _ALNUM),
+    Known("nhs", "UK_NHS", 0.4, r"[0-9]{3}[ \-]?[0-9]{3}[ \-]?[0-9]{4}", _ALNUM, cues=("nhs", "health", "patient"), cue_score=0.85),
+    Known("dea", "MEDICAL_LICENSE", 0.6, r"[A-Za-z][A-Za-z9][0-9]{7}", _ALNUM),
+    Known("aadhaar", "IN_AADHAAR", 0.6, r"[2-9][0-9]{3}[ \-]?[0-9]{4}[ \-]?[0-9]{4}", _ALNUM),
+    Known("pan", "IN_PAN", 0.7, r"[A-Z]{3}[ABCFGHLJPT][A-Z][0-9]{4}[A-Z]", _ALNUM),
+    Known("us_passport", "US_PASSPORT", 0.1, r"[A-Z][0-9]{8}|[0-9]{9}", _ALNUM, cues=("passport",), cue_score=0.7),
+    Known("in_passport", "IN_PASSPORT", 0.1, r"[A-Z][1-9][0-9]{5}[1-9]", _ALNUM, cues=("passport",), cue_score=0.7),
+    Known("us_bank", "US_BANK_NUMBER", 0.1, r"[0-9]{8,17}", _ALNUM, cues=("account", "bank", "routing"), cue_score=0.6),
+    Known("us_driver", "US_DRIVER_LICENSE", 0.1, r"[A-Z][0-9]{7,12}", _ALNUM, cues=("driver", "licen"), cue_score=0.65),
+    Known("crypto", "CRYPTO", 1.0, r"[13][1-9A-HJ-NP-Za-km-z]{25,34}|bc1[02-9ac-hj-np-z]{11,71}", _ALNUM),
+    Known("date", "DATE_TIME", 0.6,
+          r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2})?)?|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", _ALNUM),
+    Known("jwt", "JWT", 0.95, r"eyJ[A-Za-z0-9_\-]{5,}(?:\.[A-Za-z0-9_\-]{5,}){2}"),
+    Known("private_key", "PRIVATE_KEY", 1.0,
+          r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?:(?:[^\-]|-{1,4}[^\-])*-----END [A-Z0-9 ]*PRIVATE KEY-----"
+          r"|(?:(?:[ \t\r\n]|\\[nr])*[A-Za-z0-9+/]{20,}={0,2})*)"),
+)
+SECRETS = ("api_key", "password", "secret")
+
 DIGITS = "list_transform(regexp_extract_all({v}, '[0-9]'), lambda c: c::INTEGER)"
 
 
@@ -110,7 +166,7 @@ CHECKS = {
 
 def spans_cte(source: str, recognizers=None, minimum: float = 0.5) -> str:
     """CTEs that end in `spans`, from a CTE or table `source` with the document columns."""
-    chosen = [r for r in R.SHIPPED if (recognizers is None or r.name in recognizers) and r.best_score >= minimum
+    chosen = [r for r in KNOWN if (recognizers is None or r.name in recognizers) and max(r.score, r.cue_score) >= minimum
               and (recognizers is not None or r.name != "crypto")]
     keys = "repo, scan_id, relative_path, extension, text"
     found = " UNION ALL ".join(
@@ -118,33 +174,54 @@ def spans_cte(source: str, recognizers=None, minimum: float = 0.5) -> str:
         f"string_split_regex(text, {q(r.pattern)}) AS g FROM {source} WHERE regexp_matches(text, {q(r.pattern)})"
         for r in chosen
     )
-    value = "CASE rec " + " ".join(
-        f"WHEN {q(r.name)} THEN regexp_extract(mt, {q(r.value_pattern)}, 1)" for r in chosen if r.value_pattern
-    ) + " ELSE mt END" if any(r.value_pattern for r in chosen) else "mt"
-    trailing = "CASE rec " + " ".join(f"WHEN {q(r.name)} THEN {r.trailing}" for r in chosen) + " ELSE 0 END"
-    free = []
-    for r in chosen:
-        tests = []
-        if r.not_before:
-            tests.append(f"NOT regexp_matches(CASE WHEN s > 0 THEN substr(text, s, 1) ELSE '' END, {q(r.not_before)})")
-        if r.not_after:
-            tests.append(f"NOT regexp_matches(substr(text, e + 1, 1), {q(r.not_after)})")
-        if tests:
-            free.append(f"WHEN {q(r.name)} THEN {' AND '.join(tests)}")
+    quotes = q('"') + ", " + q("'")
+    secret = f"rec IN ({names(SECRETS)})"
+    assigned = q(r"""^[^:=]*(?::=|=>|=|:)[ \t]*["']?(.*?)["']?$""")
+    value = f"CASE WHEN {secret} THEN regexp_extract(mt, {assigned}, 1) ELSE mt END"
+    trailing = f"CASE WHEN {secret} AND right(mt, 1) IN ({quotes}) THEN 1 ELSE 0 END"
+    before, behind = "(CASE WHEN s > 0 THEN substr(text, s, 1) ELSE '' END)", "substr(text, e + 1, 1)"
+    free = [f"WHEN {q(r.name)} THEN NOT regexp_matches({before}, {q(r.alone)}) AND NOT regexp_matches({behind}, {q(r.after or r.alone)})"
+            for r in chosen if r.alone]
     free_sql = f"CASE rec {' '.join(free)} ELSE true END" if free else "true"
-    checked = [f"WHEN {q(r.name)} THEN {CHECKS[r.name]}" for r in chosen if r.name in CHECKS]
+    often = "(length(value) - length(replace(value, c, '')))"
+    bits = (f"(CASE WHEN value = '' THEN 0 ELSE length(value) * log2(length(value)) - list_sum(list_transform(list_distinct("
+            f"string_split(value, '')), lambda c: {often} * log2({often}))) END)")
+    refers = q(r"^[$%]|://|^[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+$")
+    opening = q("""[(\\[{<`"']""")
+    secret_test = (
+        f"(CASE WHEN {before} IN ({quotes}) AND {behind} = {before} THEN {bits} >= 10 ELSE regexp_matches(value, '[0-9]') AND "
+        f"regexp_matches(value, '[A-Za-z]') AND NOT regexp_matches(value, {refers}) "
+        f"AND NOT regexp_matches({behind}, {opening}) AND {bits} >= 24 END)")
+    checked = [f"WHEN {q(r.name)} THEN {CHECKS[r.name]}" for r in chosen if r.name in CHECKS and r.name != "credit_card"]
+    checked += [f"WHEN {q(r.name)} THEN {secret_test}" for r in chosen if r.name in SECRETS]
     check_sql = f"CASE rec {' '.join(checked)} ELSE true END" if checked else "true"
     score = "CASE rec " + " ".join(
         f"WHEN {q(r.name)} THEN " + (
             f"(CASE WHEN {' OR '.join(f'contains(lower(win), {q(c)})' for c in r.cues)} THEN {r.cue_score} ELSE {r.score} END)"
             if r.cues else str(r.score)) for r in chosen) + " END"
-    entity = "CASE rec " + " ".join(f"WHEN {q(r.name)} THEN {q(r.entity_type)}" for r in chosen) + " END"
+    entity = "CASE rec " + " ".join(f"WHEN {q(r.name)} THEN {q(r.entity)}" for r in chosen) + " END"
     return f"""found AS ({found}),
     numbered AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found),
     placed AS (SELECT rec, {keys}, m[i] AS mt,
       (coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0)
       + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) + length(m[i]))::BIGINT AS stop FROM numbered),
-    valued AS (SELECT *, {value} AS value, stop - {trailing} AS e FROM placed),
+    runs AS (SELECT row_number() OVER () AS run, {keys}, mt, stop - length(mt) AS base, string_split_regex(mt, '[ \\-]') AS gr
+      FROM placed WHERE rec = 'credit_card' AND length(mt) >= 13),
+    windows AS (SELECT run, i, n, array_to_string(gr[i:i + n - 1], '') AS value,
+      array_to_string(list_transform(gr[i:i + n - 1], lambda x: length(x)), ',') AS shape,
+      coalesce(list_sum(list_transform(gr[1:i - 1], lambda x: length(x) + 1)), 0) AS lead,
+      list_sum(list_transform(gr[i:i + n - 1], lambda x: length(x) + 1)) - 1 AS width
+      FROM (SELECT run, gr, unnest(range(1, len(gr) + 1)) AS i FROM runs), (VALUES (4), (3), (1)) AS o(n)),
+    cards AS (SELECT * FROM windows WHERE CASE n WHEN 4 THEN regexp_matches(shape, '^4,4,4,[1-7]$') WHEN 3 THEN shape = '4,6,5'
+      ELSE regexp_matches(shape, '^1[3-9]$') END AND {luhn()}),
+    chosen AS (
+      SELECT run, min(i) AS i, min_by(n, i) AS n, min_by(lead, i) AS lead, min_by(width, i) AS width FROM cards GROUP BY run
+      UNION ALL
+      SELECT c.run, min(w.i), min_by(w.n, w.i), min_by(w.lead, w.i), min_by(w.width, w.i)
+      FROM chosen c JOIN cards w ON w.run = c.run AND w.i >= c.i + c.n GROUP BY c.run),
+    valued AS (SELECT rec, {keys}, {value} AS value, stop - {trailing} AS e FROM placed WHERE rec <> 'credit_card'
+      UNION ALL SELECT 'credit_card', {keys}, substr(mt, (lead + 1)::BIGINT, width::BIGINT), (base + lead + width)::BIGINT
+      FROM chosen JOIN runs USING (run)),
     edged AS (SELECT *, e - length(value) AS s FROM valued),
     tested AS (SELECT * FROM edged WHERE {free_sql} AND {check_sql}),
     seen AS (SELECT *, substr(text, greatest(s - 120, 0) + 1, least(e + 120, length(text)) - greatest(s - 120, 0)) AS win,
@@ -289,7 +366,7 @@ PLACE = 'repo, scan_id, relative_path, "start", "end", entity_type, score, value
 
 
 def _with(ctes: str, select: str) -> str:
-    return f"WITH {ctes} {select}"
+    return f"WITH RECURSIVE {ctes} {select}"
 
 
 def _identifiers() -> str:
@@ -413,6 +490,16 @@ def oracle_queries() -> dict[str, str]:
     out["spans_in_conversations"] = _with(f"{turns}, {spans_cte('docs', ('email', 'phone', 'credit_card'))}",
                                           f"SELECT {PLACE} FROM spans")
     out["synthetic_ids"] = _with(f"{_identifiers()}, {spans_cte('docs', SYNTHETIC)}", f"SELECT {PLACE}, line_number FROM spans")
+    long_lines = (f"docs AS (SELECT doc_id::VARCHAR AS repo, 0::BIGINT AS scan_id, 'exports/long.csv' AS relative_path, '.csv' AS extension, "
+                  f"repeat(replace(text, chr(10), ' ') || ' ', {fx.LONG_COPIES}) AS text FROM documents)")
+    out["spans_long_lines"] = _with(f"{long_lines}, {spans_cte('docs', ('email', 'phone', 'credit_card', 'ipv4'))}",
+                                    f"SELECT {PLACE}, line_number, md5(win) AS window_md5 FROM spans")
+    for name, made, chosen in (("spans_secrets_bare", fx.SECRET_LINES, SECRETS), ("spans_whole_keys", fx.KEY_LINES, ("private_key",)),
+                               ("spans_cards_in_groups", fx.CARD_LINES, ("credit_card",)), ("spans_iban_valid", fx.IBAN_LINES, ("iban",))):
+        texts = ", ".join(f"replace({q(line)}, '#', lpad((c_custkey % 10000)::VARCHAR, 4, '0'))" for line in made)
+        docs = (f"docs AS (SELECT c_custkey::VARCHAR AS repo, 0::BIGINT AS scan_id, 'exports/made.csv' AS relative_path, '.csv' AS extension, "
+                f"concat_ws(chr(10), {texts}) AS text FROM customer)")
+        out[name] = _with(f"{docs}, {spans_cte('docs', chosen)}", f"SELECT {PLACE}, line_number FROM spans")
     wallets = ("docs AS (SELECT c_custkey::VARCHAR AS repo, 0::BIGINT AS scan_id, 'exports/w.csv' AS relative_path, '.csv' AS "
                "extension, 'a 1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa b 1A1zP1eP5QGefi2DMPTfTL5SLmv7Div' || "
                "translate(lpad(c_custkey::VARCHAR, 4, '1'), '0', 'z') || ' c' AS text FROM customer)")

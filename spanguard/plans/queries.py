@@ -95,6 +95,26 @@ def synthetic_ids(spark, sf_dir):
     return found.select(*PLACE, "line_number")
 
 
+def _made_spans(lines: tuple[str, ...], *names: str) -> Query:
+    def run(spark, sf_dir):
+        found = sp.detect_spans(fx.made_documents(spark, sf_dir, lines), ScanOptions(recognizers=names), lines=False)
+        return found.select(*PLACE, "line_number")
+    return run
+
+
+REGISTRY["spans_secrets_bare"] = _made_spans(fx.SECRET_LINES, "api_key", "password", "secret")
+REGISTRY["spans_whole_keys"] = _made_spans(fx.KEY_LINES, "private_key")
+REGISTRY["spans_cards_in_groups"] = _made_spans(fx.CARD_LINES, "credit_card")
+REGISTRY["spans_iban_valid"] = _made_spans(fx.IBAN_LINES, "iban")
+
+
+@query
+def spans_long_lines(spark, sf_dir):
+    options = ScanOptions(recognizers=("email", "phone", "credit_card", "ipv4"))
+    found = sp.detect_spans(fx.long_line_documents(spark, sf_dir), options, lines=False)
+    return found.select(*PLACE, "line_number", F.md5("window").alias("window_md5"))
+
+
 @query
 def synthetic_wallets(spark, sf_dir):
     return sp.detect_spans(fx.wallet_documents(spark, sf_dir), ScanOptions(recognizers=("crypto",))).select(*PLACE)

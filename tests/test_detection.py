@@ -10,6 +10,9 @@ from spanguard.operators import overlaps, recognizers as R, spans as S
 from spanguard.options import ScanOptions
 
 
+MAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+
+
 def found(df):
     return {(r.entity_type, r.value) for r in df.collect()}
 
@@ -48,7 +51,7 @@ def test_long_documents_in_blocks(make_docs):
     lines = [f"{'𝔘ñ ' * (i % 40)}mail{i}@host{i % 7}.example.com tail {'x' * (i % 300)}" for i in range(400)]
     text = "\n".join(lines) + "\n" + "word " * 6000 + "last@example.org" + "\n\n"
     spans = S.detect_spans(make_docs({"a.txt": text}), ScanOptions(recognizers=("email",))).collect()
-    expected = [(m.start(), m.end(), m.group()) for m in re.finditer(R.BY_NAME["email"].pattern, text)]
+    expected = [(m.start(), m.end(), m.group()) for m in re.finditer(MAIL, text)]
     assert sorted((r.start, r.end, r.value) for r in spans) == expected and len(expected) == 401
     for r in spans:
         assert r.line_number == text.count("\n", 0, r.start) + 1
