@@ -186,6 +186,37 @@ def test_overlaps_against_brute_force(spark):
     assert sorted(tuple(r) for r in got) == brute_force(rows)
 
 
+@pytest.mark.parametrize("strip", [1, 64, 700, 1 << 16])
+def test_overlaps_in_strips(spark, strip):
+    import random
+    rng = random.Random(strip)
+    rows = [(f"d{rng.randrange(3)}", rng.choice("XY"), s, s + rng.choice([0, 1, 5, 60, 900, 3000]), rng.randrange(5) / 4)
+            for s in (rng.randrange(2500) for _ in range(700))]
+    df = spark.createDataFrame(rows, "relative_path string, entity_type string, start int, end int, score double").select(
+        F.lit("r").alias("repo"), F.lit(1).alias("scan_id"), "*", F.lit("v").alias("value"))
+    got = overlaps.resolve_overlaps(df, strip)
+    assert got.columns == df.columns
+    assert sorted(tuple(r)[2:7] for r in got.collect()) == brute_force(rows)
+
+
+def test_deeply_nested_spans_are_swept(spark):
+    n = 100_000
+    nested = spark.range(n).select(
+        F.lit("r").alias("repo"), F.lit(1).alias("scan_id"), F.lit("a").alias("relative_path"), F.lit("X").alias("entity_type"),
+        F.col("id").cast("int").alias("start"), (2 * n - F.col("id")).cast("int").alias("end"), (F.col("id") % 7 / 8.0).alias("score"))
+    best = overlaps.resolve_overlaps(nested).collect()
+    assert [(r.start, r.score) for r in best] == [(6, 0.75)]
+
+
+def test_overlaps_without_place_or_score_stay(spark):
+    rows = [("a", "X", None, 5, 0.5), ("a", "X", 1, None, 0.5), ("a", "X", 1, 3, None), ("a", "X", 0, 9, 0.5), (None, "X", 1, 3, 0.5), ("a", "X", 2, 3, 0.5)]
+    df = spark.createDataFrame(rows, "relative_path string, entity_type string, start int, end int, score double").select(
+        F.lit("r").alias("repo"), F.lit(1).alias("scan_id"), "*")
+    got = {tuple(r)[2:] for r in overlaps.resolve_overlaps(df).collect()}
+    assert got == set(rows) - {("a", "X", 2, 3, 0.5)}
+    assert overlaps.resolve_overlaps(df.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("bad", [{"min_confidence": 1.1}, {"warning_threshold": -1}, {"fail_threshold": 10}, {"report_page_size": 0},
                                  {"severity_overrides": {"X": "BAD"}}, {"max_file_size_bytes": -1}])
 def test_options_are_checked(bad):
