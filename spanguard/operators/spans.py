@@ -342,20 +342,35 @@ def filter_confidence(spans: DataFrame, minimum: float) -> DataFrame:
 
 # --- spans from elsewhere ----------------------------------------------------------------------
 
+#: Spans that start within so many characters of a document meet its text together.
+MEETING_CHARS = 1 << 20
+
+
 def spans_with_docs(spans: DataFrame, docs: DataFrame) -> DataFrame:
     """Give spans of another engine the context columns that validation reads.
 
-    An equi-join on the document key; the text is dropped in the same stage.
+    The spans of a document are gathered first, so its text meets them once (once per million characters, if it is that long, so that
+    no task holds all spans of a huge document); value, window and lines are then looked up in an index of the text, in its row. Spans of unknown or
+    empty documents give nothing; a span that starts outside the text has no line number.
     """
-    joined = spans.join(docs.select(*JOIN_KEYS, "extension", "text"), list(JOIN_KEYS))
-    text, start, end = F.col("text"), F.col("start"), F.col("end")
-    return joined.where(F.length("text") > 0).select(
-        *DOC_KEYS, "start", "end", "entity_type", "score",
-        matched_text(text, start, end).alias("value"),
-        line_number(text, start).alias("line_number"),
-        context_window(text, start, end).alias("window"),
-        context_line(text, start, end).alias("line"),
-    )
+    gathered = spans.groupBy(*JOIN_KEYS, F.floor(F.col("start") / MEETING_CHARS).alias("_part")).agg(
+        F.collect_list(F.struct("start", "end", "entity_type", "score")).alias("_spans"))
+    texts = docs.where(F.length("text") > 0).select(*JOIN_KEYS, "extension", "text")
+    met = gathered.join(texts, list(JOIN_KEYS)).select(
+        *DOC_KEYS, "_spans", P.text_index(F.col("text")).alias("_index"), F.split("text", "\n").alias("_lines"), F.length("text").alias("_n"))
+
+    def with_context(x: Column) -> Column:
+        start, end = x["start"], x["end"]
+        first, stop = F.greatest(start, F.lit(0)), F.least(F.greatest(end, F.lit(0)), F.col("_n"))
+        line = P.breaks_before(F.col("_index"), F.least(first, F.col("_n")))
+        return F.struct(
+            start.alias("start"), end.alias("end"), x["entity_type"].alias("entity_type"), x["score"].alias("score"),
+            P.between(F.col("_index"), first, stop).alias("value"),
+            F.when((start >= 0) & (start <= F.col("_n")), line + 1).alias("line_number"),
+            P.between(F.col("_index"), F.greatest(start - CONTEXT_CHARS, F.lit(0)), end + CONTEXT_CHARS).alias("window"),
+            P.whole_lines(F.col("_lines"), line, P.breaks_before(F.col("_index"), stop)).alias("line"))
+
+    return met.select(*DOC_KEYS, F.transform("_spans", with_context).alias("_found")).select(*DOC_KEYS, F.inline("_found"))
 
 
 UDF_SPAN_FIELDS = (

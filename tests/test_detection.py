@@ -103,6 +103,25 @@ def test_spans_from_table(spark, make_docs):
     assert [(r.value, r.line_number, r.line) for r in row] == [("Anna", 2, "two Anna three")]
 
 
+def test_spans_meet_a_text_once(spark, make_docs):
+    text = "\n".join(f"line {i} " + "é" * (i % 50) for i in range(4000))
+    docs = make_docs({"a.txt": text, "b.txt": "x"})
+    rows = [("r", 1, "a.txt", i * 53 % len(text), i * 53 % len(text) + i % 200, "PERSON", 0.5) for i in range(2000)] + [("r", 1, "a.txt", len(text) + 5, len(text) + 9, "PERSON", 0.5)]
+    spans = spark.createDataFrame(rows, "repo string, scan_id bigint, relative_path string, start int, end int, entity_type string, score double")
+    joined = S.spans_with_docs(spans, docs)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and plan.index("Generate") < plan.index("Join")  # spans are taken apart behind the join
+    got = sorted((r.start, r.end, r.value, r.line_number, r.window, r.line) for r in joined.collect())
+    want = []
+    for _, _, _, a, b, _, _ in rows:
+        stop = text.find("\n", b)
+        inside = a <= len(text)
+        line = text[text.rfind("\n", 0, a) + 1:len(text) if stop < 0 else stop]
+        want.append((a, b, text[a:b], text.count("\n", 0, a) + 1 if inside else None, text[max(0, a - 120):b + 120], line))
+    assert [g[:4] for g in got] == [w[:4] for w in sorted(want)]
+    assert [g for g in got if g[0] <= len(text)] == [w for w in sorted(want) if w[0] <= len(text)]
+
+
 def test_line_number_outside_the_text(values):
     assert values(lambda v: S.line_number(v, F.lit(9)), ["a\nb"]) == [None]
     assert values(lambda v: S.line_number(v, F.lit(3)), ["a\nb"]) == [2]
