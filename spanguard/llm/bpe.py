@@ -13,6 +13,7 @@ special tokens; any text round-trips.
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,19 +27,22 @@ from spanguard.session import ship_package
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
 _REMEMBER = 200_000
+_HEAD = 6
 
 
-class _Pieces(dict):
-    """Encodings of pieces met before, started anew when there are too many."""
+class _Recent(dict):
+    """Values met before. When there are too many they become the old ones, of which those that are met again stay."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
-    def __missing__(self, piece):
+    def __missing__(self, key):
         if len(self) >= _REMEMBER:
+            self.old = self.copy()
             self.clear()
-        self[piece] = value = self.make(piece)
+        known = self.old.get(key)
+        self[key] = value = self.make(key) if known is None else known
         return value
 
 
@@ -59,7 +63,9 @@ class PrefixBPE:
         self.alone: dict[int, bool] = {}
         self.joined: dict[int, tuple[int, int] | None] = {}
         self.beside: dict[int, bool] = {}  # by left << 32 | right
-        self.packed = _Pieces(lambda piece: np.array(self.encode_bytes(piece.encode("utf-8", "replace")), "<u4").tobytes())
+        self.packed = _Recent(lambda piece: struct.pack("<%dI" % len(ids := self.encode_bytes(piece.encode("utf-8", "replace"))), *ids))
+        # Pieces begin alike: the prefix tokens of a beginning are worked out once, and the rest is appended to them.
+        self.heads = _Recent(self.prefixes)
 
     @classmethod
     def load(cls, path: str, pattern: str = public_tokenizers.PATTERN) -> PrefixBPE:
@@ -113,7 +119,7 @@ class PrefixBPE:
             return known
         known = self.beside.get(left << 32 | right)
         if known is None:
-            if len(self.beside) > 4 * _REMEMBER:
+            if len(self.beside) > 2 * _REMEMBER:
                 self.beside.clear()
             known = self.beside[left << 32 | right] = self.stay_apart(left, right)
         return known
@@ -121,13 +127,20 @@ class PrefixBPE:
     def prefixes(self, data: bytes, last: list[int | None] | None = None, stop: int | None = None) -> list[int | None]:
         """The last token of each prefix of data[:stop]; `last` holds those of its first prefixes already, and is appended to."""
         last = [None] if last is None else last
-        ranks, beside, fits, lengths = self.ranks.get, self.beside.get, self.fits, self.lengths.get
+        ranks, beside, fits, lengths, short = self.ranks.get, self.beside.get, self.fits, self.lengths.get, (2, 1)
         for end in range(len(last), (len(data) if stop is None else stop) + 1):
-            for size in lengths(data[end - 3:end], (2, 1)) if end > 2 else (2, 1):
-                if size <= end and (token := ranks(data[end - size:end])) is not None:
-                    left = last[end - size]
-                    known = None if left is None else beside(left << 32 | token)
-                    if fits(left, token) if known is None else known:
+            for size in lengths(data[end - 3:end], short) if end > 2 else short:
+                if size < end:
+                    token = ranks(data[end - size:end])
+                    if token is not None:
+                        left = last[end - size]
+                        known = beside(left << 32 | token)
+                        if known or known is None and fits(left, token):
+                            last.append(token)
+                            break
+                elif size == end:
+                    token = ranks(data[:end])
+                    if token is not None and fits(None, token):
                         last.append(token)
                         break
             else:
@@ -160,7 +173,9 @@ class PrefixBPE:
 
     def encode_bytes(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
-        return [whole] if whole is not None else self.walk(self.prefixes(piece))
+        if whole is not None:
+            return [whole]
+        return self.walk(self.prefixes(piece, self.heads[piece[:_HEAD]].copy()))
 
     def encode_packed(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""

@@ -33,6 +33,23 @@ _CHUNK = 1 << 17
 _RUN = 64
 
 
+def _sorted_directly(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """`starts` in the order of their suffixes, by comparison; by first two bytes, so that only some suffixes are copied out at once."""
+    heads = text[starts].astype(np.uint16) << 8 | text[starts + 1]
+    order = np.argsort(heads, kind="stable")
+    starts, heads = starts[order], heads[order]
+    view = np.lib.stride_tricks.sliding_window_view(text, depth)
+    edges = np.append(np.flatnonzero(np.diff(heads, prepend=heads[:1] ^ 1)), len(starts))
+    at = 0
+    while at < len(starts):
+        # As many values of the first two bytes as fit, one at least.
+        end = edges[max(np.searchsorted(edges, at, "right"), np.searchsorted(edges, at + _CHUNK, "right") - 1)]
+        part = starts[at:end]
+        starts[at:end] = part[np.argsort(np.ascontiguousarray(view[part]).view(f"S{depth}").ravel())]
+        at = end
+    return starts
+
+
 def sort_suffixes(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
     """`starts` in the order of their suffixes, exact to `depth` bytes, by two-stage sorting.
 
@@ -44,12 +61,13 @@ def sort_suffixes(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarra
     small |= text == 0
     # A suffix is induced from its successors up to the first small one.
     stop = np.minimum.accumulate(np.where(small, np.arange(len(text), dtype=np.int32), np.int32(len(text)))[::-1])[::-1][starts]
-    reach = -np.bincount(stop + 1, minlength=len(text) + 1)
+    reach = np.zeros(len(text) + 1, np.int32)
+    np.subtract.at(reach, stop + 1, 1)
+    del stop
     reach[starts] += 1
-    used = np.cumsum(reach[:-1]) > 0
-    direct = np.flatnonzero(used & small).astype(np.int32)
-    view = np.lib.stride_tricks.sliding_window_view(text, depth)
-    direct = direct[np.argsort(np.ascontiguousarray(view[direct]).view(f"S{depth}").ravel())]
+    used = np.cumsum(reach[:-1], dtype=np.int32) > 0
+    del reach
+    direct = _sorted_directly(text, np.flatnonzero(used & small).astype(np.int32), depth)
     induced = used & ~small
     heads = text[direct]
     limits = np.searchsorted(heads, np.arange(257))
@@ -178,9 +196,13 @@ def _unpack_segments(packed: bytes) -> list[np.ndarray]:
 
 
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """All numbers of the ranges, one after the other."""
+    """All numbers of the ranges, one after the other; 32 bits wide where they fit."""
     size = size.astype(np.int64)
-    return np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+    total = int(size.sum())
+    kind = np.int32 if not len(begin) or total < 1 << 30 and int(begin.max()) + int(size.max()) < 1 << 30 else np.int64
+    out = np.repeat((begin - np.concatenate([[0], np.cumsum(size)[:-1]])).astype(kind), size)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def _strings(segments: list[tuple[np.ndarray, np.ndarray]], length: int) -> tuple[np.ndarray, np.ndarray]:
