@@ -22,7 +22,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanguard.llm.common import table, texts_of
+from spanguard.llm.common import give_back, table, texts_of
 from spanguard.session import ship_package
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
@@ -33,12 +33,12 @@ _HEAD = 6
 class _Recent(dict):
     """Values met before. When there are too many they become the old ones, of which those that are met again stay."""
 
-    def __init__(self, make):
+    def __init__(self, make, limit=_REMEMBER):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
-        if len(self) >= _REMEMBER:
+        if len(self) >= self.limit:
             self.old = self.copy()
             self.clear()
         known = self.old.get(key)
@@ -65,7 +65,7 @@ class PrefixBPE:
         self.beside: dict[int, bool] = {}  # by left << 32 | right
         self.packed = _Recent(lambda piece: struct.pack("<%dI" % len(ids := self.encode_bytes(piece.encode("utf-8", "replace"))), *ids))
         # Pieces begin alike: the prefix tokens of a beginning are worked out once, and the rest is appended to them.
-        self.heads = _Recent(self.prefixes)
+        self.heads = _Recent(self.prefixes, _REMEMBER // 4)
 
     @classmethod
     def load(cls, path: str, pattern: str = public_tokenizers.PATTERN) -> PrefixBPE:
@@ -198,10 +198,14 @@ def encoder(path: str) -> PrefixBPE:
     return _LOADED[path]
 
 
-def _column(batch: pa.RecordBatch, make, kind: pa.DataType) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [*batch.columns[:-1], pa.array([make(x) for x in batch.column(batch.num_columns - 1).to_pylist()], kind)],
-        names=batch.schema.names)
+def _column(batches: Iterator[pa.RecordBatch], make, kind: pa.DataType, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Replace the last column, some rows at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            batch = whole.slice(at, rows)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array([make(x.as_py()) for x in batch.column(batch.num_columns - 1)], kind)], names=batch.schema.names)
+        give_back()
 
 
 def encode_texts(docs: DataFrame, path: str, text: str = "text", output: str = "ids") -> DataFrame:
@@ -212,8 +216,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", output: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for batch in batches:
-            yield _column(batch, lambda x: bpe.encode_packed(x or ""), pa.binary())
+        yield from _column(batches, lambda x: bpe.encode_packed(x or ""), pa.binary())
 
     return source.mapInArrow(run, source.withColumn(output, F.col(output).cast("binary")).schema)
 
@@ -226,8 +229,7 @@ def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", output: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for batch in batches:
-            yield _column(batch, lambda x: bpe.decode(np.frombuffer(x or b"", "<u4").tolist()), pa.binary())
+        yield from _column(batches, lambda x: bpe.decode(np.frombuffer(x or b"", "<u4").tolist()), pa.binary())
 
     return source.mapInArrow(run, source.schema)
 

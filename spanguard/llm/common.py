@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +17,7 @@ from spanguard.session import cut, ensure_checkpoint_dir, ship_package
 SPACE = r"[\x20\x09-\x0D]"
 #: A language, source or tokenizer table is broadcast up to this many rows; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 20_000
+_LIBC = ctypes.CDLL(None)
 
 
 def words_of(text: Column) -> Column:
@@ -39,6 +41,14 @@ def expand(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system: idle workers share an executor with the JVM and with each other."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, empty for null."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
@@ -75,6 +85,7 @@ def pack_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
                 "data": pa.array([squeeze(data)], pa.binary()), "n_bytes": pa.array([len(data)], pa.int64()),
                 "rest": pa.array([_streamed(rest) if keep else None], pa.binary())})
             number += 1
+            give_back()
             return row
 
         for batch in batches:

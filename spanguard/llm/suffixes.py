@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from spanguard.llm.common import expand, pack_blocks, rest_of, squeeze, table, unpack
+from spanguard.llm.common import expand, give_back, pack_blocks, rest_of, squeeze, table, unpack
 from spanguard.session import ship_package
 
 _CHUNK = 1 << 17
@@ -262,6 +262,8 @@ def removed_strings(blocks: DataFrame, length: int = 50, k: int = 24, per_bucket
                 cuts = np.flatnonzero(np.diff(buckets, prepend=-1)) if len(keys) else np.zeros(0, np.int64)
                 yield _frame([(0, buckets[a], row.block, low[a:b].tobytes() + np.packbits(several[a:b]).tobytes())
                               for a, b in zip(cuts, np.append(cuts[1:], len(keys)))])
+                del data, keys, docs, several, buckets, low
+                give_back()
 
     def size_of(data: bytes) -> int:
         """How many 32-bit values with one more bit each the bytes hold."""
@@ -327,6 +329,8 @@ def removed_strings(blocks: DataFrame, length: int = 50, k: int = 24, per_bucket
                         rows.append((2, groups[a], row.block, _pack_segments(
                             s2[a:b], doc_of[a:b], b2[a:b], data[_ranges(b2[a:b], s2[a:b] + length - 1)])))
                 yield _frame(rows)
+                del raw, data, text, at, which, gone, left, run, rows
+                give_back()
 
     def across(frame: pd.DataFrame) -> pd.DataFrame:
         """Strings of one key from several blocks: those removed by block, and those that go on to the next round; what is removed already passes."""
@@ -355,6 +359,8 @@ def removed_strings(blocks: DataFrame, length: int = 50, k: int = 24, per_bucket
                 cuts = np.flatnonzero((np.diff(left, prepend=-2) != 1) | (np.diff(own, prepend=-1) != 0))
                 n, one, at = np.diff(cuts, append=len(left)), own[cuts], left[cuts]
                 rows.append((2, bucket, block, _pack_segments(n, part[1][one], part[2][one] + at, part[3][_ranges(offset[one] + at, n + length - 1)])))
+        del parts, text, starts, ids, places, gone
+        give_back()
         return _frame(rows)
 
     held = blocks.join(answers, "block").mapInPandas(within, _PART)
@@ -401,6 +407,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 cells = [rest.field(c) for c in columns]
                 cells += [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()))]
                 yield pa.RecordBatch.from_arrays(cells, names=[*columns, *outputs])
+                del row, raw, edge, gone, data, found, cells, rest
+                give_back()
 
     schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField(c, T.LongType()) for c in outputs[:3]] + [T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
     return blocks.join(spans, "block", "left").select("ids", "sizes", "data", "rest", "spans").mapInArrow(clear, schema)
