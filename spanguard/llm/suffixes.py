@@ -61,8 +61,7 @@ def sort_suffixes(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarra
     small |= text == 0
     # A suffix is induced from its successors up to the first small one.
     stop = np.minimum.accumulate(np.where(small, np.arange(len(text), dtype=np.int32), np.int32(len(text)))[::-1])[::-1][starts]
-    reach = np.zeros(len(text) + 1, np.int32)
-    np.subtract.at(reach, stop + 1, 1)
+    reach = -np.bincount(stop + 1, minlength=len(text) + 1).astype(np.int32)
     del stop
     reach[starts] += 1
     used = np.cumsum(reach[:-1], dtype=np.int32) > 0
@@ -240,6 +239,10 @@ def removed_strings(blocks: DataFrame, length: int = 50, k: int = 24, per_bucket
     def bucket_of(keys: np.ndarray) -> np.ndarray:
         return (keys >> top).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
+    def part_of(keys: np.ndarray) -> np.ndarray:
+        """Strings take several times the memory of keys, so they meet in a quarter of a bucket."""
+        return (keys >> np.uint64(62 - bits)).astype(np.int64)
+
     def distinct(keys: np.ndarray, docs: np.ndarray):
         """Distinct keys in order, whether each is in several documents, and the place of each run's key."""
         order = np.argsort(keys, kind="stable")
@@ -322,8 +325,8 @@ def removed_strings(blocks: DataFrame, length: int = 50, k: int = 24, per_bucket
                     n = np.diff(cuts, append=len(left))
                     k2, b2, s2 = _split(keys[one], left[cuts], n)
                     doc_of = ids[np.searchsorted(starts, b2, side="right") - 1]
-                    order = np.argsort(bucket_of(k2), kind="stable")
-                    groups, b2, s2, doc_of = bucket_of(k2)[order], b2[order], s2[order], doc_of[order]
+                    order = np.argsort(part_of(k2), kind="stable")
+                    groups, b2, s2, doc_of = part_of(k2)[order], b2[order], s2[order], doc_of[order]
                     edges = np.flatnonzero(np.diff(groups, prepend=-1))
                     for a, b in zip(edges, np.append(edges[1:], len(groups))):
                         rows.append((2, groups[a], row.block, _pack_segments(
@@ -359,8 +362,6 @@ def removed_strings(blocks: DataFrame, length: int = 50, k: int = 24, per_bucket
                 cuts = np.flatnonzero((np.diff(left, prepend=-2) != 1) | (np.diff(own, prepend=-1) != 0))
                 n, one, at = np.diff(cuts, append=len(left)), own[cuts], left[cuts]
                 rows.append((2, bucket, block, _pack_segments(n, part[1][one], part[2][one] + at, part[3][_ranges(offset[one] + at, n + length - 1)])))
-        del parts, text, starts, ids, places, gone
-        give_back()
         return _frame(rows)
 
     held = blocks.join(answers, "block").mapInPandas(within, _PART)
