@@ -204,10 +204,10 @@ def brute_classes(rows, share=0.8):
     return near, far
 
 
-@pytest.mark.parametrize("rounds", [1, 2])
-def test_near_classes(spark, docs, rounds):
+@pytest.mark.parametrize("rounds, crowd", [(0, 2), (1, 2), (2, 32)])
+def test_near_classes(spark, docs, rounds, crowd):
     df = docs.withColumn("class_id", F.lit("clash"))
-    rows = near_classes(df, options=NearOptions(single_rounds=rounds)).collect()
+    rows = near_classes(df, options=NearOptions(single_rounds=rounds, crowd=crowd, leaders=2)).collect()
     assert len(rows) == len(ROWS)
     got = {r["doc_id"]: r["class_id"] for r in rows}
     near, far = brute_classes(ROWS)
