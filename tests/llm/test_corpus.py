@@ -258,6 +258,13 @@ def test_keep_one(spark):
     assert keep_one(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_rows_of_one_id_and_without_id(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, "first text of this id"), (1, "second text, quite another"), (None, " ".join(words)), (None, " ".join(words[:-1])), (None, " ".join(words[1:]))]
+    kept = sorted((str(r["doc_id"]), len(r["text"].split())) for r in keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert [k for k in kept if k[0] == "1"] == [("1", 4), ("1", 5)] and len(kept) == 3
+
+
 def brute_scores(rows, rounds):
     def tokens(text):
         return [bytes(w) for w in (text or "").encode().lower().split()] + ["end"]
