@@ -118,6 +118,24 @@ def octets_ok(value: Column) -> Column:
     return F.forall(F.split(value, r"\."), lambda x: x.cast("int") <= 255)
 
 
+def ipv6_ok(value: Column) -> Column:
+    """Eight groups, or fewer around one run left out; a dotted address at the end stands for two, and a zone may follow.
+
+    A value without any digit is taken for a name of a program.
+    """
+    dotted = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"
+
+    def whole(body: Column) -> Column:
+        group = "[0-9A-Fa-f]{1,4}"
+        plain = F.regexp_replace(body, dotted, "0:0")
+        left_out = plain.rlike(f"^(?:{group}(?::{group}){{0,6}})?::(?:{group}(?::{group}){{0,6}})?$") & (
+            F.regexp_count(plain, F.lit("[0-9A-Fa-f]+")) <= 7)
+        octets = F.regexp_extract(body, f"({dotted})", 1)
+        return (plain.rlike(f"^{group}(?::{group}){{7}}$") | left_out) & body.rlike("[0-9]") & ((octets == "") | octets_ok(octets))
+
+    return bind(F.substring_index(value, "%", 1), whole)
+
+
 def phone_ok(value: Column) -> Column:
     return digit_count(value).between(10, 15) & value.rlike(r"^\+|[ .()\-]")
 

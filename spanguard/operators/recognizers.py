@@ -30,6 +30,7 @@ FEATURES: dict[str, Callable[[Column], Column]] = {
     "at": lambda t: F.contains(t, F.lit("@")),
     "scheme": lambda t: F.contains(t, F.lit("://")),
     "assignment": _assigns,
+    "colons": lambda t: F.contains(t, F.lit(":")) & t.rlike(":[0-9A-Fa-f]{0,4}:"),
     "jwt": lambda t: F.contains(t, F.lit("eyJ")),
     "pem": lambda t: F.contains(t, F.lit(KEY_MARK)),
 }
@@ -105,6 +106,11 @@ SHIPPED: tuple[Recognizer, ...] = (
                r"(?<![0-9])(?=[0-9 \-]{13})[0-9]++(?:[ \-][0-9]++)*+", 1.0, feature="digit4", parts=checks.cards_in),
     Recognizer("ipv4", "IP_ADDRESS", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", 0.95,
                feature="digit", not_before="[0-9.]", not_after="[0-9]", check=checks.octets_ok),
+    # At most as many characters as an address has, up to no lone colon; what goes on behind it is none.
+    Recognizer("ipv6", "IP_ADDRESS",
+               r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{2,39}(?<!(?<!:):)(?:(?:\.[0-9]{1,3}){3})?"
+               r"(?:%[0-9A-Za-z][0-9A-Za-z._\-]{0,30}(?<![._\-]))?(?![0-9A-Za-z]|:[0-9A-Za-z:]|\.[0-9])", 0.95,
+               feature="colons", check=checks.ipv6_ok),
     Recognizer("phone", "PHONE_NUMBER",
                r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{1,4}\)?[ .\-]?[0-9]{2,4}[ .\-]?[0-9]{2,4}(?:[.\-]?[0-9]{2,4})?"
                r"|\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4}",

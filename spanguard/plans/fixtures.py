@@ -177,6 +177,20 @@ CARD_LINES = (
 )
 IBAN_LINES = ("to GB82WEST12345698765432 #", "DE89 3704 0044 0532 0130 00, #", "GB82WEST1234569876#", "FR14 2004 1010 0505 0001 3M02 606 x#")
 
+#: Lines, and the addresses that must be found in each: the standard's examples, then times, hashes, names of programs and what is too long.
+IPV6 = (
+    ("at ABCD:EF01:2345:6789:ABCD:EF01:2345:# end", ("ABCD:EF01:2345:6789:ABCD:EF01:2345:#",)),
+    ("2001:DB8:0:0:8:800:200C:417A, FF01::#.", ("2001:DB8:0:0:8:800:200C:417A", "FF01::#")),
+    ("lo ::1 and ::FFFF:129.144.52.38", ("::1", "::FFFF:129.144.52.38")),
+    ("0:0:0:0:0:0:13.1.68.3 fe80::#%eth0 [2001:db8::#]:443", ("0:0:0:0:0:0:13.1.68.3", "fe80::#%eth0", "2001:db8::#")),
+    ("net 2001:db8:#::/48: closed", ("2001:db8:#::",)),
+    ("time 12:30:45 mac 00:1a:2b:3c:4d:5e", ()),
+    ("hash 3f:a1:00:1a:2b:3c:4d:5e:3f:a1:00:1a:2b:3c:4d:5e:3f:a1:00:1a", ()),
+    ("std::# a::b::# 1:2:3:4:5:6:7:8:# ::FFFF:129.144.52.380 ::FFFF:129.144.52.256 12345::#", ()),
+    (":: x 1:2:3:4:5:6:7::# dead::beef 1:2:3:4:5:6:7:1.2.3.4", ()),
+)
+IPV6_LINES = tuple(line for line, _ in IPV6)
+
 
 def made_documents(spark: SparkSession, sf_dir: str, lines: tuple[str, ...]) -> DataFrame:
     """One text per customer from the given lines, with four digits of its key in them."""

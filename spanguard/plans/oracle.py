@@ -500,6 +500,16 @@ def oracle_queries() -> dict[str, str]:
         docs = (f"docs AS (SELECT c_custkey::VARCHAR AS repo, 0::BIGINT AS scan_id, 'exports/made.csv' AS relative_path, '.csv' AS extension, "
                 f"concat_ws(chr(10), {texts}) AS text FROM customer)")
         out[name] = _with(f"{docs}, {spans_cte('docs', chosen)}", f"SELECT {PLACE}, line_number FROM spans")
+    at, known = 0, []
+    for number, (line, values) in enumerate(fx.IPV6, 1):  # the answer is stated, not searched for
+        wide = line.replace("#", "0000")
+        for value in values:
+            start = at + wide.index(value.replace("#", "0000"))
+            known.append(f"({start}, {start + len(value.replace('#', '0000'))}, {q(value)}, {number})")
+        at += len(wide) + 1
+    out["spans_ipv6"] = f"""SELECT c_custkey::VARCHAR AS repo, 0::BIGINT AS scan_id, 'exports/made.csv' AS relative_path, a AS "start", b AS "end",
+      'IP_ADDRESS' AS entity_type, 0.95::DOUBLE AS score, replace(v, '#', lpad((c_custkey % 10000)::VARCHAR, 4, '0')) AS value, n AS line_number
+      FROM customer, (VALUES {", ".join(known)}) AS known(a, b, v, n)"""
     wallets = ("docs AS (SELECT c_custkey::VARCHAR AS repo, 0::BIGINT AS scan_id, 'exports/w.csv' AS relative_path, '.csv' AS "
                "extension, 'a 1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa b 1A1zP1eP5QGefi2DMPTfTL5SLmv7Div' || "
                "translate(lpad(c_custkey::VARCHAR, 4, '1'), '0', 'z') || ' c' AS text FROM customer)")
@@ -671,8 +681,8 @@ def oracle_queries() -> dict[str, str]:
     out["sql_functions"] = _with(f"{DOCS}, {spans_cte('docs')}", f"""SELECT repo, scan_id, relative_path, "start", entity_type,
       {SEVERITY} AS severity, {CATEGORY} AS category, {MASK} AS masked, 'F-' || lpad("start"::VARCHAR, 6, '0') AS fid,
       {size_text('"start"')} AS size_text, entity_type IN ({names(rules.HIGH_SIGNAL_ENTITIES)}) AS high_signal FROM spans""")
-    out["history_append"] = _with(SCANS, """SELECT repo, scan_id, scan_no FROM (SELECT repo, scan_id, row_number() OVER (PARTITION BY repo
-      ORDER BY scan_id) AS scan_no FROM scans) WHERE scan_id >= 2""")
+    out["history_append"] = _with(SCANS, """SELECT repo, scan_id, row_number() OVER (PARTITION BY repo
+      ORDER BY scan_id) AS scan_no FROM scans""")
     shown = "CASE WHEN scan_id = 2 THEN 'UNKNOWN' ELSE pipeline_status END"
     out["history_index"] = _with(PROFILE, f"""SELECT repo, scan_id + 1 AS scan_no, lpad((scan_id + 1)::VARCHAR, 3, '0') AS report_number,
       'n/a' AS report_date, {shown} AS pipeline_status, lower({shown}) AS tone FROM profile""")

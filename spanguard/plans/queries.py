@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import namedtuple
 from collections.abc import Callable
 
@@ -15,7 +16,7 @@ from spanguard.operators import (
 from spanguard.operators.position import with_position
 from spanguard.options import ScanOptions
 from spanguard.plans import fixtures as fx
-from spanguard.session import cut
+from spanguard.session import cut, ensure_checkpoint_dir
 from spanguard.sources import files as fs, history, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +106,7 @@ def _made_spans(lines: tuple[str, ...], *names: str) -> Query:
 REGISTRY["spans_secrets_bare"] = _made_spans(fx.SECRET_LINES, "api_key", "password", "secret")
 REGISTRY["spans_whole_keys"] = _made_spans(fx.KEY_LINES, "private_key")
 REGISTRY["spans_cards_in_groups"] = _made_spans(fx.CARD_LINES, "credit_card")
+REGISTRY["spans_ipv6"] = _made_spans(fx.IPV6_LINES, "ipv6")
 REGISTRY["spans_iban_valid"] = _made_spans(fx.IBAN_LINES, "iban")
 
 
@@ -568,19 +570,16 @@ def sql_functions(spark, sf_dir):
 
 # --- history -------------------------------------------------------------------------------------
 
-def _hashed(spark, sf_dir) -> DataFrame:
-    return cut(history.report_hashes(_reports(spark, sf_dir)))
-
-
 @query
 def history_append(spark, sf_dir):
-    """Scans 0 and 1 are stored already; storing all again numbers only the new ones."""
-    hashed = _hashed(spark, sf_dir)
-    stored = history.next_numbers(hashed.where(F.col("scan_id") < 2), hashed.select(
-        "repo", F.lit(0).alias("scan_no")).where(F.lit(False)))
-    stored = cut(stored)
-    fresh = history.content_anti_join(hashed, stored)
-    return history.next_numbers(fresh, stored).select("repo", "scan_id", "scan_no")
+    """Scans 0 and 1 are stored already; storing all again adds only the others. The rows are those read back."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/history-{uuid.uuid4().hex}"
+    began = F.date_format(F.timestamp_seconds(F.col("scan_id") * 86400), "yyyy-MM-dd'T'HH:mm:ss'Z'")  # so no two reports are equal
+    rows = cut(_reports(spark, sf_dir).withColumn("report", F.col("report").withField("scan.started_at", began)))
+    history.append_history(rows.where(F.col("scan_id") < 2), path)
+    history.append_history(rows, path)
+    return history.read_history(spark, path).where(F.col("page") == 0).select("repo", "scan_id", "scan_no")
 
 
 def _headers(spark, sf_dir) -> DataFrame:

@@ -1,7 +1,15 @@
-"""Report tables: the latest reports and the history of all of them."""
+"""Report tables: the latest reports and the history of all of them.
+
+A history is a folder of batches and claims. An append writes its rows as a batch of its own, which nobody reads yet, and then claims the next
+version of the history with one small file that appears whole or not at all; of two writers one gets it, and the other numbers its rows anew.
+Readers take the batches that have a claim. So numbers are never given twice, and a job that ends early leaves nothing that can be seen.
+"""
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -57,26 +65,83 @@ def next_numbers(new: DataFrame, history: DataFrame) -> DataFrame:
     )
 
 
-def append_history(reports: DataFrame, path: str, moment: Column | None = None) -> DataFrame:
-    """Append the reports that are new, with number and time stamp; gives the rows written.
-
-    Running it again with the same reports appends nothing, and of equal reports of a repository in one call the first is stored.
-    """
-    spark = reports.sparkSession
-    history = read_history(spark, path)
+def numbered_rows(reports: DataFrame, history: DataFrame, moment: Column | None = None) -> DataFrame:
+    """The rows that an append of these reports to this history stores."""
     hashes = report_hashes(reports)
     first = hashes.groupBy("repo", "content_hash").agg(F.min("scan_id").alias("scan_id"))  # of equal reports in one batch
-    fresh = content_anti_join(first.select(*hashes.columns), history)
-    numbered = next_numbers(fresh, history)
+    numbered = next_numbers(content_anti_join(first.select(*hashes.columns), history), history)
     stamp = F.current_timestamp() if moment is None else moment
-    rows = reports.join(numbered, KEYS).select(
+    return reports.join(numbered, KEYS).select(
         *KEYS, "scan_no", "page", "page_count", stamp.alias("stored_at"), "content_hash",
         F.format_string("Report_%03d_%s", "scan_no", F.date_format(stamp, "yyyy-MM-dd_HH-mm-ss")).alias("name"),
         report_json(F.col("report")).alias("report_json"),
     )
-    written = cut(rows)
-    written.write.mode("append").partitionBy("repo").parquet(path)
-    return written
+
+
+def append_history(reports: DataFrame, path: str, moment: Column | None = None, tries: int = 20) -> DataFrame:
+    """Append the reports that are new, with number and time stamp; gives the rows written.
+
+    Running it again with the same reports appends nothing, and of equal reports of a repository in one call the first is stored.
+    A batch that loses its version to another writer stays behind without a claim; the next try looks at the winner's rows, too.
+    """
+    spark = reports.sparkSession
+    for _ in range(tries):
+        claims = read_claims(spark, path)
+        version = claims.agg(F.max("version")).first()[0] or 0
+        written = cut(numbered_rows(reports, claimed_rows(spark, path, claims), moment))
+        if written.isEmpty():
+            return written
+        batch = uuid.uuid4().hex
+        written.write.partitionBy("repo").parquet(f"{path}/batches/batch={batch}")
+        if claim_version(spark, path, version + 1, batch):
+            return written
+    raise RuntimeError(f"no version of the history {path} could be claimed in {tries} tries")
+
+
+def claim_version(spark: SparkSession, path: str, version: int, batch: str) -> bool:
+    """Give a version of the history to a batch; False if it has been given already.
+
+    The claim is written beside its place and moved there whole, by a link on a mounted folder and by a rename that never overwrites on other
+    file systems. A store without such a rename needs one writer at a time.
+    """
+    java, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = java.org.apache.hadoop.fs
+    folder = hadoop.Path(f"{path}/claims")
+    files = folder.getFileSystem(conf)
+    files.mkdirs(folder)
+    draft, place = hadoop.Path(folder, f"_{batch}"), hadoop.Path(folder, f"{version:012d}")
+    stream = files.create(draft, False)
+    stream.write(bytearray(batch.encode()))
+    stream.close()
+    moved = _linked if files.getUri().getScheme() == "file" else _renamed
+    done = moved(spark, draft, place)
+    files.delete(draft, False)
+    return done
+
+
+def _linked(spark: SparkSession, draft, place) -> bool:
+    try:
+        os.link(draft.toUri().getPath(), place.toUri().getPath())
+    except FileExistsError:
+        return False
+    return True
+
+
+def _renamed(spark: SparkSession, draft, place) -> bool:
+    from py4j.protocol import Py4JJavaError
+
+    gateway = spark.sparkContext._gateway
+    hadoop = gateway.jvm.org.apache.hadoop.fs
+    options = gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.NONE
+    context = hadoop.FileContext.getFileContext(draft.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(draft, place, options)
+    except Py4JJavaError as exc:
+        if "FileAlreadyExistsException" not in exc.java_exception.getClass().getName():
+            raise
+        return False
+    return True
 
 
 HISTORY_SCHEMA = (
@@ -85,14 +150,31 @@ HISTORY_SCHEMA = (
 )
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """The history table; empty when nothing was stored yet."""
+def _or_empty(spark: SparkSession, schema: str, read) -> DataFrame:
     try:
-        return spark.read.schema(HISTORY_SCHEMA).parquet(path)
+        return read()
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], HISTORY_SCHEMA)
+        return spark.createDataFrame([], schema)
+
+
+def read_claims(spark: SparkSession, path: str) -> DataFrame:
+    """version and batch of every claim, as of now; none when nothing was stored yet."""
+    return _or_empty(spark, "version bigint, batch string", lambda: spark.read.text(f"{path}/claims").select(
+        F.col("_metadata.file_name").cast("bigint").alias("version"), F.col("value").alias("batch")))
+
+
+def claimed_rows(spark: SparkSession, path: str, claims: DataFrame) -> DataFrame:
+    """The rows of the claimed batches. Files are listed here, after those of the claims, so a claimed batch is there in full."""
+    schema = f"{HISTORY_SCHEMA}, batch string"
+    rows = _or_empty(spark, schema, lambda: spark.read.schema(schema).parquet(f"{path}/batches"))
+    return rows.join(claims.select("batch"), "batch", "left_semi").drop("batch")
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """The history table; empty when nothing was stored yet."""
+    return claimed_rows(spark, path, read_claims(spark, path))
 
 
 def parse_reports(history: DataFrame) -> DataFrame:

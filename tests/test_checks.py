@@ -25,3 +25,11 @@ from spanguard.functions import checks
 ])
 def test_check(values, function, good, bad):
     assert values(function, good + bad) == [True] * len(good) + [False] * len(bad)
+
+
+def test_ipv6(values):
+    good = ["::1", "1::", "2001:db8::8:800:200c:417a", "0:0:0:0:0:0:0:1", "::ffff:1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "fe80::1%eth0", "1:2:3:4:5:6:7::"]
+    bad = ["::", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::8", "::ffff:1.2.3.256", "12345::1", "a::b", "12:30:45", "1.2.3.4::1",
+           "1:2:3:4:5:6:7:1.2.3.4", ":1:2:3:4:5:6:7:8"]
+    assert values(checks.ipv6_ok, good) == [True] * len(good)
+    assert values(checks.ipv6_ok, bad) == [False] * len(bad)

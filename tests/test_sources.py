@@ -111,6 +111,65 @@ def test_history_numbers_and_repeats(spark, make_docs, tmp_path):
     assert history.read_history(spark, path).where("scan_no = 2").first().name.startswith("Report_002_")
 
 
+def test_two_writers_never_share_a_number(spark, make_docs, tmp_path, monkeypatch):
+    path = str(tmp_path / "history")
+    mine, theirs = (report_rows(make_docs, {"a.py": text}, scan) for scan, text in ((1, "a@example.org"), (2, "4111111111111111")))
+    claim, other = history.claim_version, []
+
+    def late(spark, path, version, batch):  # the other writer appends between our batch and our claim
+        if not other:
+            other.append(None)
+            other[0] = [r.scan_no for r in history.append_history(theirs, path).collect()]
+        return claim(spark, path, version, batch)
+
+    monkeypatch.setattr(history, "claim_version", late)
+    assert [r.scan_no for r in history.append_history(mine, path).collect()] == [2] and other == [[1]]
+    stored = history.read_history(spark, path)
+    assert sorted((r.scan_no, r.scan_id) for r in stored.collect()) == [(1, 2), (2, 1)]
+
+
+def test_equal_reports_of_two_writers_are_stored_once(spark, make_docs, tmp_path, monkeypatch):
+    path, report = str(tmp_path / "history"), report_rows(make_docs, {"a.py": "a@example.org"}, 1)
+    claim, other = history.claim_version, []
+
+    def late(spark, path, version, batch):
+        if not other:
+            other.append(True)
+            history.append_history(report, path)
+        return claim(spark, path, version, batch)
+
+    monkeypatch.setattr(history, "claim_version", late)
+    assert history.append_history(report, path).count() == 0
+    assert history.read_history(spark, path).count() == 1
+
+
+def test_a_lost_append_leaves_nothing_to_see(spark, make_docs, tmp_path, monkeypatch):
+    path = str(tmp_path / "history")
+    history.append_history(report_rows(make_docs, {"a.py": "x"}, 1), path)
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(history, "claim_version", lost)
+        with pytest.raises(RuntimeError):
+            history.append_history(report_rows(make_docs, {"a.py": "b@example.org"}, 2), path)
+    (tmp_path / "history" / "claims" / "_draft").write_text("half")
+    half = tmp_path / "history" / "batches" / "batch=half" / "_temporary"
+    half.mkdir(parents=True)
+    (half / "part-0.parquet").write_text("half")
+    assert [r.scan_id for r in history.read_history(spark, path).collect()] == [1]
+    assert [r.scan_no for r in history.append_history(report_rows(make_docs, {"a.py": "b@example.org"}, 3), path).collect()] == [2]
+
+
+@pytest.mark.parametrize("move", ["_linked", "_renamed"])
+def test_a_version_is_claimed_once(spark, tmp_path, monkeypatch, move):
+    monkeypatch.setattr(history, "_linked", getattr(history, move))
+    path = str(tmp_path)
+    assert [history.claim_version(spark, path, v, b) for v, b in ((1, "a"), (1, "b"), (2, "c"), (2, "a"))] == [True, False, True, False]
+    assert sorted(map(tuple, history.read_claims(spark, path).collect())) == [(1, "a"), (2, "c")]
+
+
 def test_latest_keeps_other_repositories(spark, make_docs, tmp_path):
     path = str(tmp_path / "latest")
     one = report_rows(make_docs, [("one", 1, "a.py", "a@example.org")])
