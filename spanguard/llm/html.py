@@ -7,7 +7,8 @@ left out. The lengths of `window` lines from each line on are
 summed: text begins where the sum surges from nothing and ends where it dives back to nothing. The
 article is every stretch whose sums reach `surge` characters, or half of the highest sum of a page of less text, and of which at most half
 lies in links; if there is none, the stretch with most text. A page that marks its article has only the lines inside the mark summed, and keeps each
-of their stretches; so links of `window` or more lines in a row, without other text, are left out there, too.
+of their stretches. In `<article>` links count as text; in `<main>` alone, which often holds menus, they do not, so there links of `window` or more lines in a
+row, without other text, are left out. An article that is named as a comment, or stands among comments, is no mark. A form is judged by its text.
 
 Defined results: null or empty html gives the empty text; unclosed and stray tags are allowed; nothing is cut off.
 """
@@ -25,10 +26,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from spanguard.llm.common import table
 from spanguard.session import ship_package
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_SPECIAL = re.compile("['\">]")
 _NAMES = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math"}
-_ASIDE = {"nav", "footer", "aside", "form", "select", "button", "menu", "dialog", "head"}
+_ASIDE = {"nav", "footer", "aside", "select", "button", "menu", "dialog", "head"}
 _MAIN = {"article", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -42,7 +44,7 @@ _TALK_WORDS = r"comments?|commentlist|replies|respond|disqus"
 #: Words that an article may be about, or put a part of it under.
 _WEAK_WORDS = r"notice|alert|share|side|widget|related|recommended|reply|search|tags"
 #: Words that only say what kind of box it is.
-_BOX_WORDS = r"area|bar|block|bottom|box|buttons?|container|form|global|group|icons?|inner|items?|left|links?|list|main|outer|panel|posts|primary|right|secondary|section|site|top|wrap|wrapper"
+_BOX_WORDS = r"area|bar|block|body|bottom|box|buttons?|container|content|form|global|group|icons?|inner|items?|left|links?|list|main|outer|panel|posts|primary|right|secondary|section|site|text|top|wrap|wrapper"
 #: A class, id, role or label is odd as a whole: each of its parts is one of these words, and not all are boxes.
 _ODD = re.compile(rf"(?=.*(?:^|[_-])(?:{_SURE_WORDS}|{_TALK_WORDS}|{_WEAK_WORDS})(?:$|[_-]))(?:(?:{_SURE_WORDS}|{_TALK_WORDS}|{_WEAK_WORDS}|{_BOX_WORDS})(?:$|[_-]+(?=.)))+", re.I)
 _IS_TALK, _IS_SURE = (re.compile(rf"(?:^|[_-])(?:{x})(?:$|[_-])", re.I) for x in (_TALK_WORDS, f"{_SURE_WORDS}|{_TALK_WORDS}"))
@@ -57,9 +59,7 @@ def _kind(name: str, attributes: str, inside: bool) -> int | None:
     if name in _ASIDE or name == "header" and not inside or "hidden" in attributes.lower() and re.search(
             r"\bhidden\b(?!\s*=\s*[\"']?false)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)):
         return ASIDE
-    if not attributes:
-        return None
-    found = []
+    found = [SURE] if name == "form" else []
     for key, value in _NAMES.findall(attributes):
         tokens = value.strip("\"'").split()
         if key.lower() == "aria-label":
@@ -71,6 +71,64 @@ def _kind(name: str, attributes: str, inside: bool) -> int | None:
     return min(found, default=None)
 
 
+class _Tags:
+    """Tags of a page from left to right, in time that grows with the page, whatever it holds.
+
+    A tag ends at the first `>` outside quotes, or, where its quotes do not end, at the first one at all. A search that comes to a quote at which an
+    earlier one has gone wrong goes wrong, too, so no quote is followed twice.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.bad: set[int] = set()
+        self.special: tuple[int, int] = (0, -1)  # from where on, and where, a quote or `>` comes next
+
+    def _next(self, at: int) -> int:
+        if not self.special[0] <= at <= self.special[1]:
+            found = _SPECIAL.search(self.page, at)
+            self.special = (at, found.start() if found else len(self.page))
+        return self.special[1]
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends whose attributes begin at `at`, or -1."""
+        begun, first = [], at
+        while True:
+            at = self._next(at)
+            if at == len(self.page) or at in self.bad:
+                break
+            if self.page[at] == ">":
+                return at
+            begun.append(at)
+            at = self.page.find(self.page[at], at + 1) + 1
+            if not at:
+                break
+        self.bad.update(begun)
+        return self.page.find(">", first) if begun or at != len(self.page) else -1
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """Where the next tag begins and ends, its name (empty for a comment or declaration), whether it closes, and its attributes."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                stop = page.find("-->", at + 4)
+                return at, stop + 3 if stop >= 0 else len(page), "", False, ""
+            if page.startswith(("<!", "<?"), at):
+                stop = page.find(">", at)
+                if stop >= 0:
+                    return at, stop + 1, "", False, ""
+            elif match := _TAG.match(page, at):
+                stop = self._end(match.end())
+                if stop >= 0:
+                    return at, stop + 1, match[2].lower(), bool(match[1]), page[match.end():stop]
+            else:
+                at += 1
+                continue
+            if page.find(">", at) < 0:
+                return None  # no tag ends from here on
+            at += 1
+        return None
+
+
 class _Part:
     """A part of the page that may be left out: where it lies, and its characters outside links and in all."""
 
@@ -83,13 +141,15 @@ class _Part:
         self.out = False
 
 
-def _lines(page: str) -> list[tuple[str, int, bool]]:
-    """Lines of a page: text, characters outside links (in a mark also those of linked headings), and whether it lies in a marked article; an empty text for a left-out part."""
-    lines: list[tuple[str, int, bool, _Part | None]] = []
+def _lines(page: str) -> list[tuple[str, int, int]]:
+    """Lines of a page: text, characters outside links (in a mark also those of linked headings), and whether it lies in a mark (1) or in an article (2);
+    an empty text for a left-out part."""
+    lines: list[tuple[str, int, int, _Part | None]] = []
     words: list[str] = []
-    plain = links = inside = heading = 0
+    plain = links = inside = articles = heading = 0
+    tags = _Tags(page)
     parts: list[_Part] = []
-    stack: list[tuple[str, _Part | None, int]] = []  # open elements: name, the part one opens, links before
+    stack: list[tuple[str, _Part | None, int]] = []  # open elements: name, the part one opens, links before (-1: a mark)
     names: Counter[str] = Counter()
     part: _Part | None = None
     at, end = 0, len(page)
@@ -98,7 +158,7 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
         nonlocal plain
         text = " ".join("".join(words).split())
         if text:
-            lines.append((text, plain, inside > 0, part))
+            lines.append((text, plain, (inside > 0) + (articles > 0), part))
         words.clear()
         plain = 0
 
@@ -122,53 +182,63 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
             part, links = mine.parent, before
 
     while at < end:
-        match = _TAG.search(page, at)
-        if match is None:
+        tag = tags.next(at)
+        if tag is None:
             add(page[at:])
             break
-        add(page[at:match.start()])
-        at = match.end()
-        name = (match[2] or match[5] or "").lower()
+        add(page[at:tag[0]])
+        _, at, name, closing, attributes = tag
         if not name:
             continue
-        closing, attributes = bool(match[1] or match[4]), match[3] or match[6] or ""
         if name in _RAW and not closing:
-            stop = re.compile(f"</{name}\\b[^>]*>", re.I).search(page, at)
             if attributes.rstrip().endswith("/"):
                 continue
+            stop = re.compile(f"</{name}\\b[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else end
             if name != "title":
                 words.append(" ")
             continue
-        if name in ("body", *_MAIN) and not closing:
+        opens = not closing and name not in _VOID and name != "html"
+        kind = _kind(name, attributes, inside > 0) if opens and name != "body" else None
+        if name in _MAIN and kind == WEAK:
+            kind = None
+        talk = False  # what is marked as an article among comments is one of them
+        if name in _MAIN and opens:
+            around = part
+            while around is not None and not talk:
+                talk, around = around.kind == TALK, around.parent
+        if not closing and (name == "body" or name in _MAIN and kind is None and not talk):
             close()
             while part is not None:
                 pop(True)  # an article ends whatever was left open
             links = 0
             if name != "body":
                 inside += 1
-                stack.append((name, None, 0))
+                articles += name == "article"
+                stack.append((name, None, -1))
                 names[name] += 1
             continue
         if closing:
+            mark = name in _MAIN
             if names[name]:
                 while stack[-1][0] != name:
                     pop(stack[-1][0] in _OPEN)
+                mark &= stack[-1][2] < 0
                 pop(True)
-            if name in _MAIN:
+            if mark:
                 close()
                 inside = max(0, inside - 1)
+                articles = max(0, articles - (name == "article"))
                 if not inside:
-                    lines.append(("", 0, False, part))
+                    lines.append(("", 0, 0, part))
                 continue
-        if not closing and name not in _VOID and name != "html":
+        if opens:
             if stack and stack[-1][0] in _OPEN and (stack[-1][0] == name or stack[-1][0] == "p" and name not in _INLINE):
                 pop(True)
-            kind = _kind(name, attributes, inside > 0)
             opened = None
             if kind is not None:
                 close()
-                lines.append(("", 0, inside > 0, part))
+                lines.append(("", 0, (inside > 0) + (articles > 0), part))
                 opened = part = _Part(kind, part, len(lines))
                 parts.append(part)
             if opened or names[name] or name not in _INLINE and name not in _OPEN:
@@ -189,7 +259,7 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
     return _without(lines, parts) if parts else [x[:3] for x in lines]
 
 
-def _without(lines: list[tuple[str, int, bool, _Part | None]], parts: list[_Part]) -> list[tuple[str, int, bool]]:
+def _without(lines: list[tuple[str, int, int, _Part | None]], parts: list[_Part]) -> list[tuple[str, int, int]]:
     """Lines without those of the parts that hold no article text by their names, lengths and link shares."""
     texts_from, at = [0] * (len(lines) + 1), len(lines)  # the next line with text
     for i in range(len(lines), -1, -1):
@@ -235,7 +305,8 @@ def main_text(page: str | None, window: int = 3, surge: int = 40) -> str:
     lines = _lines(page)
     marked = any(size and within for _, size, within in lines)
     if marked:
-        lines = [x if x[2] else ("", 0, False) for x in lines]
+        # In an article, links count as text: a list of them is a part of it.
+        lines = [x if x[2] == 1 else (x[0], len("".join(x[0].split())), 2) if x[2] else ("", 0, 0) for x in lines]
     sizes = [size for _, size, _ in lines] + [0] * window
     sums = [sum(sizes[i:i + window]) for i in range(len(lines))]
     stretches, start = [], None

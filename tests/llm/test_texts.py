@@ -3,11 +3,13 @@
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
 from spanguard.llm import bpe, token_counts
@@ -182,3 +184,37 @@ def test_extract_keeps_rows_and_columns(spark):
     assert sorted(len(r["text"]) for r in got.collect()) == [0, len(main_text(PAGE)), len(main_text(PAGE)), 199999]
     assert extract(df.limit(0)).collect() == []
     assert got.where(F.col("page_id").isNull()).first()["text"] == ""
+
+
+TEXT = "The whole body of the page is here, in a few words. " * 6
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<main><article><p>The text.</p></article><article class=comment><p>A reader says so.</p></article></main>", "The text."),
+    ("<main><article><p>The text.</p></article><div class=comments><article><p>A reader.</p></article></div><p>The end.</p></main>", "The text.\n\nThe end."),
+    ("<article><p>One.</p><article class='comment-body'><p>A reader.</p></article><p>Two.</p></article><p>Imprint.</p>", "One.\n\nTwo."),
+    (f"<body><form action=x><nav><a href=a>A</a></nav><p>{TEXT}</p><input></form></body>", TEXT.strip()),
+    ("<article><p>The text.</p><form><label>Your name</label></form></article>", "The text."),
+    ("<article><p>The text.</p><ul>" + "<li><a href=x>Linked.</a></li>" * 5 + "</ul></article>", "The text." + "\n\nLinked." * 5),
+    ("<main><ul>" + "<li><a href=x>Menu</a></li>" * 5 + "</ul><p>The text.</p></main>", "The text."),
+    ("<article><p title='a > b' data-x=\"<p>x</p>\">The text.</p></article>", "The text."),
+    ("<article><p title='open>The text.</p></article>", "The text."),
+])
+def test_main_text_of_comments_forms_and_links(page, text):
+    assert main_text(page) == text
+
+
+@given(st.lists(st.sampled_from(["The first of it.", "And so on, for a while.", "é &amp; ü", "A last word <b>here</b>."]), min_size=1, max_size=6),
+       st.lists(st.sampled_from(["<nav><a href=a>Home</a></nav>", "<aside>Adverts</aside>", "<footer>Imprint</footer>", "<script>x</script>",
+                                 "<div class=cookie-banner>Cookies</div>", "<form><input><label>Name</label></form>"]), min_size=2, max_size=6))
+def test_main_text_of_pages_built_from_known_blocks(blocks, around):
+    half = len(around) // 2
+    page = "".join(around[:half]) + "<article>" + "".join(f"<p>{x}</p>" for x in blocks) + "</article>" + "".join(around[half:])
+    assert main_text(page) == "\n\n".join(x.replace("&amp;", "&").replace("<b>", "").replace("</b>", "") for x in blocks)
+
+
+@pytest.mark.parametrize("piece", ["<a b ", "<a '\">", "<script/>", "<!x ", '<a "x', "<a x='"])
+def test_tags_without_an_end_take_linear_time(piece):
+    began = time.monotonic()
+    main_text(piece * 100_000)
+    assert time.monotonic() - began < 20  # a quadratic search takes hours
