@@ -9,11 +9,13 @@ counts of all blocks are summed, and gets the sums back in the order sent. So co
 texts never, and each of the held-out texts is held against the counts without itself. The maximisation runs over arrays of (bucket, bigram share, word
 share) that stay where they are; each step returns a few sums per bucket.
 
-A key is a 64-bit hash, of which the place it is sent to and 48 further bits are told apart: two of a million bigrams of one place
-fall together with a probability of less than 1 in 400, at any size of the corpus.
+A key is a 64-bit hash, of which the place it is sent to and 48 further bits are told apart, one of them by whether it is a word or a bigram, so no
+word meets a bigram: two of a million bigrams of one place fall together with a probability of less than 1 in 200. There are as many places as the
+corpus asks for; counts are 64-bit numbers, sent as 32-bit ones where all of a message fit.
 
-Defined results: a null text is empty and has one token, its end; a null id counts as the text "null" for the split; without any
-training document all scores are those of V = N = 0.
+Defined results: a null text is empty and has one token, its end; a null id counts as the text "null" for the split and comes back as null; an empty
+table gives no rows; repeated rows are documents of their own; other columns are not looked at; without any training document all scores are those of
+V = N = 0. A document lies in one block, so a text must fit into a worker several times over.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from spanguard.session import cut, ship_package
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _BUCKETS = 40
+_IS_WORD = np.uint64(1 << 16)  # the lowest bit of a key that always travels
 KEPT, LEFT_OUT, TEST = 0, 1, 2
 
 
@@ -78,7 +81,7 @@ class Tokens:
         before, after = np.divmod(self.pairs, len(self.words))
         self.pair_keys = mixed(self.words[before] * _PRIME + self.words[after])
         # Keys of words and bigrams in one order, and where each of them stands in it.
-        keys = np.concatenate([self.words ^ np.uint64(0x5555), self.pair_keys])
+        keys = np.concatenate([self.words | _IS_WORD, self.pair_keys & ~_IS_WORD])
         order = np.argsort(keys, kind="stable")
         self.order = order
         self.keys = keys[order]
@@ -115,6 +118,16 @@ def _shares(block: Tokens, counts: np.ndarray, words_n: float) -> tuple[np.ndarr
     return bucket_of(before), both / np.maximum(before, 1), one / max(words_n, 1.0), one
 
 
+def wide(counts: np.ndarray) -> bytes:
+    """Counts as 32-bit numbers if all fit, else as 64-bit ones, behind a byte that tells which."""
+    size = 4 if not counts.size or counts.max() < 1 << 32 else 8
+    return bytes([size]) + counts.astype(f"u{size}").tobytes()
+
+
+def unwide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data[1:], f"u{data[0]}").astype(np.int64)
+
+
 class Model:
     """Weights by bucket: rows of (bigram, word, rest)."""
 
@@ -133,9 +146,11 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
           per_bucket: int = 1 << 20) -> tuple[DataFrame, DataFrame, Model]:
     """Blocks of documents, the counts sent back to each block, and the model."""
     ship_package(docs.sparkSession)
-    blocks = pack_blocks(docs, key, text, block_bytes, split_of(F.col(key)))
+    # Documents without an id have blocks of their own.
+    kind = split_of(F.col(key)) + F.when(F.col(key).cast("bigint").isNull(), 4).otherwise(0)
+    blocks = pack_blocks(docs, key, text, block_bytes, kind).withColumn("named", F.col("kind") < 4).withColumn("kind", (F.col("kind") % 4).cast("int"))
     total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    bits = min(15, max(0, (int(total) // 8 // per_bucket).bit_length()))
+    bits = (int(total) // 8 // per_bucket).bit_length()
 
     def bucket(keys: np.ndarray) -> np.ndarray:
         return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
@@ -148,23 +163,24 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
                 buckets = bucket(block.keys)
                 cuts = np.flatnonzero(np.diff(buckets, prepend=-1))
                 rows = []
-                low = block.keys >> np.uint64(16 - bits)  # 48 bits below the place
+                low = block.keys >> np.uint64(max(0, 16 - bits))  # its lower 48 bits travel; the place tells the others
                 is_word = block.order < len(block.words)
                 is_word &= block.order != 1  # the beginning is no token
                 for a, b in zip(cuts, np.append(cuts[1:], len(buckets))):
                     part = low[a:b]
-                    body = squeeze((part & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (part >> np.uint64(32)).astype(np.uint16).tobytes()
-                                   + counts[a:b].astype(np.uint32).tobytes() + is_word[a:b].astype(np.uint8).tobytes())
+                    body = squeeze(np.int64(b - a).tobytes() + (part & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (part >> np.uint64(32)).astype(np.uint16).tobytes()
+                                   + is_word[a:b].astype(np.uint8).tobytes() + wide(counts[a:b]))
                     rows.append((buckets[a], row.block, row.kind, body))
                 yield pd.DataFrame(rows, columns=["bucket", "block", "kind", "data"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         bodies = [expand(x) for x in frame["data"]]
-        sizes = [len(x) // 11 for x in bodies]
+        sizes = [int.from_bytes(x[:8], "little") for x in bodies]
+        parts = [(x[8:], n) for x, n in zip(bodies, sizes)]
         keys = np.concatenate([np.frombuffer(x[:4 * n], np.uint32).astype(np.uint64) | (np.frombuffer(x[4 * n:6 * n], np.uint16).astype(np.uint64) << np.uint64(32))
-                               for x, n in zip(bodies, sizes)])
-        counts = np.concatenate([np.frombuffer(x[6 * n:10 * n], np.uint32) for x, n in zip(bodies, sizes)]).astype(np.int64)
-        is_word = np.concatenate([np.frombuffer(x[10 * n:], np.uint8) for x, n in zip(bodies, sizes)])
+                               for x, n in parts])
+        is_word = np.concatenate([np.frombuffer(x[6 * n:7 * n], np.uint8) for x, n in parts])
+        counts = np.concatenate([unwide(x[7 * n:]) for x, n in parts])
         kinds = np.repeat(frame["kind"].to_numpy(), sizes)
         order = np.argsort(keys, kind="stable")
         first = np.flatnonzero(np.diff(keys[order], prepend=keys[order[0]] ^ np.uint64(1)) != 0)
@@ -172,11 +188,11 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
         kept = np.add.reduceat(np.where(kinds == KEPT, counts, 0)[order], first)
         all_ = kept + np.add.reduceat(np.where(kinds == LEFT_OUT, counts, 0)[order], first)
         words = is_word[order][first].astype(bool)
-        back = np.empty((2, len(keys)), np.uint32)
+        back = np.empty((2, len(keys)), np.int64)
         back[0, order], back[1, order] = np.repeat(kept, held), np.repeat(all_, held)
         rows, end = [], 0
         for block, kind, n in zip(frame["block"], frame["kind"], sizes):
-            rows.append((frame["bucket"].iloc[0], block, kind, squeeze(back[:, end:end + n].tobytes())))
+            rows.append((frame["bucket"].iloc[0], block, kind, squeeze(wide(back[:, end:end + n]))))
             end += n
         facts = np.array([(words & (kept > 0)).sum(), (words & (all_ > 0)).sum(), kept[words].sum(), all_[words].sum()], np.int64)
         rows.append((frame["bucket"].iloc[0], -1, -1, facts.tobytes()))
@@ -236,8 +252,8 @@ def with_counts(blocks: DataFrame, counts: DataFrame) -> DataFrame:
 
 def _joined(answers, which: int) -> np.ndarray:
     """The counts sent back to a block, in key order: 0 of the kept, 1 of all training documents."""
-    parts = [np.frombuffer(expand(x["data"]), np.uint32).reshape(2, -1)[which] for x in answers]
-    return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+    parts = [unwide(expand(x["data"])).reshape(2, -1)[which] for x in answers]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -254,13 +270,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -
                 base = np.log10((seen + 1) / (n + v + 1))
                 at = block.starts[:-1]
                 yield pd.DataFrame({
-                    "id": np.frombuffer(row.ids, np.int64), "held_out": row.kind == TEST, "n_tokens": np.diff(block.starts),
+                    "id": pd.array(np.frombuffer(row.ids, np.int64) if row.named else [None] * (len(block.starts) - 1), "Int64"), "held_out": row.kind == TEST, "n_tokens": np.diff(block.starts),
                     "n_known": np.add.reduceat((seen > 0).astype(np.int64), at), "train_tokens": n,
                     "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(logs, at)})
 
     out = with_counts(blocks, counts).mapInPandas(
         run, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-    return out.withColumn("id", F.when(F.col("id") != 2**63 - 1, F.col("id"))).withColumnRenamed("id", key)
+    return out.withColumnRenamed("id", key)
 
 
 def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:

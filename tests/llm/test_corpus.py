@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from check_oracle import rows_of
 from spanguard.llm import mixing, near_dups, quality, queries, suffixes
-from spanguard.llm.language_model import LEFT_OUT, score
+from spanguard.llm.language_model import LEFT_OUT, score, unwide, wide
 from spanguard.llm.near_dups import NearOptions, banded_distance, keep_one, near_classes
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -338,3 +338,14 @@ def test_digest_of_repeats(spark):
     row = suffixes.op4_suffix_dedup(spark, SF).orderBy("doc_id").first()
     text = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").first()["text"]
     assert row["kept_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_counts_of_any_size():
+    for counts in ([], [0, 5], [2**32 + 5, 1]):
+        assert unwide(wide(np.array(counts, np.int64))).tolist() == counts
+
+
+def test_language_model_tells_a_null_id_from_the_largest(spark):
+    rows = [(2**63 - 1, "a b c"), (None, "a b"), (1, "c c")]
+    got = score(spark.createDataFrame(rows, "doc_id bigint, text string"), rounds=2).select("doc_id", "n_tokens").collect()
+    assert sorted((str(r[0]), r[1]) for r in got) == [("1", 3), (str(2**63 - 1), 4), ("None", 3)]
