@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spanguard.operators.findings import find, number_findings
 from spanguard.operators.risk import scan_profile
+from spanguard.session import cut, ship_package
 from spanguard.sources.tables import load_documents, spread_small
 
 FOLDERS = ("docs/", "src/", "tests/", "src/pkg/", "")
@@ -245,3 +248,23 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(folder, F.lit("d"), n.cast("string"), suffix)
     loaded = load_documents(raw, F.col("source"), scan_of(n), path, F.col("text"), F.col("n_chars"))
     return loaded
+
+
+def written_tree(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Roots (repo, scan_id, directory) of trees of the documents, written by tasks below a folder that all executors see."""
+    docs = spread_small(table(spark, sf_dir, "documents"), "doc_id").where("text is not null").select(
+        "source", F.concat_ws("/", F.lit(folder), "source").alias("directory"),
+        F.concat(F.lit("p"), (F.col("doc_id") % 7).cast("string"), F.lit("/.q/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("name"), "text")
+
+    def write(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                path = os.path.join(row.directory, row.name)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as out:
+                    out.write(row.text.encode())
+            yield batch[["source", "directory"]].drop_duplicates()
+
+    ship_package(spark)
+    written = cut(docs.mapInPandas(write, "source string, directory string")).distinct()
+    return written.select(F.col("source").alias("repo"), F.lit(0).cast("bigint").alias("scan_id"), "directory")

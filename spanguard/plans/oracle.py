@@ -681,6 +681,8 @@ def oracle_queries() -> dict[str, str]:
     out["sql_functions"] = _with(f"{DOCS}, {spans_cte('docs')}", f"""SELECT repo, scan_id, relative_path, "start", entity_type,
       {SEVERITY} AS severity, {CATEGORY} AS category, {MASK} AS masked, 'F-' || lpad("start"::VARCHAR, 6, '0') AS fid,
       {size_text('"start"')} AS size_text, entity_type IN ({names(rules.HIGH_SIGNAL_ENTITIES)}) AS high_signal FROM spans""")
+    out["repo_files"] = r"""SELECT source AS repo, 0::BIGINT AS scan_id, 'p' || doc_id % 7 || '/.q/' || doc_id || '.py' AS relative_path, '.py' AS extension,
+      strlen(text) AS size_bytes, md5(regexp_replace(text, '\r\n?', chr(10), 'g')) AS text_md5 FROM documents WHERE text IS NOT NULL"""
     out["history_append"] = _with(SCANS, """SELECT repo, scan_id, row_number() OVER (PARTITION BY repo
       ORDER BY scan_id) AS scan_no FROM scans""")
     shown = "CASE WHEN scan_id = 2 THEN 'UNKNOWN' ELSE pipeline_status END"

@@ -6,6 +6,7 @@ import re
 import uuid
 from collections import namedtuple
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -570,6 +571,18 @@ def sql_functions(spark, sf_dir):
 
 # --- history -------------------------------------------------------------------------------------
 
+@query
+def repo_files(spark, sf_dir):
+    """Documents written to trees of files, walked and read again."""
+    ensure_checkpoint_dir(spark)
+    folder = urlparse(f"{spark.sparkContext.getCheckpointDir()}/tree-{uuid.uuid4().hex}")
+    if folder.scheme not in ("", "file"):
+        raise ValueError("trees of files need spark.checkpoint.dir on a mounted folder")
+    roots = fx.written_tree(spark, sf_dir, folder.path)
+    files = fs.scan_documents_with_content(fs.read_repo_files(spark, roots, ScanOptions(max_file_size_bytes=1 << 40)))
+    return files.select(*KEYS, "relative_path", "extension", "size_bytes", F.md5("text").alias("text_md5"))
+
+
 @query
 def history_append(spark, sf_dir):
     """Scans 0 and 1 are stored already; storing all again adds only the others. The rows are those read back."""

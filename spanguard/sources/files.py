@@ -1,121 +1,89 @@
 """Files of source trees as documents.
 
-Spark's own file listing hides names that start with `.` or `_`, so the trees are walked by a
-Python data source. The walk yields metadata only; extension, directory and size tests come before
-any content is read. Then the file names, not the contents, are spread over the cluster and each
-task reads its own files. The trees must be on a mount that all executors see.
+Spark's own file listing hides names that start with `.` or `_`, so the trees are walked in tasks: a task opens folders from a root on until it
+has seen `FOLDER_SHARE` entries, and hands the folders left over back to be spread over all tasks for the next round. The driver opens none.
+The walk yields metadata only; extension, directory and size tests come before any content is read. Then the file names, not the contents, are
+spread over the cluster and each task reads its own files. The trees must be on a mount that all executors see.
 """
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from spanguard.functions import paths
 from spanguard.options import DEFAULT_OPTIONS, ScanOptions
-from spanguard.session import ship_package
+from spanguard.session import cut, ship_package
 
-FORMAT = "repofiles"
-META_SCHEMA = "repo string, scan_id bigint, absolute_path string, relative_path string, size_bytes bigint"
+ROOT_SCHEMA = "repo string, scan_id bigint, directory string"
 #: bytes of content handed over in one batch
 BATCH_BYTES = 32 * 1024 * 1024
-#: directories the driver opens at most to find parallel sub-trees
-MAX_SPLITS = 512
+#: entries after which a task hands the folders it has not opened to others
+FOLDER_SHARE = 20_000
 
+Roots = DataFrame | Sequence[tuple[str, int, str]]
 
-class TreePart(InputPartition):
-    def __init__(self, repo: str, scan_id: int, root: str, start: str, deep: bool):
-        self.repo, self.scan_id, self.root, self.start, self.deep = repo, scan_id, root, start, deep
 
-
-def split_tree(root: str, excluded: Sequence[str], limit: int) -> list[tuple[str, bool]]:
-    """Parts of a tree as (directory, whole sub-tree?): directories are opened, largest depth last,
-    until there are `limit` of them; the rest are left to the tasks."""
-    opened: list[tuple[str, bool]] = []
-    queue = [root]
-    while queue and len(opened) + len(queue) < limit:
-        current = queue.pop(0)
-        opened.append((current, False))
-        try:
-            with os.scandir(current) as entries:
-                queue += sorted(
-                    e.path for e in entries
-                    if e.is_dir(follow_symlinks=True) and not e.is_symlink() and e.name not in excluded
-                )
-        except OSError:
-            continue
-    return opened + [(d, True) for d in queue]
-
-
-def walk(start: str, deep: bool, excluded: Sequence[str], extensions: Sequence[str]) -> Iterator[tuple[str, int | None]]:
-    """(path, size) of the in-scope files; the size is None when it cannot be read."""
-    for folder, names, files in os.walk(start):
-        names[:] = sorted(n for n in names if n not in excluded) if deep else []
-        for name in sorted(files):
-            if os.path.splitext(name)[1].lower() not in extensions:
-                continue
-            path = os.path.join(folder, name)
+def folder_opener(extensions: Sequence[str], excluded: Sequence[str], share: int):
+    """A batch function from (repo, scan_id, root, folder) to the files in scope and the folders left over; a missing folder gives none."""
+    def opened(start: str) -> Iterator[tuple[str, int | None, bool]]:
+        stack, seen = [start], 0
+        while stack and seen < share:
             try:
-                yield path, os.stat(path).st_size
+                with os.scandir(stack.pop()) as entries:
+                    found = sorted(entries, key=lambda e: e.name)
             except OSError:
-                yield path, None
-
-
-class RepoFiles(DataSource):
-    """`spark.read.format("repofiles").option("roots", json)`: metadata of the files in scope."""
-
-    @classmethod
-    def name(cls) -> str:
-        return FORMAT
-
-    def schema(self) -> str:
-        return META_SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return RepoFilesReader(self.options)
-
-
-class RepoFilesReader(DataSourceReader):
-    def __init__(self, options):
-        self.roots = json.loads(options["roots"])
-        self.extensions = tuple(e.lower() for e in json.loads(options["extensions"]))
-        self.excluded = tuple(json.loads(options["excluded"]))
-
-    def partitions(self):
-        share = max(1, MAX_SPLITS // max(1, len(self.roots)))
-        return [
-            TreePart(repo, scan_id, root, start, deep)
-            for repo, scan_id, root in self.roots if os.path.isdir(root)
-            for start, deep in split_tree(root, self.excluded, share)
-        ] or [TreePart("", 0, "", "", False)]
+                continue
+            seen += len(found) + 1
+            for entry in found:
+                if entry.is_dir():
+                    if not entry.is_symlink() and entry.name not in excluded:
+                        stack.append(entry.path)
+                elif os.path.splitext(entry.name)[1].lower() in extensions:
+                    try:
+                        yield entry.path, entry.stat().st_size, False
+                    except OSError:
+                        yield entry.path, None, False
+        for folder in stack:
+            yield folder, None, True
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                root = os.path.realpath(os.path.expanduser(row.root))
+                rows = [(row.repo, row.scan_id, root, *x) for x in opened(row.folder if isinstance(row.folder, str) else root)]
+                if rows:
+                    out = pd.DataFrame(rows, columns=["repo", "scan_id", "root", "absolute_path", "size_bytes", "is_folder"])
+                    yield out.assign(size_bytes=out["size_bytes"].astype("Int64"))
 
-    def read(self, partition: TreePart):
-        if not partition.root:
-            return
-        for path, size in walk(partition.start, partition.deep, self.excluded, self.extensions):
-            relative = os.path.relpath(path, partition.root).replace(os.sep, "/")
-            yield partition.repo, partition.scan_id, path, relative, size
+    return run
 
 
 def list_repo_files(
-    spark: SparkSession, roots: Sequence[tuple[str, int, str]], options: ScanOptions = DEFAULT_OPTIONS
+    spark: SparkSession, roots: Roots, options: ScanOptions = DEFAULT_OPTIONS, share: int = FOLDER_SHARE
 ) -> DataFrame:
-    """Metadata of the in-scope files below (repo, scan_id, directory) roots; a missing root gives none."""
+    """Metadata of the in-scope files below roots (repo, scan_id, directory); a missing or null root gives none."""
     ship_package(spark)
-    spark.dataSource.register(RepoFiles)
-    resolved = [(repo, scan, os.path.realpath(os.path.expanduser(root))) for repo, scan, root in roots]
-    listed = (
-        spark.read.format(FORMAT)
-        .option("roots", json.dumps(resolved))
-        .option("extensions", json.dumps(list(options.supported_extensions)))
-        .option("excluded", json.dumps(list(options.excluded_directories)))
-        .load()
-    )
+    table = roots if isinstance(roots, DataFrame) else spark.createDataFrame(list(roots), ROOT_SCHEMA)
+    extensions = tuple(e.lower() for e in options.supported_extensions)
+    run = folder_opener(extensions, tuple(options.excluded_directories), share)
+    todo = table.where(F.col("directory").isNotNull()).select(
+        "repo", F.col("scan_id").cast("bigint").alias("scan_id"), F.col("directory").alias("root"), F.lit(None).cast("string").alias("folder"))
+    schema = "repo string, scan_id bigint, root string, absolute_path string, size_bytes bigint, is_folder boolean"
+    found = None
+    while True:
+        spread = todo.repartition(spark.sparkContext.defaultParallelism, "root", "folder")
+        level = cut(spread.mapInPandas(run, schema))  # a lost executor must not open folders at another time
+        files = level.where(~F.col("is_folder"))
+        found = files if found is None else found.unionByName(files)
+        todo = level.where("is_folder").select("repo", "scan_id", "root", F.col("absolute_path").alias("folder"))
+        if todo.isEmpty():
+            break
+    inside = F.expr("substring(absolute_path, if(endswith(root, '/'), length(root) + 1, length(root) + 2))")
+    listed = found.select("repo", "scan_id", "absolute_path", inside.alias("relative_path"), "size_bytes")
     return listed.withColumn("extension", paths.extension(F.col("relative_path")))
 
 
@@ -158,7 +126,7 @@ def decode_text(content: Column) -> Column:
 
 def read_repo_files(
     spark: SparkSession,
-    roots: Sequence[tuple[str, int, str]],
+    roots: Roots,
     options: ScanOptions = DEFAULT_OPTIONS,
     tasks: int | None = None,
 ) -> DataFrame:

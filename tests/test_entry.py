@@ -10,7 +10,7 @@ from conftest import SF
 CHECKED = ("repo_risk", "spans_url", "synthetic_ids", "resolve_overlaps", "rule_nlp", "rule_date", "redacted_documents",
            "explain_findings", "top_files", "scan_trend", "reports_nested", "dashboard", "release_gate", "scan_accounting",
            "traversal_order", "formatting", "history_append", "spans_long_lines", "spans_whole_keys", "spans_cards_in_groups",
-           "spans_secrets_bare", "spans_iban_valid", "spans_ipv6", "masked_logs", "spans_from_table")
+           "spans_secrets_bare", "spans_iban_valid", "spans_ipv6", "repo_files", "masked_logs", "spans_from_table")
 
 
 @pytest.fixture(scope="module")

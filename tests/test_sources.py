@@ -3,6 +3,7 @@
 import json
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,10 +63,18 @@ def test_unreadable_and_missing(spark, tree, tmp_path):
 
 def test_tree_is_split_without_loss(tree):
     excluded, extensions = ("node_modules", ".git"), (".py", ".json", ".yml")
-    whole = sorted(p for p, _ in fs.walk(tree, True, excluded, extensions))
-    for limit in (1, 2, 3, 50):
-        parts = fs.split_tree(tree, excluded, limit)
-        assert sorted(p for start, deep in parts for p, _ in fs.walk(start, deep, excluded, extensions)) == whole
+    whole = []
+    for folder, names, files in os.walk(tree):
+        names[:] = [n for n in names if n not in excluded]
+        whole += [os.path.join(folder, f) for f in files if os.path.splitext(f)[1].lower() in extensions]
+    for share in (1, 2, 3, 100):
+        todo, found, run = [None], [], fs.folder_opener(extensions, excluded, share)
+        while todo:
+            batch = pd.DataFrame({"repo": "r", "scan_id": 1, "root": str(tree), "folder": pd.Series(todo, dtype=object)})
+            rows = [r for out in run(iter([batch])) for r in out.itertuples()]
+            found += [r.absolute_path for r in rows if not r.is_folder]
+            todo = [r.absolute_path for r in rows if r.is_folder]
+        assert sorted(found) == sorted(whole)
 
 
 def test_table_filters(make_docs):
@@ -88,6 +97,20 @@ def test_detection_does_not_shuffle(make_docs):
 
 # --- history -------------------------------------------------------------------------------------
 
+def test_folders_left_over_are_opened_in_later_rounds(spark, tmp_path):
+    want = set()
+    for i in range(12):
+        folder = tmp_path / f"a{i % 3}" / f"b{i}" / ".c"
+        folder.mkdir(parents=True)
+        (folder / f"{i}.py").write_text("x" * i)
+        want.add((f"a{i % 3}/b{i}/.c/{i}.py", i))
+    (tmp_path / "a0" / "loop").symlink_to(tmp_path)
+    roots = spark.createDataFrame([("r", 1, str(tmp_path)), ("n", 1, None), ("m", 1, str(tmp_path / "absent"))], fs.ROOT_SCHEMA)
+    for share in (1, 5, 1000):
+        rows = fs.list_repo_files(spark, roots, share=share).collect()
+        assert {(r.relative_path, r.size_bytes) for r in rows} == want and len(rows) == 12
+
+
 def report_rows(make_docs, texts, scan_id=1, page_size=10_000):
     docs = make_docs(texts, scan_id=scan_id)
     found = fi.number_findings(fi.find(docs))
