@@ -3,11 +3,12 @@
 A document is compared with its language: the Jensen-Shannon distance between its histogram of character
 classes and that of all documents of the language, and the same for the most common words of the language.
 The references are counted over every document that is long enough; nothing is sampled. Common words are the
-most frequent ones of at most `common_chars` bytes, as function words are short in the languages at hand.
+most frequent ones of the language, of whatever length and script; of equally frequent ones the first by bytes.
 
 Defined results: a null text has no words; null is a language of its own; a text shorter than
 `min_words` fails the base rules; below `sure_words` the looser class limit holds, as short histograms are rough;
-a language with fewer than `min_reference` words in all gives no verdict, and its documents stay.
+a language with fewer than `min_reference` words in all gives no verdict, and its documents stay. An empty table gives no rows,
+repeated rows are judged alike, and a very long text is held in one row, at several times its size.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ class QualityOptions:
     min_words: int = 50
     max_repeat_percent: int = 50
     common_words: int = 12
-    common_chars: int = 5
     sure_words: int = 100
     class_limit: float = 0.25
     short_class_limit: float = 0.30
@@ -49,11 +49,11 @@ def _reduced(df: DataFrame) -> DataFrame:
 
 
 def common_words(docs: DataFrame, text: str, lang: str, options: QualityOptions) -> DataFrame:
-    """One row per language: _common, its most frequent short words, and _counts, how often they occur."""
+    """One row per language: _common, its most frequent words, and _counts, how often they occur."""
     words = docs.select(F.col(lang).alias("_lang"), words_of(F.col(text).cast("string")).alias("_words"))
     # An outer explode and a condition inside the row keep the optimizer from splitting texts once more in a filter.
     counts = (words.select("_lang", F.explode_outer(F.when(F.size("_words") >= options.min_words, F.col("_words"))).alias("_word"))
-              .where(F.octet_length("_word") <= options.common_chars)
+              .where(F.col("_word").isNotNull())
               .groupBy("_lang", "_word").agg(F.count(F.lit(1)).alias("_n")))
     best = Window.partitionBy("_lang").orderBy(F.desc("_n"), "_word")
     top = (counts.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= options.common_words)
@@ -140,7 +140,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", options: Qual
         shares["_lang"], "_total", "_class_share", "_common", "_counts"))
     df = rows.join(small(refs), rows["_key"].eqNullSafe(refs["_lang"]), "left").drop("_lang")
     df = measure(df, "_in")
-    short = df.withColumn("_short", F.filter("_words", lambda w: F.octet_length(w) <= options.common_chars))
+    short = df.withColumn("_short", F.filter("_words", lambda w: F.array_contains(F.col("_common"), w)))
     hits = short.withColumn("_hits", F.transform("_common", lambda w: (
         F.size("_short") - F.size(F.array_remove(F.col("_short"), w))).cast("bigint")))
     df = hits.select("_row", *base, "_class", "_class_share", "_hits", "_counts", "_total")

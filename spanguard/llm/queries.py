@@ -30,7 +30,7 @@ _OP2 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS k, doc_id, coalesce(lang, '~') AS lang, coalesce(text, '') AS t,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-n AS (SELECT *, len(w) AS n_words, len(list_filter(w, lambda x: strlen(x) <= 5)) AS n_short FROM d),
+n AS (SELECT *, len(w) AS n_words FROM d),
 g AS (SELECT k, i, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS x FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 r AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, x) AS c FROM g) WHERE c > 1),
 z AS (SELECT k, count(DISTINCT i + j) AS n_repeat_words FROM r, (VALUES (0), (1), (2)) AS o(j) GROUP BY k),
@@ -49,7 +49,7 @@ c AS (
   SELECT k, length(s0) AS word_chars, length(s4) - length(s5) AS n_symbols,
     [l0 - length(s0), length(s0) - length(s1), length(s1) - length(s2), length(s2) - length(s3), length(s3) - length(s4),
      length(s4) - length(s5), length(s5) - length(s6), length(s6)] AS cls FROM c6),
-f AS (SELECT lang, x, count(*) AS m FROM (SELECT lang, unnest(w) AS x FROM n WHERE n_words >= 50) WHERE strlen(x) <= 5 GROUP BY ALL),
+f AS (SELECT lang, x, count(*) AS m FROM (SELECT lang, unnest(w) AS x FROM n WHERE n_words >= 50) GROUP BY ALL),
 t AS (
   SELECT lang, list(x ORDER BY m DESC, x) AS common, list(m ORDER BY m DESC, x) AS counts
   FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY m DESC, x) AS r FROM f) WHERE r <= 12 GROUP BY lang),

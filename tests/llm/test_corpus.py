@@ -349,3 +349,17 @@ def test_language_model_tells_a_null_id_from_the_largest(spark):
     rows = [(2**63 - 1, "a b c"), (None, "a b"), (1, "c c")]
     got = score(spark.createDataFrame(rows, "doc_id bigint, text string"), rounds=2).select("doc_id", "n_tokens").collect()
     assert sorted((str(r[0]), r[1]) for r in got) == [("1", 3), (str(2**63 - 1), 4), ("None", 3)]
+
+
+def test_common_words_of_any_script_count(spark):
+    """Words without the common ones of a language whose words all take more than five bytes are junk."""
+    dice, letters = random.Random(5), "абвгдежзиклмнопрст"
+
+    def word():
+        return "".join(dice.choices(letters, k=dice.randint(3, 7)))
+
+    common = [word() for _ in range(12)]
+    rows = [(i, " ".join(x for _ in range(60) for x in (dice.choice(common), word())), "ru") for i in range(40)]
+    rows.append((99, " ".join(word() for _ in range(120)), "ru"))
+    got = quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).select("doc_id", "base_failed", "kept").collect()
+    assert sorted(r.doc_id for r in got if not r.kept) == [99] and not any(r.base_failed for r in got)
