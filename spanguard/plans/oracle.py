@@ -644,10 +644,10 @@ def oracle_queries() -> dict[str, str]:
       list(entity_type)))[1:8], ', ') AS entities FROM findings WHERE finding_index < 20 GROUP BY ALL)
       SELECT repo, scan_id, {case('pipeline_status', rules.RELEASE_STATUS, '')} AS release_status, lower(pipeline_status) AS tone,
       CASE WHEN pipeline_status = 'PASS' THEN {q(rules.RELEASE_REASON['PASS'])} ELSE concat_ws(' ',
-        CASE WHEN critical > 0 THEN critical || ' Critical finding(s) detected.' END,
-        CASE WHEN high > 0 THEN high || ' High finding(s) detected.' END,
+        CASE WHEN critical > 0 THEN 'Critical findings: ' || critical || '.' END,
+        CASE WHEN high > 0 THEN 'High findings: ' || high || '.' END,
         CASE WHEN pipeline_status = 'FAIL' THEN {q(rules.RELEASE_REASON['FAIL'])} ELSE {q(rules.RELEASE_REASON['WARNING'])} END,
-        'Detected sensitive data types include: ' || entities || '.') END AS reason,
+        'Kinds of data found: ' || entities || '.') END AS reason,
       CASE WHEN pipeline_status = 'PASS' THEN {q(' '.join(rules.SAFE_ACTIONS))} ELSE {q(' '.join(rules.BLOCKED_ACTIONS))} END AS actions
       FROM profile LEFT JOIN e USING (repo, scan_id)""")
     out["release_gate"] = _gate()
