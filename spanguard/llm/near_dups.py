@@ -5,10 +5,10 @@ occurred before, and keeps them in the order of the text. So two sketches agree
 order, which edit similarity asks for and set similarity does not. Documents that agree in a sketch share a bucket.
 
 Copies with the same words are one node. First, twice, each node meets the smallest node of its buckets, which makes a class of most families.
-What is left in buckets of several classes is then paired: a bucket of at most `crowd` nodes gives its pairs of different classes; a larger one,
-mostly nodes with one passage in common, is split before any pair is tested, by sketches of `split_words`-word k-mers of the whole text, which
-true pairs share far more often than passages make others share them; and again by further ones. A bucket that is crowded after all splits
-(nodes that are alike and no links) is worked through exactly: the smallest nodes of its classes meet all others and leave, until one class is left.
+What is left in buckets of several classes is then paired: a bucket of at most `crowd` nodes gives its pairs of different classes. In a larger one,
+mostly nodes with one passage in common, all nodes meet, too, in tiles of bounded size: nodes of lengths that can be alike, by counts of their words
+in hashed slots. The words that two texts have in common are at most the sums of the lesser counts, so a pair that these rule out is no link, and all
+others are tested. This work grows with the square of a crowded bucket, at some ten million pairs a second and core; nothing is left out.
 
 A pair is a link if the edit distance of the words is at most (1 - similarity) of the longer text, found by a
 bit-parallel alignment in a band of that width; the work grows with the square of the length, for texts of all lengths. Classes are the
@@ -42,10 +42,7 @@ class NearOptions:
     picks: int = 2
     single_rounds: int = 2
     crowd: int = 32
-    split_words: int = 2
-    split_sketches: int = 10
-    split_picks: int = 3
-    splits: int = 2
+    tile: int = 1024
     leaders: int = 16
 
 
@@ -204,12 +201,6 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", optio
                     for x, y in zip(frame["x"], frame["y"])]
             yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "linked": same})
 
-    def resketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            values = [order_sketches(np.frombuffer(expand(x), np.uint64), options.split_words, options.splits * options.split_sketches,
-                                     options.split_picks).view(np.int64).tolist() for x in frame["words"]]
-            yield pd.DataFrame({"node": frame["node"], "more": values})
-
     tested: DataFrame | None = None
     classes: DataFrame | None = None
 
@@ -236,15 +227,10 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", optio
                 linked = linked.unionByName(classes.select(F.col("class").alias("a"), F.col("node").alias("b")))
             classes = _components(linked)
 
-    def lead(rows: DataFrame, leaders: int) -> DataFrame:
-        """The smallest nodes of the first few classes of each bucket meet the nodes of other classes and leave; the rows left in mixed buckets."""
-        heads = rows.groupBy("bucket", "_c").agg(F.min(F.struct("node", "n")).alias("l"))
-        if leaders == 1:
-            heads = heads.groupBy("bucket").agg(F.min(F.struct("l", "_c")).alias("h")).select("bucket", "h.*")
-        else:
-            nearest = F.row_number().over(Window.partitionBy("bucket").orderBy("l.node"))
-            heads = heads.withColumn("_r", nearest).where(F.col("_r") <= leaders)
-        heads = settle(heads.select("bucket", F.col("_c").alias("_h"), F.col("l.node").alias("leader"), F.col("l.n").alias("size")))
+    def lead(rows: DataFrame) -> DataFrame:
+        """The smallest node of each bucket meets the nodes of other classes and leaves; the rows left in mixed buckets."""
+        heads = rows.groupBy("bucket").agg(F.min(F.struct("node", "n", "_c")).alias("h"))
+        heads = settle(heads.select("bucket", F.col("h._c").alias("_h"), F.col("h.node").alias("leader"), F.col("h.n").alias("size")))
         met = rows.join(heads, "bucket").where(F.col("_c") != F.col("_h"))
         met = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), F.least("n", "size").alias("lo"), F.greatest("n", "size").alias("hi"))
         link(met.where(_lengths("lo", "hi", options)).select("a", "b"))
@@ -254,26 +240,20 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", optio
 
     for _ in range(options.single_rounds):
         if not rows.isEmpty():
-            rows = lead(rows, 1)
-    pairs, level, more = None, 0, None
-    while not rows.isEmpty():
-        few = settle(_pairs(rows.where(F.col("_m") <= options.crowd), options))
-        pairs = few if pairs is None else pairs.unionByName(few)
-        rows = rows.where(F.col("_m") > options.crowd)
-        if level == options.splits or rows.isEmpty():
-            break
-        if more is None:
-            crowded = rows.select("node").distinct()
-            more = settle(bodies.join(crowded, "node").mapInPandas(resketch, "node bigint, more array<bigint>"))
-        part = F.slice("more", level * options.split_sketches + 1, options.split_sketches)
-        parts = rows.join(more.select("node", F.posexplode(part).alias("j", "value")), "node")
-        rows = settle(_mixed(parts.select(F.xxhash64("bucket", "j", "value").alias("bucket"), "node", "n", "_c")))
-        level += 1
-    if pairs is not None:
-        link(pairs)
-    leaders, rows = options.leaders, settle(_mixed(in_classes(rows.drop("_c"))))
-    while not rows.isEmpty():
-        rows, leaders = lead(rows, leaders), 2 * leaders
+            rows = lead(rows)
+    if not rows.isEmpty():
+        pairs = _pairs(rows.where(F.col("_m") <= options.crowd), options)
+        crowded = rows.where(F.col("_m") > options.crowd)
+        if not crowded.isEmpty():
+            pairs = pairs.unionByName(_crowded_pairs(crowded, bodies, options)).distinct()
+        pairs = settle(pairs)
+        # The first few pairs of two classes mostly tell whether they are one; the other pairs are tested if they are not.
+        which = in_classes(pairs.select(F.col("a").alias("node"), "b")).select(F.col("node").alias("a"), F.col("b").alias("node"), F.col("_c").alias("_x"))
+        which = in_classes(which).select("a", F.col("node").alias("b"), F.least("_x", "_c").alias("_x"), F.greatest("_x", "_c").alias("_y"))
+        first = F.row_number().over(Window.partitionBy("_x", "_y").orderBy("a", "b"))
+        link(which.withColumn("_r", first).where(F.col("_r") <= options.leaders).select("a", "b"))
+        rest = in_classes(pairs.select(F.col("a").alias("node"), "b")).select(F.col("node").alias("a"), F.col("b").alias("node"), F.col("_c").alias("_x"))
+        link(in_classes(rest).where(F.col("_x") != F.col("_c")).select("a", F.col("node").alias("b")))
     named = copies.select("copy", "node", "first")
     if classes is None:
         named = named.withColumns({"class_id": F.col("first"), "class_copy": F.col("copy")})
@@ -299,6 +279,70 @@ def _pairs(rows: DataFrame, options: NearOptions) -> DataFrame:
     return met.where(_lengths("lo", "hi", options)).select("a", "b").distinct()
 
 
+def _slots(words: np.ndarray, slots: int) -> tuple[bytes, int]:
+    """How many words fall into each slot, 255 at most, and how many are above that in all."""
+    counts = np.bincount((mixed(words) & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes(), int(np.maximum(counts - 255, 0).sum())
+
+
+def _band(n: int, similarity: float) -> int:
+    """Band of a length: texts that can be alike are in one band or in neighbouring ones."""
+    return int(np.log(max(n, 1)) / (1.001 * max(-np.log(max(similarity, 1e-6)), 0.01)))
+
+
+def _band_slots(band: int, similarity: float) -> int:
+    """Slots for the texts of a band and of the next one: about one for each word, as far as memory allows."""
+    words = np.exp((band + 2) * 1.001 * max(-np.log(max(similarity, 1e-6)), 0.01))
+    return 1 << int(min(max(np.ceil(np.log2(words)), 8), 13))
+
+
+def _crowded_pairs(rows: DataFrame, bodies: DataFrame, options: NearOptions) -> DataFrame:
+    """Pairs (a, b) of different classes of the buckets but those whose lengths or words rule out that they are alike.
+
+    A tile holds two parts of a bucket, of one band of lengths and the next one: the lower band meets itself and the higher one. Two nodes that
+    share several of these buckets are a pair of the first one.
+    """
+    similarity = options.similarity
+
+    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for node, packed, buckets in zip(frame["node"], frame["words"], frame["buckets"]):
+                words = np.frombuffer(expand(packed), np.uint64)
+                band = _band(len(words), similarity)
+                for tile in (band, band - 1):
+                    out.append((node, tile, tile == band, *_slots(words, _band_slots(tile, similarity)), buckets))
+            yield pd.DataFrame(out, columns=["node", "band", "lower", "slots", "more", "buckets"])
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("n", kind="stable")  # so the lower band comes first
+        node, n, group, part, more = (frame[c].to_numpy() for c in ("node", "n", "_c", "part", "more"))
+        counts = np.frombuffer(b"".join(frame["slots"]), np.uint8).reshape(len(frame), -1)
+        here, buckets = frame["bucket"].iloc[0], [set(x) for x in frame["buckets"]]
+        limit = np.floor((1 - similarity) * n + 1e-9)
+        one, found = bool((frame["first"] == frame["second"]).all()), []
+        least = n - limit  # grows with n: the shortest text that can be alike
+        stop = np.searchsorted(least, n, side="right")
+        for i in range(int(frame["lower"].sum())):
+            at = np.arange(i + 1, stop[i])
+            at = at[(group[at] != group[i]) & ((part[at] != part[i]) | one)]
+            if len(at):
+                common = np.minimum(counts[at], counts[i]).sum(axis=1, dtype=np.int64) + np.minimum(more[at], more[i])
+                at = [j for j in at[n[at] - common <= limit[at]] if min(buckets[i] & buckets[j]) == here]
+                found.append((np.full(len(at), node[i]), node[at]))
+        x = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
+        y = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    own = rows.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))  # one for each sketch at most
+    marks = bodies.join(own, "node").mapInPandas(mark, "node bigint, band int, lower boolean, slots binary, more bigint, buckets array<bigint>")
+    parts = F.ceil(F.col("_m") / options.tile).cast("int")
+    met = rows.select("bucket", "node", "n", "_c", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+    met = met.join(settle(marks), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("bucket", "band", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), "part", "lower", "node", "n", "_c", "slots", "more", "buckets")
+    return met.groupBy("bucket", "band", "first", "second").applyInPandas(meet, "a bigint, b bigint")
+
+
 def _several(found: DataFrame, key: str) -> DataFrame:
     """Ids that stand for different texts."""
     each = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("copy").alias("_lo"), F.max("copy").alias("_hi"))

@@ -233,6 +233,39 @@ def test_a_large_group_and_a_shared_passage(spark):
     assert {got[i] for i in range(120)} == {0} and all(got[i] == i for i in range(200, 320))
 
 
+def test_no_link_of_a_crowded_bucket_is_left_out(spark):
+    rnd = random.Random(11)
+    passage = [f"p{j}" for j in range(100)]  # all it takes to share a sketch: every third word of the other part differs
+    rows = []
+    for i in range(60):
+        body = [f"b{i}x{j}" for j in range(150)]
+        other = [f"c{i}x{j}" if j % 3 == 0 else w for j, w in enumerate(body)]
+        rows += [(2 * i, " ".join(body + passage)), (2 * i + 1, " ".join(other + passage))]
+    rnd.shuffle(rows)
+    options, sketches = NearOptions(), {}
+    for i, text in rows:
+        sketches[i] = near_dups.order_sketches(near_dups._words(text, near_dups._Hashes()), options.words, options.sketches, options.picks)
+    together = {i for i in range(0, 120, 2) if (sketches[i] == sketches[i + 1]).any()}
+    sizes = [max(np.unique([sketches[i][j] for i in sketches], return_counts=True)[1]) for j in range(options.sketches)]
+    assert len(together) >= 40 and max(sizes) > options.crowd
+    for tile in (40, 1024):
+        found = near_classes(spark.createDataFrame(rows, "doc_id bigint, text string"), options=NearOptions(tile=tile)).collect()
+        got = {r["doc_id"]: r["class_id"] for r in found}
+        assert {i for i in range(0, 120, 2) if got[i + 1] == i} == together
+        assert all(got[i] == i for i in range(0, 120, 2))
+
+
+def test_words_that_fill_a_slot_are_not_ruled_out(spark):
+    schema = "bucket bigint, node bigint, n int, _c bigint, _m bigint"
+    texts = [["a"] * 3000 + ["b"] * 400, ["a"] * 2700 + ["b"] * 500, [f"c{j}" for j in range(3300)], ["a"] * 1300, [], []]
+    words = [near_dups._words(" ".join(t), near_dups._Hashes()) for t in texts]
+    rows = spark.createDataFrame([(1, i, len(t), i, 40) for i, t in enumerate(texts)], schema)
+    bodies = spark.createDataFrame([(i, bytearray(near_dups.squeeze(w.tobytes()))) for i, w in enumerate(words)], "node bigint, words binary")
+    for tile in (10, 1024):
+        got = near_dups._crowded_pairs(rows, bodies, NearOptions(tile=tile)).collect()
+        assert sorted(map(tuple, got)) == [(0, 1), (4, 5)]
+
+
 def test_a_star_whose_hub_has_the_largest_id(spark):
     rnd = random.Random(5)
     parts = [[f"p{i}w{j}" for j in range(10)] for i in range(60)]
