@@ -1,6 +1,10 @@
 """Check-sum and range tests on published examples."""
 
+import hashlib
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from spanguard.functions import checks
 
@@ -33,3 +37,34 @@ def test_ipv6(values):
            "1:2:3:4:5:6:7:1.2.3.4", ":1:2:3:4:5:6:7:8"]
     assert values(checks.ipv6_ok, good) == [True] * len(good)
     assert values(checks.ipv6_ok, bad) == [False] * len(bad)
+
+
+def address(payload: bytes) -> str:
+    number, out = int.from_bytes(payload + hashlib.sha256(hashlib.sha256(payload).digest()).digest()[:4], "big"), ""
+    while number:
+        number, digit = divmod(number, 58)
+        out = checks.BASE58[digit] + out
+    return "1" * (len(payload) - len(payload.lstrip(b"\0"))) + out
+
+
+def test_base58_of_all_sizes(values):
+    payloads = [bytes(21), b"\0" * 18 + b"abc", b"\0" * 20 + b"\1", b"\xff" * 21, b"\5" + b"\0" * 20] + [bytes([v]) + bytes(range(v, v + 20)) for v in range(0, 200, 9)]
+    good = [address(p) for p in payloads]
+    assert all(values(checks.base58_ok, good + ["1" * 9 + good[3]]))
+    bad = [a[:-1] + ("z" if a[-1] != "z" else "y") for a in good] + [address(b"\1" * 22), "z" * 35, "z" * 36, "z" * 80, "", None]
+    assert not any(values(checks.base58_ok, bad))
+
+
+def test_base58_takes_no_longer_than_a_walk_over_the_characters(spark):
+    df = spark.range(24_000).select(F.concat(F.lit("1A1zP1eP5QGefi2DMPTfTL5SLmv7D"), F.lpad(F.col("id").cast("string"), 5, "z")).alias("v")).cache()
+    df.count()
+
+    def least(check):
+        taken = []
+        for _ in range(3):
+            begun = time.perf_counter()
+            df.where(check(F.col("v"))).count()
+            taken.append(time.perf_counter() - begun)
+        return min(taken)
+
+    assert least(checks.base58_ok) < 2 * least(checks.iban_ok) + 0.5
