@@ -318,7 +318,7 @@ def _crowded_pairs(rows: DataFrame, bodies: DataFrame, options: NearOptions) ->
         frame = frame.sort_values("n", kind="stable")  # so the lower band comes first
         node, n, group, part, more = (frame[c].to_numpy() for c in ("node", "n", "_c", "part", "more"))
         counts = np.frombuffer(b"".join(frame["slots"]), np.uint8).reshape(len(frame), -1)
-        here, buckets = frame["bucket"].iloc[0], [set(x) for x in frame["buckets"]]
+        earlier = [set(x) for x in frame["earlier"]]
         limit = np.floor((1 - similarity) * n + 1e-9)
         one, found = bool((frame["first"] == frame["second"]).all()), []
         least = n - limit  # grows with n: the shortest text that can be alike
@@ -328,7 +328,7 @@ def _crowded_pairs(rows: DataFrame, bodies: DataFrame, options: NearOptions) ->
             at = at[(group[at] != group[i]) & ((part[at] != part[i]) | one)]
             if len(at):
                 common = np.minimum(counts[at], counts[i]).sum(axis=1, dtype=np.int64) + np.minimum(more[at], more[i])
-                at = [j for j in at[n[at] - common <= limit[at]] if min(buckets[i] & buckets[j]) == here]
+                at = [j for j in at[n[at] - common <= limit[at]] if earlier[i].isdisjoint(earlier[j])]
                 found.append((np.full(len(at), node[i]), node[at]))
         x = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
         y = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
@@ -339,7 +339,8 @@ def _crowded_pairs(rows: DataFrame, bodies: DataFrame, options: NearOptions) ->
     parts = F.ceil(F.col("_m") / options.tile).cast("int")
     met = rows.select("bucket", "node", "n", "_c", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
     met = met.join(settle(marks), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("bucket", "band", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), "part", "lower", "node", "n", "_c", "slots", "more", "buckets")
+    met = met.select("bucket", "band", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), "part", "lower", "node", "n", "_c", "slots", "more",
+                     F.filter("buckets", lambda b: b < F.col("bucket")).alias("earlier"))
     return met.groupBy("bucket", "band", "first", "second").applyInPandas(meet, "a bigint, b bigint")
 
 
