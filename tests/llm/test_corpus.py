@@ -136,6 +136,34 @@ def test_repeats_keep_columns_and_whole_characters(spark):
     assert {r["doc_id"]: (r["lang"], r["source"], r["kept"]) for r in rows} == {1: (None, "s", long + "x"), 2: ("l", None, "q")}
 
 
+def test_few_messages_between_many_blocks_and_buckets(spark, monkeypatch):
+    from pyspark.sql.group import GroupedData
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice("abcdefghij ") for _ in range(4000)) for _ in range(160)]
+    rows = [(i, t + texts[i - 1][:900] if i % 2 else t, "en", "s", 0) for i, t in enumerate(texts)]
+    rows += [(1000 + i, "=" * 700 + rows[i][1][500:2500], "en", "s", 0) for i in range(0, 160, 5)]
+    sent, apply = [], GroupedData.applyInPandas
+
+    def counted(self, *args):
+        sent.append(self._df.count())
+        return apply(self, *args)
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", counted)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    got = suffixes.remove_repeats(df, block_bytes=8_000, per_bucket=100)
+    assert sorted((r[0], r[1], r[2], r[3], bytes(r[4])) for r in got.collect()) == sorted(brute_repeats(rows, 50))
+    # Some 100 blocks and 600 times `per_bucket` keys: a row from each block to each such bucket were 18,890 rows.
+    assert len(sent) == 2 and 0 < max(sent) < 8_000
+
+
+def test_buckets_get_equal_shares():
+    rnd = random.Random(8)
+    data = np.array([rnd.randrange(97, 123) for _ in range(200_000)], np.uint8)
+    keys = suffixes.key_runs(data, np.array([0, len(data)]), 50, 24)[0]
+    shares = np.bincount((keys >> np.uint64(60)).astype(int), minlength=16)
+    assert len(keys) > 10_000 and shares.max() < 1.3 * shares.mean()
+
+
 @pytest.mark.parametrize("alphabet", [b"a", b"ab", b"abcdefgh"])
 def test_two_stage_sorting(alphabet):
     rnd = random.Random(len(alphabet))
