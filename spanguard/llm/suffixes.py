@@ -211,15 +211,25 @@ def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
     return [np.frombuffer(raw[e - s:e], kind) for e, s, kind in zip(ends, sizes, kinds)]
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences, small ones of either sign as small numbers, all their first bytes before all their second ones: these pack well."""
+    steps = np.diff(x.astype(np.int64), prepend=0)
+    return np.ascontiguousarray((steps << 1 ^ steps >> 63).view(np.uint8).reshape(-1, 8).T)
+
+
+def _sums(planes: np.ndarray) -> np.ndarray:
+    steps = np.ascontiguousarray(planes.reshape(8, -1).T).view(np.int64).ravel()
+    return np.cumsum((steps >> 1 & np.int64(2**63 - 1)) ^ -(steps & 1))
+
+
 def _pack_segments(subs: np.ndarray, counts: np.ndarray, ids: np.ndarray, blocks: np.ndarray, at: np.ndarray, data: np.ndarray) -> bytes:
-    """Segments: parts of the bucket, numbers of strings, document ids, blocks, places in the block, bytes; what is often small or alike as differences."""
-    return _pack(subs.astype(np.uint8), counts.astype(np.uint8), *[np.diff(x.astype(np.int64), prepend=0) for x in (ids, blocks)],
-                 np.diff(at, prepend=0).astype(np.int32), data)
+    """Segments: parts of the bucket, numbers of strings, document ids, blocks, places in the block, bytes."""
+    return _pack(subs.astype(np.uint8), counts.astype(np.uint8), _steps(ids), _steps(blocks), _steps(at), data)
 
 
 def _unpack_segments(packed: bytes) -> list[np.ndarray]:
-    subs, counts, ids, blocks, at, data = _unpack(packed, np.uint8, np.uint8, np.int64, np.int64, np.int32, np.uint8)
-    return [subs, counts, np.cumsum(ids), np.cumsum(blocks), np.cumsum(at, dtype=np.int64), data]
+    subs, counts, ids, blocks, at, data = _unpack(packed, *[np.uint8] * 6)
+    return [subs, counts, _sums(ids), _sums(blocks), _sums(at), data]
 
 
 def _spans(owners: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
